@@ -6,8 +6,11 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.operators import security
+from pyspark.sql import functions as F
+
+from codesieve.operators import gate, security, stubs
 from codesieve.rulebook import security as security_rules
+from codesieve.rulebook import stubs as stub_rules
 from codesieve.sources.rendered import code_files
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -22,4 +25,27 @@ def build_registry() -> dict[str, Builder]:
     for family in security_rules.FAMILIES:
         registry[f"sec_{family.name}"] = on_files(lambda files, f=family: security.findings(files, (f,)))
     registry["sec_all"] = on_files(security.findings)
+    for key, family in STUB_KEYS.items():
+        registry[f"mock_{key}"] = on_files(lambda files, f=family: stubs.report(files, (f,)))
+    registry["class_by_prefix"] = on_files(_types_by_class)
+    registry["gate_adapter"] = on_files(lambda files: gate.adapt(stubs.findings(files)))
+    registry["prose_rules"] = on_files(lambda files: _gate_columns(gate.prose_findings(files)))
+    registry["structural_rules"] = on_files(lambda files: _gate_columns(gate.structural_findings(files)))
+    registry["dedupe_findings"] = on_files(gate.text_findings)
+    registry["scan_verdict"] = on_files(gate.text_verdicts)
     return registry
+
+
+STUB_KEYS = {"placeholder": stub_rules.PLACEHOLDER, "stub": stub_rules.STUB, "success": stub_rules.ALWAYS_SUCCESS,
+             "print": stub_rules.PRINT_ONLY, "fake": stub_rules.FAKE_DATA, "passthrough": stub_rules.PASSTHROUGH,
+             "todo": stub_rules.TODO, "names": stub_rules.MOCK_NAME}
+
+
+def _gate_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("path", "line_no", "class", "finding", "severity", "cwe")
+
+
+def _types_by_class(files: DataFrame) -> DataFrame:
+    kind = F.col("pattern_type")
+    return stubs.findings(files).groupBy("pattern_type").agg(F.count("*").alias("n")) \
+        .select("pattern_type", gate.class_of(kind).alias("class"), gate.cwe_of(kind).alias("cwe"), "n")
