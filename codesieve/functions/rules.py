@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import found
+from codesieve.functions.text import found, text_array
 
 
 @dataclass(frozen=True)
@@ -42,13 +42,13 @@ class Family:
         return expr
 
     def names(self, index: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(r.name) for r in self.rules]), index)
+        return F.element_at(text_array(r.name for r in self.rules), index)
 
     def confidences(self, index: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(r.confidence) for r in self.rules]), index)
+        return F.element_at(text_array(str(r.confidence) for r in self.rules).cast("array<double>"), index)
 
     def severities(self, index: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(r.severity) for r in self.rules]), index)
+        return F.element_at(text_array(str(r.severity) for r in self.rules), index)
 
 
 def family(name: str, table: str, flags: str = "i", with_severity: bool = False, **facts) -> Family:

@@ -81,7 +81,8 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 
 def text_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Literal string array; one folded literal instead of one call per value."""
+    return F.split(F.lit("\x1e".join(values)), "\x1e")
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:

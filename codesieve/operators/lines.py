@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import (INSIDE_A, INSIDE_B, found, lstrip, matches, rx, starts_with_any, strip)
+from codesieve.functions.text import (INSIDE_A, INSIDE_B, MARK, found, lstrip, matches, replaced, rx,
+                                      starts_with_any, strip)
 
 HASH = ("#",)
 SLASH = ("//", "/*")
@@ -64,20 +65,19 @@ def _tag_inside(text: Column, delimiter: str, tag: str) -> Column:
 
 
 def _tag_block_comments(text: Column, tag: str) -> Column:
-    """Tag lines inside ``/* ... */``; a line is inside while no close was seen.
+    """Tag lines inside ``/* ... */``.
 
-    The rule works on whole lines: a line that opens without closing starts
-    the block, the next line holding a close ends it.
+    The rule works on whole lines: a line that opens without any close starts
+    the block, and the next line holding a close ends it.
     """
-    opened = F.split(text, rx(r"/\*(?![^\n]*\*/)"), -1)
-    glue = F.concat(F.array(F.lit("")), matches(text, r"/\*(?![^\n]*\*/)"))
+    opened = F.split(replaced(text, r"^(?=[^\n]*/\*)(?![^\n]*\*/)", MARK, "m"), MARK, -1)
 
     def inside(piece: Column, i: Column) -> Column:
         head = F.substring_index(piece, "*/", 1)
         tail = F.substring(piece, F.length(head) + 1, F.length(piece))
         return F.when(i > 0, F.concat(F.replace(head, F.lit("\n"), F.lit("\n" + tag)), tail)).otherwise(piece)
 
-    return F.array_join(F.zip_with(glue, F.transform(opened, inside), lambda d, p: F.concat(d, p)), "")
+    return F.array_join(F.transform(opened, inside), "")
 
 
 ESCAPE_AWARE_DOUBLE = r'(?<!\\)"""'

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +58,7 @@ def line_rules(families=S.FAMILIES) -> list[LineRule]:
         if family.facts.get("languages"):
             where = language.isin(list(family.facts["languages"]))
         if family is S.INSECURE_RANDOM:
-            where = reduce(lambda a, b: a | b,
-                           [F.contains(F.lower(line), F.lit(w)) for w in S.RANDOM_CONTEXT_WORDS])
+            where = found(line, "|".join(S.RANDOM_CONTEXT_WORDS), "i")
         if family is S.HARDCODED_SECRET:
             guard = _not_test_value(line)
         index = family.first_match(line, guard)

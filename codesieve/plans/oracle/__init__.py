@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from codesieve.plans.oracle import gate, security
+    from codesieve.plans.oracle import gate, naming, security
 
     out: dict[str, str] = {}
-    for module in (security, gate):
+    for module in (security, gate, naming):
         out.update(module.sql())
     return out

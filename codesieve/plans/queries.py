@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from codesieve.operators import gate, security, stubs
+from codesieve.operators import gate, naming, security, stubs
+from codesieve.operators.lines import masked_lines
 from codesieve.rulebook import security as security_rules
 from codesieve.rulebook import stubs as stub_rules
 from codesieve.sources.rendered import code_files
@@ -33,6 +34,14 @@ def build_registry() -> dict[str, Builder]:
     registry["structural_rules"] = on_files(lambda files: _gate_columns(gate.structural_findings(files)))
     registry["dedupe_findings"] = on_files(gate.text_findings)
     registry["scan_verdict"] = on_files(gate.text_verdicts)
+    registry["docstring_mask"] = on_files(lambda files: masked_lines(files).where("in_docstring").select("path", "line_no"))
+    registry["generic_naming"] = on_files(naming.generic_names)
+    registry["generic_overuse"] = on_files(naming.name_overuse)
+    registry["boolean_traps"] = on_files(naming.boolean_traps)
+    registry["magic_numbers"] = on_files(naming.magic_numbers)
+    registry["god_functions"] = on_files(naming.god_functions)
+    registry["verbose_comments"] = on_files(naming.verbose_comments)
+    registry["comment_share"] = on_files(naming.comment_share)
     return registry
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 #: Settings the library relies on for plan quality; all may be overridden.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

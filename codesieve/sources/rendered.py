@@ -40,18 +40,29 @@ def path_of(doc_id: Column) -> Column:
     return F.when(_slot(doc_id) == 8, doc).when(_slot(doc_id) == 9, manifest).otherwise(code)
 
 
-def _woven(doc_id: Column, text: Column, snippets: list[str], prefix: str) -> Column:
+def _woven(doc_id: Column, text: Column) -> Column:
     """Each text line (whole) followed by one snippet, joined by newlines."""
-    pool = text_array(snippets)
+    pool, start, sizes, prefixes = [], [], [], []
+    offsets: dict[tuple, int] = {}
+    for _, snippets, prefix in T.SLOTS:
+        key = tuple(snippets)
+        if key not in offsets:
+            offsets[key] = len(pool)
+            pool += snippets
+        start.append(offsets[key])
+        sizes.append(len(snippets))
+        prefixes.append(prefix)
+    by_slot = lambda values: F.split(F.lit(",".join(map(str, values))), ",")
+    at_slot = lambda values: F.element_at(by_slot(values), _slot(doc_id) + 1).cast("int")
     n = (doc_id % 97).cast("string")
 
     def piece(line: Column, pos: Column) -> Column:
-        pick = ((doc_id * 7 + pos * 13 + F.floor(doc_id / 10)) % len(snippets) + 1).cast("int")
-        snippet = F.element_at(pool, pick)
+        pick = (doc_id * 7 + pos * 13 + F.floor(doc_id / 10)) % at_slot(sizes) + at_slot(start) + 1
+        snippet = F.element_at(text_array(pool), pick.cast("int"))
         two = F.lpad(((doc_id + pos) % 18 + 1).cast("string"), 2, "0")
         for mark, value in (("{n}", n), ("{j}", pos.cast("string")), ("{k}", two)):
             snippet = F.replace(snippet, F.lit(mark), value)
-        return F.concat(F.lit(prefix), line, F.lit("\n"), snippet)
+        return F.concat(_pick(prefixes, _slot(doc_id)), line, F.lit("\n"), snippet)
 
     extra = F.array_repeat(F.lit("end"), (doc_id % 6 + 3).cast("int"))
     return F.array_join(F.transform(F.concat(F.split(text, "\n"), extra), piece), "\n")
@@ -60,17 +71,9 @@ def _woven(doc_id: Column, text: Column, snippets: list[str], prefix: str) -> Co
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, path, language, content)``, one file per document."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    doc_id, text = F.col("doc_id"), F.col("text")
-    content = None
-    for index, (_, snippets, prefix) in enumerate(T.SLOTS):
-        if index and T.SLOTS[index - 1] == T.SLOTS[index]:
-            continue
-        same = [i for i, slot in enumerate(T.SLOTS) if slot == T.SLOTS[index]]
-        test = _slot(doc_id).isin(same)
-        woven = _woven(doc_id, text, snippets, prefix)
-        content = F.when(test, woven) if content is None else content.when(test, woven)
+    doc_id = F.col("doc_id")
     return docs.select("doc_id", path_of(doc_id).alias("path"), language_of(doc_id).alias("language"),
-                       content.alias("content"))
+                       _woven(doc_id, F.col("text")).alias("content"))
 
 
 def diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,9 +240,32 @@ class Tree{j}Visitor:
     def visit_leaf(self):
         return [[[a for a in b] for b in c] for c in d]
 ====
+def sample_{j}():
+    return "mock_value"
+user_id = "john_doe"
+mail = "test@example.com"
+====
+class ReportBuilder{j}:
+    def add(self, part):
+        return self
+    def build(self):
+        return "TODO"
+====
+def configure_{j}(self, a1, b1, c1, d1, e1, f1, g1):
+    FEATURE_X = True
+    if USE_NEW and a1 or b1 and c1 or d1:
+        return {"valid": True}
+    elif USE_OLD and e1 or f1 or g1:
+        return 0 if a1 else 1 if b1 else 2
+    for step in range(9):
+        while step and a1 and b1:
+            step -= 1
+    return configure_{j}(a1)
+====
 # def old_handler{j}(x): return x
 # TODO: remove unused helper
 user_name = fetch(user)  # user name fetch'''.split("\n====\n")
+PYTHON.append("def long_{j}(x):\n" + "\n".join(f"    x = x + {{n}} * {i}" for i in range(55)) + "\n    return x")
 
 SCRIPT = '''function load{n}(data) {
 }
