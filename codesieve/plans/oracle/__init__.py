@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from codesieve.plans.oracle import gate, naming, security
+    from codesieve.plans.oracle import gate, metrics, naming, security
 
     out: dict[str, str] = {}
-    for module in (security, gate, naming):
+    for module in (security, gate, naming, metrics):
         out.update(module.sql())
     return out

@@ -87,7 +87,7 @@ NUMBERS = f"""SELECT path, line_no::INTEGER AS line_no, col_no::INTEGER AS col_n
  CASE WHEN v >= 100 THEN 0.85 ELSE 0.78 END::DOUBLE AS confidence, {R.context()} AS context FROM (
 SELECT *, number::DOUBLE AS v, split_part(split_part(line, '#', 1), '//', 1) AS code_part FROM (
  SELECT path, line_no, line, ord, regexp_extract(piece, '^\\d+\\.?\\d*\\b', 0) AS number,
-  sum(len(piece)) OVER (PARTITION BY path, line_no ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS col_no FROM (
+  sum(len(piece)) OVER (PARTITION BY path, line_no ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS col_no FROM (
   SELECT path, line_no, line, unnest(string_split(marked, chr(1))) AS piece, generate_subscripts(string_split(marked, chr(1)), 1) AS ord FROM (
    SELECT path, line_no, line, regexp_replace({ascii_words('line')}, '\\b(\\d+\\.?\\d*)\\b', chr(1) || '\\0', 'g') AS marked FROM masked
    WHERE NOT {R.comment('pattern')} AND NOT in_docstring AND {QUOTES} < 4 AND NOT regexp_matches(line, '^\\s*[A-Z_][A-Z0-9_]*\\s*='))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from codesieve.operators import gate, naming, security, stubs
+from codesieve.operators import gate, metrics, naming, security, stubs
 from codesieve.operators.lines import masked_lines
 from codesieve.rulebook import security as security_rules
 from codesieve.rulebook import stubs as stub_rules
@@ -42,9 +42,19 @@ def build_registry() -> dict[str, Builder]:
     registry["god_functions"] = on_files(naming.god_functions)
     registry["verbose_comments"] = on_files(naming.verbose_comments)
     registry["comment_share"] = on_files(naming.comment_share)
+    for key, operator in METRICS.items():
+        registry[key] = on_files(operator)
     return registry
 
 
+METRICS = {
+    "ngram_repetition": metrics.ngram_repetition, "ngram_top": metrics.repeated_triples,
+    "token_entropy": metrics.token_entropy, "halstead": metrics.halstead, "token_diversity": metrics.token_diversity,
+    "nesting_depth": metrics.nesting_depth, "dup_blocks": metrics.duplicate_blocks,
+    "jaccard_lines": metrics.adjacent_similarity, "cyclomatic_regex": metrics.cyclomatic_lines,
+    "cognitive": metrics.cognitive, "cognitive_hotspots": metrics.cognitive_hotspots,
+    "function_metrics": metrics.function_parameters, "maintainability": metrics.maintainability,
+}
 STUB_KEYS = {"placeholder": stub_rules.PLACEHOLDER, "stub": stub_rules.STUB, "success": stub_rules.ALWAYS_SUCCESS,
              "print": stub_rules.PRINT_ONLY, "fake": stub_rules.FAKE_DATA, "passthrough": stub_rules.PASSTHROUGH,
              "todo": stub_rules.TODO, "names": stub_rules.MOCK_NAME}
