@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from codesieve.plans.oracle import gate, metrics, naming, security
+    from codesieve.plans.oracle import gate, metrics, naming, security, wording
 
     out: dict[str, str] = {}
-    for module in (security, gate, naming, metrics):
+    for module in (security, gate, naming, metrics, wording):
         out.update(module.sql())
     return out

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from codesieve.operators import gate, metrics, naming, security, stubs
+from codesieve.operators import gate, metrics, naming, security, stubs, wording
 from codesieve.operators.lines import masked_lines
 from codesieve.rulebook import security as security_rules
 from codesieve.rulebook import stubs as stub_rules
 from codesieve.sources.rendered import code_files
+from codesieve.sources.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -42,8 +43,12 @@ def build_registry() -> dict[str, Builder]:
     registry["god_functions"] = on_files(naming.god_functions)
     registry["verbose_comments"] = on_files(naming.verbose_comments)
     registry["comment_share"] = on_files(naming.comment_share)
-    for key, operator in METRICS.items():
+    for key, operator in {**METRICS, **WORDING}.items():
         registry[key] = on_files(operator)
+    registry["com_extract"] = on_files(lambda files: wording.comments(files).select("path", "line_no", "text"))
+    registry["formality_turns"] = lambda spark, sf_dir: wording.formality(
+        table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text"),
+        "turn_id", "text")
     return registry
 
 
@@ -55,6 +60,14 @@ METRICS = {
     "cognitive": metrics.cognitive, "cognitive_hotspots": metrics.cognitive_hotspots,
     "function_metrics": metrics.function_parameters, "maintainability": metrics.maintainability,
 }
+WORDING = {
+    "sem_comment_quality": wording.comment_quality, "sem_writing_style": wording.writing_style,
+    "naming_styles": wording.naming_styles, "sem_docstring": wording.docstring_shapes,
+    "vocab_markers": wording.vocabulary, "formality": wording.formality, "com_verbose": wording.comment_phrases,
+    "com_obvious": wording.obvious_comments, "comment_metrics": wording.comment_metrics,
+    "com_ratio": wording.comment_ratio, "com_length": wording.comment_length, "com_filler": wording.filler_words,
+    "redundant_comments": wording.redundant_comments,
+}
 STUB_KEYS = {"placeholder": stub_rules.PLACEHOLDER, "stub": stub_rules.STUB, "success": stub_rules.ALWAYS_SUCCESS,
              "print": stub_rules.PRINT_ONLY, "fake": stub_rules.FAKE_DATA, "passthrough": stub_rules.PASSTHROUGH,
              "todo": stub_rules.TODO, "names": stub_rules.MOCK_NAME}
