@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from codesieve.plans.oracle import design, gate, metrics, naming, paths, security, wording
+    from codesieve.plans.oracle import design, gate, metrics, naming, paths, review, security, wording
 
     out: dict[str, str] = {}
-    for module in (security, gate, naming, metrics, wording, design, paths):
+    for module in (security, gate, naming, metrics, wording, design, paths, review):
         out.update(module.sql())
     return out
