@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.functions.frames import settled
 from codesieve.functions.text import rx
 from codesieve.operators.paths import is_test_path, strip_prefix
 
@@ -30,7 +31,7 @@ def _git_paths(first_line: Column) -> tuple[Column, Column]:
     pair = F.size(words) >= 2
     old = F.when(at > 0, F.substring(first_line, F.lit(1), at - 1)).when(pair, F.element_at(words, 1))
     new = F.when(at > 0, F.substring(first_line, at + 1, F.length(first_line))).when(pair, F.element_at(words, -1))
-    return strip_prefix(old), strip_prefix(new)
+    return old, new
 
 
 def _last_value(headers: Column, *prefixes: str) -> Column:
@@ -44,7 +45,7 @@ def _last_value(headers: Column, *prefixes: str) -> Column:
             expr = F.when(_starts(h, p), found) if expr is None else expr.when(_starts(h, p), found)
         return expr
     values = F.filter(F.transform(headers, value), lambda v: v.isNotNull())
-    return strip_prefix(F.try_element_at(values, F.lit(-1)))
+    return F.try_element_at(values, F.lit(-1))
 
 
 def _hunk(piece: Column) -> Column:
@@ -83,14 +84,18 @@ def file_diffs(diffs: DataFrame, exclude_oversized: bool = False) -> DataFrame:
     parts = F.split(section, rx("\\n(?=" + HUNK[1:] + ")"), -1)
     rows = per_file.select("diff_id", "file_no", F.split(F.element_at(parts, 1), "\n", -1).alias("top"),
                            F.transform(F.slice(parts, F.lit(2), F.size(parts)), _hunk).alias("hunks"))
-    rows = rows.withColumn("headers", F.concat(F.slice("top", F.lit(2), F.size("top")),
+    rows = settled(rows).withColumn("headers", F.concat(F.slice("top", F.lit(2), F.size("top")),
                                                F.flatten(F.transform("hunks", lambda h: h["tail"])))) \
         .withColumn("entries", F.flatten(F.transform("hunks", lambda h: h["added"])))
+    rows = settled(rows.select("diff_id", "file_no", F.element_at("top", 1).alias("git"), "headers", "entries"))
     any_header = lambda *prefixes: F.exists("headers", lambda h: F.coalesce(*[
         F.when(_starts(h, p), F.lit(True)) for p in prefixes], F.lit(False)))
-    old_git, new_git = _git_paths(F.element_at("top", 1))
+    old_git, new_git = _git_paths(F.col("git"))
     old = F.coalesce(_last_value(F.col("headers"), "rename from ", "--- "), old_git)
     new = F.coalesce(_last_value(F.col("headers"), "rename to ", "+++ "), new_git)
+    rows = settled(rows.withColumn("old", old).withColumn("new", new))
+    rows = settled(rows.withColumn("old", strip_prefix(F.col("old"))).withColumn("new", strip_prefix(F.col("new"))))
+    old, new = F.col("old"), F.col("new")
     deleted, fresh = any_header("deleted file mode"), any_header("new file mode")
     status = F.when(deleted, F.lit("deleted")).when(fresh, F.lit("added")) \
         .when(any_header("rename from ", "rename to "), F.lit("renamed")).otherwise(F.lit("modified"))
@@ -100,9 +105,9 @@ def file_diffs(diffs: DataFrame, exclude_oversized: bool = False) -> DataFrame:
     last = F.filter(entries, lambda e, i: ~F.exists(
         F.slice(entries, i + 2, F.size(entries)), lambda later: later["line_no"] == e["line_no"]))
     added = F.when(clash, F.array_sort(last)).otherwise(entries)
-    return rows.select("diff_id", "file_no", F.coalesce(F.when(deleted, old).otherwise(F.coalesce(new, old)), F.lit("")).alias("path"),
+    return settled(rows.select("diff_id", "file_no", F.coalesce(F.when(deleted, old).otherwise(F.coalesce(new, old)), F.lit("")).alias("path"),
                        F.coalesce(old, F.lit("")).alias("old_path"), status.alias("status"),
-                       any_header("Binary files ", "GIT binary patch").alias("is_binary"), added.alias("added"))
+                       any_header("Binary files ", "GIT binary patch").alias("is_binary"), added.alias("added")))
 
 
 def added_lines(files: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesieve.functions.frames import settled
 from codesieve.functions.text import text_array
 from codesieve.sources import templates as T
 from codesieve.sources.tables import spread, table
@@ -72,8 +73,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, path, language, content)``, one file per document."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     doc_id = F.col("doc_id")
-    return docs.select("doc_id", path_of(doc_id).alias("path"), language_of(doc_id).alias("language"),
-                       _woven(doc_id, F.col("text")).alias("content"))
+    return settled(docs.select("doc_id", path_of(doc_id).alias("path"), language_of(doc_id).alias("language"),
+                               _woven(doc_id, F.col("text")).alias("content")))
 
 
 def diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +116,9 @@ def diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ident, F.lit(".js\n--- a/lib/from"), ident, F.lit(".js\n+++ b/lib/to"), ident,
                        F.lit(".js\n@@ -7,2 +7,3 @@\n ctx();\n+// add code here later\n tail();\n\\ No newline at end of file"))
     third = F.when(doc_id % 3 == 0, binary).when(doc_id % 3 == 1, deleted).otherwise(renamed)
-    return files.withColumn("body", body).select(
+    return settled(settled(files.withColumn("body", body)).select(
         doc_id.alias("diff_id"),
-        F.concat(main, F.when(doc_id % 4 == 0, test_file).otherwise(F.lit("")), third).alias("diff"))
+        F.concat(main, F.when(doc_id % 4 == 0, test_file).otherwise(F.lit("")), third).alias("diff")))
 
 
 def rpc_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
