@@ -13,7 +13,7 @@ from codesieve.operators import (antipatterns, architecture, documents, emoji, g
                                  security, stubs, wording)
 from codesieve.operators.lines import COMMENT_PREFIXES, is_comment, lines
 from codesieve.operators.lines import masked_lines
-from codesieve.plans import review_queries
+from codesieve.plans import review_queries, score_queries, service_queries
 from codesieve.rulebook import security as security_rules
 from codesieve.rulebook import stubs as stub_rules
 from codesieve.sources.rendered import code_files
@@ -54,6 +54,8 @@ def build_registry() -> dict[str, Builder]:
         table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text"),
         "turn_id", "text")
     registry.update(review_queries.build())
+    registry.update(service_queries.build())
+    registry.update(score_queries.build())
     return registry
 
 
