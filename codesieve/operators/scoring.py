@@ -204,7 +204,7 @@ def scan_summary(scores: DataFrame, patterns: DataFrame, threshold: float) -> Da
         confidence_level(F.col("mean")).alias("level"), F.round(F.col("patterns") / F.greatest(F.col("files"), F.lit(1)), 6).alias("per_file"))
 
 
-def quality_gates(summary: DataFrame, max_confidence: float = 0.5, max_pct: float = 20.0) -> DataFrame:
+def quality_gates(summary: DataFrame, max_confidence: float = 0.6, max_pct: float = 30.0) -> DataFrame:
     failures = F.array_compact(F.array(
         F.when(F.col("confidence") > max_confidence, F.lit("confidence")),
         F.when(F.col("generated_pct") > max_pct, F.lit("share")),

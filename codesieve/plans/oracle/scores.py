@@ -103,7 +103,7 @@ def sql() -> dict[str, str]:
         "overall_confidence": with_lines("SELECT path, round(confidence, 6)::DOUBLE AS confidence, level FROM overall", *overall),
         "threshold_filter": with_lines(f"SELECT path, level FROM overall WHERE confidence >= {THRESHOLD}", *overall),
         "scan_summary": with_lines("SELECT * FROM summary", *overall, summary),
-        "quality_gates": with_lines(f"SELECT array_to_string(f, ',') AS failures, len(f) = 0 AS passed, {project('confidence')} AS risk FROM (SELECT *, list_filter([CASE WHEN confidence > 0.5 THEN 'confidence' END, CASE WHEN generated_pct > 20 THEN 'share' END, CASE WHEN critical_files > 0 THEN 'critical files' END], lambda x: x IS NOT NULL) AS f FROM summary)", *overall, summary),
+        "quality_gates": with_lines(f"SELECT array_to_string(f, ',') AS failures, len(f) = 0 AS passed, {project('confidence')} AS risk FROM (SELECT *, list_filter([CASE WHEN confidence > 0.6 THEN 'confidence' END, CASE WHEN generated_pct > 30 THEN 'share' END, CASE WHEN critical_files > 0 THEN 'critical files' END], lambda x: x IS NOT NULL) AS f FROM summary)", *overall, summary),
         "remediation": with_lines("""SELECT path, CASE level WHEN 'very_high' THEN 'CRITICAL' WHEN 'high' THEN 'HIGH' WHEN 'medium' THEN 'MEDIUM' ELSE 'LOW' END AS priority,
  CASE level WHEN 'very_high' THEN 'Schedule immediate manual review|Consider complete refactoring|Document AI tool usage|Add comprehensive tests' WHEN 'high' THEN 'Manual review required|Add code comments explaining logic|Verify error handling|Check security implications' ELSE 'Review when time permits|Document any AI assistance used' END AS actions FROM overall WHERE confidence >= 0.4""", *overall),
     }

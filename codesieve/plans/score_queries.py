@@ -13,7 +13,7 @@ from codesieve.sources.rendered import code_files
 #: Detectors whose scores the registered scan combines; duplicates are left to
 #: the ``statistical`` phase, which is registered on its own.
 SCAN_WEIGHTS = {k: v for k, v in scoring.PHASE_WEIGHTS.items() if k in ("security", "emoji", "architectural", "mock")}
-THRESHOLD = 0.3
+THRESHOLD = 0.4
 
 
 def _scores(files: DataFrame) -> DataFrame:
