@@ -90,7 +90,7 @@ def marked_prose(files: DataFrame, *keep: str) -> DataFrame:
     rules = [TextRule(rule[6], rule[1], _facts(rule)) for rule in G.PROSE_RULES]
     rows = run_text_rules(files, rules, "path", "language", *keep)
     nth, line = F.col("nth"), F.col("marked_line")
-    column = F.length(F.substring_index(line, MARK, nth.cast("int"))) - nth + 1
+    column = F.length(F.call_function("substring_index", line, F.lit(MARK), nth.cast("int"))) - nth + 1
     return rows.withColumn("col_no", column).drop("marked_line")
 
 

@@ -1,0 +1,116 @@
+"""Syntax-tree engine for Python and the full rule gate built on it."""
+
+from __future__ import annotations
+
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from codesieve.functions.frames import settled
+from codesieve.operators import gate, stubs
+from codesieve.operators.metrics import complexity_level
+
+SCHEMA = """parsed boolean,
+findings array<struct<line_no:int,class:string,finding:string,severity:string,source:string,cwe:string>>,
+docs array<struct<first:int,last:int>>, spans array<struct<l0:int,c0:int,l1:int,c1:int>>,
+functions array<struct<name:string,line_start:int,line_end:int,is_async:boolean,params:array<string>,complexity:int,decorators:array<string>>>,
+classes array<struct<name:string,line_start:int,line_end:int,bases:array<string>,methods:int>>,
+imports array<struct<module:string,line_no:int,level:int>>, variables array<struct<name:string,line_no:int,is_constant:boolean>>,
+complexity int, nesting int""".replace("\n", " ")
+NAMES = "parsed,findings,docs,spans,functions,classes,imports,variables,complexity,nesting".split(",")
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from codesieve.functions.pysyntax import facts
+
+    keys = {"findings": ("line_no", "class", "finding", "severity", "source", "cwe"), "docs": ("first", "last"),
+            "spans": ("l0", "c0", "l1", "c1"),
+            "functions": ("name", "line_start", "line_end", "is_async", "params", "complexity", "decorators"),
+            "classes": ("name", "line_start", "line_end", "bases", "methods"), "imports": ("module", "line_no", "level"),
+            "variables": ("name", "line_no", "is_constant")}
+    for batch in batches:
+        rows = []
+        for source in batch["content"]:
+            row = dict(zip(NAMES, facts(source)))
+            rows.append({k: [dict(zip(keys[k], item)) for item in v] if k in keys else v for k, v in row.items()})
+        out = pd.DataFrame(rows, columns=NAMES, index=batch.index)
+        yield pd.concat([batch[["path", "language", "content"]], out], axis=1)
+
+
+def python_facts(files: DataFrame) -> DataFrame:
+    """Python files with their facts; each source is parsed once, in Arrow batches."""
+    python = files.where("language = 'python'").select("path", "language", "content")
+    return python.mapInPandas(_parse, f"path string, language string, content string, {SCHEMA}")
+
+
+def _inside(spans: Column, line: Column, col: Column) -> Column:
+    """Is a position inside any (start, end) span, the end excluded?"""
+    at = F.struct(line.cast("int").alias("l"), col.cast("int").alias("c"))
+    return F.exists(spans, lambda s: (F.struct(s["l0"].alias("l"), s["c0"].alias("c")) <= at)
+                    & (at < F.struct(s["l1"].alias("l"), s["c1"].alias("c"))))
+
+
+def syntax_findings(facts: DataFrame) -> DataFrame:
+    return facts.select("path", F.inline("findings")).select(
+        "path", "line_no", "class", "finding", "severity", "source", F.lit(None).cast("double").alias("confidence"),
+        F.lit(None).cast("string").alias("suggestion"), "cwe")
+
+
+def python_gate(files: DataFrame) -> DataFrame:
+    """Stub, prose, structural and syntax findings of Python files, not yet collapsed."""
+    facts = python_facts(files)
+    stub_rows = stubs.findings(facts, stubs.S.FAMILIES, "docs", "parsed")
+    real = ~F.col("parsed") | ~F.endswith(F.col("pattern_type"), F.lit("docstring_todo")) | F.exists(
+        "docs", lambda d: (d["first"] <= F.col("line_no")) & (F.col("line_no") <= d["last"]))
+    prose = gate.marked_prose(facts, "spans")
+    prose = prose.where(~_inside(F.col("spans"), F.col("line_no"), F.col("col_no")))
+    return gate.adapt(stub_rows.where(real)).unionByName(gate.as_gate(prose)) \
+        .unionByName(gate.as_gate(gate.structural_findings(facts))).unionByName(syntax_findings(facts))
+
+
+def gate_findings(files: DataFrame) -> DataFrame:
+    """All engines over all files: syntax-aware for Python, lexical elsewhere."""
+    other = files.where("language <> 'python'")
+    lexical = gate.adapt(stubs.findings(other)).unionByName(gate.as_gate(gate.prose_findings(other))) \
+        .unionByName(gate.as_gate(gate.structural_findings(other)))
+    return gate.deduplicate(python_gate(files).unionByName(lexical))
+
+
+def gate_verdicts(files: DataFrame) -> DataFrame:
+    return gate.verdicts(files, gate_findings(files))
+
+
+def complexities(files: DataFrame) -> DataFrame:
+    """Functions above complexity 10 and modules above 20, from the tree."""
+    facts = settled(python_facts(files).select("path", "functions", "complexity"))
+    f = facts.select("path", F.inline("functions"))
+    severity, confidence = complexity_level(F.col("complexity"))
+    functions = f.where("complexity > 10").select(
+        "path", F.col("line_start").alias("line_no"), "name", "complexity", severity.alias("severity"), confidence.alias("confidence"))
+    modules = facts.where("complexity > 20").select(
+        "path", F.lit(1).alias("line_no"), F.lit("<file>").alias("name"), "complexity", F.lit("HIGH").alias("severity"), F.lit(0.90).alias("confidence"))
+    return functions.unionByName(modules)
+
+
+def function_table(files: DataFrame) -> DataFrame:
+    return python_facts(files).select("path", F.inline("functions")).withColumn(
+        "params", F.size("params")).withColumn("decorators", F.array_join("decorators", ","))
+
+
+def class_table(files: DataFrame) -> DataFrame:
+    return python_facts(files).select("path", F.inline("classes")).withColumn("bases", F.array_join("bases", ","))
+
+
+def import_table(files: DataFrame) -> DataFrame:
+    """Imported names by the tree: plain, from (relative ones have a level) and literal dynamic."""
+    return python_facts(files).select("path", F.inline("imports"))
+
+
+def variable_table(files: DataFrame) -> DataFrame:
+    return python_facts(files).select("path", F.inline("variables"))
+
+
+def module_table(files: DataFrame) -> DataFrame:
+    return python_facts(files).select("path", "parsed", "complexity", "nesting")
