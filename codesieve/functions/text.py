@@ -14,6 +14,8 @@ from typing import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codesieve.functions.literals import required
+
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 #: Control characters used to mark positions inside a text before splitting it.
@@ -27,13 +29,34 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?dU{flags}){pattern}"
 
 
-def found(text: Column, pattern: str, flags: str = "") -> Column:
-    return F.regexp_like(text, F.lit(rx(pattern, flags)))
+def folded(text: Column) -> Column:
+    """Lower-cased text for guards; the one odd letter that matches ``s`` is mapped."""
+    return F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))
+
+
+def guard(text: Column, pattern: str, flags: str = "", low: Column | None = None) -> Column | None:
+    """Cheap test that every matching text passes; null when there is none.
+
+    Patterns that ignore case need the folded text, computed once by the caller.
+    """
+    fold, literals = required(pattern, flags)
+    base = low if fold else text
+    if not literals or base is None:
+        return None
+    return reduce(lambda a, b: a & b, [F.contains(base, F.lit(lit)) for lit in literals])
+
+
+def found(text: Column, pattern: str, flags: str = "", low: Column | None = None) -> Column:
+    test = F.regexp_like(text, F.lit(rx(pattern, flags)))
+    cheap = guard(text, pattern, flags, low)
+    return test if cheap is None else cheap & test
 
 
-def hits(text: Column, pattern: str, flags: str = "") -> Column:
+def hits(text: Column, pattern: str, flags: str = "", low: Column | None = None) -> Column:
     """Number of non-overlapping matches."""
-    return F.regexp_count(text, F.lit(rx(pattern, flags)))
+    count = F.regexp_count(text, F.lit(rx(pattern, flags)))
+    cheap = guard(text, pattern, flags, low)
+    return count if cheap is None else F.when(cheap, count).otherwise(F.when(text.isNotNull(), F.lit(0)))
 
 
 def matches(text: Column, pattern: str, flags: str = "", group: int = 0) -> Column:

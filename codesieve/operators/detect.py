@@ -13,8 +13,9 @@ from typing import Callable, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.functions.frames import settled
 from codesieve.functions.rules import Family
-from codesieve.functions.text import MARK, hits, replaced
+from codesieve.functions.text import MARK, folded, found, replaced
 
 
 class LineRule(NamedTuple):
@@ -45,9 +46,10 @@ class TextRule(NamedTuple):
 
 def run_text_rules(files: DataFrame, rules: list[TextRule], *keep: str) -> DataFrame:
     """One row per match of every rule, with the line the match starts on."""
-    content = F.col("content")
+    content, low = F.col("content"), F.col("_low")
+    files = settled(files.select(*keep, content, folded(content).alias("_low")))
     marked = F.array_compact(F.array(*[
-        F.when(hits(content, rule.pattern, rule.flags) > 0,
+        F.when(found(content, rule.pattern, rule.flags, low),
                F.struct(rule.facts.alias("facts"), F.lit(order).alias("rule_no"),
                         replaced(content, rule.pattern, MARK + "$0", rule.flags).alias("text")))
         for order, rule in enumerate(rules)]))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import MARK, matches, replaced, rx
+from codesieve.functions.frames import settled
+from codesieve.functions.text import MARK, folded, found, matches, replaced, rx
 from codesieve.operators import stubs
 from codesieve.operators.detect import TextRule, run_text_rules
 from codesieve.operators.lines import lines
@@ -71,9 +72,10 @@ def prose_findings(files: DataFrame, rules=G.PROSE_RULES, *keep: str) -> DataFra
     Literals are recognised lexically, as for every language but Python (whose
     spans come from its tokenizer, see ``operators.syntax``).
     """
-    content = F.col("content")
+    content, low = F.col("content"), F.col("_low")
+    files = settled(files.select("path", "language", *keep, content, folded(content).alias("_low")))
     per_rule = files.select("path", "language", *keep, F.explode(F.array_compact(F.array(*[
-        F.when(F.regexp_like(content, F.lit(rx(rule[6], rule[1]))),
+        F.when(found(content, rule[6], rule[1], low),
                F.struct(_facts(rule).alias("facts"),
                         _unmark_strings(replaced(content, rule[6], MARK + "$0", rule[1])).alias("text")))
         for rule in rules]))).alias("m"))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import (INSIDE_A, INSIDE_B, MARK, found, lstrip, matches, replaced, rx,
+from codesieve.functions.frames import settled
+from codesieve.functions.text import (INSIDE_A, INSIDE_B, MARK, folded, found, lstrip, matches, replaced, rx,
                                       starts_with_any, strip)
 
 HASH = ("#",)
@@ -55,6 +56,11 @@ def lines(files: DataFrame, *keep: str) -> DataFrame:
         .withColumn("line_no", F.col("pos") + 1).drop("pos")
 
 
+def with_low(rows: DataFrame, text: str = "line") -> DataFrame:
+    """Rows plus the folded text that guards of case-ignoring rules read."""
+    return settled(rows.withColumn("low", folded(F.col(text))))
+
+
 def _tag_inside(text: Column, delimiter: str, tag: str) -> Column:
     """Tag every line that starts inside a toggling delimiter pair."""
     pieces = F.split(text, rx(delimiter), -1)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesieve.functions.frames import settled
 from codesieve.functions.text import (capture, found, hits, indent, matches, occurrences, replaced, starts_with_any,
                                       strip)
 from codesieve.operators.lines import is_comment, lines
@@ -180,12 +181,17 @@ def normal_lines(files: DataFrame) -> DataFrame:
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """Every run of four lines: ``(path, n, i, text, words)``, words sorted and distinct."""
+    """Every run of four lines: ``(path, n, i, digest, words)``.
+
+    Words are distinct and ordered longest first, since long words are rare ones.
+    """
     rows = normal_lines(files)
     spans = F.transform(F.sequence(F.lit(0), F.size("norm") - WINDOW_LINES),
                         lambda i: F.array_join(F.slice("norm", i + 1, F.lit(WINDOW_LINES)), "\n"))
-    return rows.select("path", F.size("norm").alias("n"), F.posexplode(spans).alias("i", "text")) \
-        .withColumn("words", F.array_sort(F.array_distinct(F.split("text", "[ \n]"))))
+    exploded = rows.select("path", F.size("norm").alias("n"), F.posexplode(spans).alias("i", "text"))
+    by_length = F.array_sort(F.transform(F.array_distinct(F.split("text", "[ \n]")), lambda w: F.struct(-F.length(w), w.alias("w"))))
+    return settled(exploded.select("path", "n", "i", F.md5("text").alias("digest"),
+                                   F.transform(by_length, lambda s: s["w"]).alias("words")))
 
 
 def duplicate_blocks(files: DataFrame, top: int = 5) -> DataFrame:
@@ -197,8 +203,8 @@ def duplicate_blocks(files: DataFrame, top: int = 5) -> DataFrame:
     set pair is turned back into positions by taking the next one only.
     """
     all_blocks = blocks(files)
-    first = Window.partitionBy("path", "text")
-    exact = all_blocks.withColumn("start", F.min("i").over(first)).where(F.col("i") > F.col("start")).select(
+    first = Window.partitionBy("path", "digest")
+    exact = all_blocks.select("path", "i", "digest").withColumn("start", F.min("i").over(first)).where(F.col("i") > F.col("start")).select(
         "path", F.lit(0).alias("kind"), F.col("i").alias("seq"), F.col("start").alias("a"), F.col("i").alias("b"),
         F.lit(1.0).alias("similarity"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codesieve.functions.rules import Family, Rule
 from codesieve.functions.text import capture, found, lookup, replaced, rx, strip
 from codesieve.operators.detect import LineRule, run_line_rules
-from codesieve.operators.lines import context, is_comment, lines
+from codesieve.operators.lines import context, is_comment, lines, with_low
 from codesieve.rulebook import security as S
 
 WEIGHTS = {"CRITICAL": 1.5, "HIGH": 1.0, "MEDIUM": 0.6, "LOW": 0.3}
@@ -61,7 +61,7 @@ def line_rules(families=S.FAMILIES) -> list[LineRule]:
             where = found(line, "|".join(S.RANDOM_CONTEXT_WORDS), "i")
         if family is S.HARDCODED_SECRET:
             guard = _not_test_value(line)
-        index = family.first_match(line, guard)
+        index = family.first_match(line, guard, F.col("low"))
         rules.append(LineRule(family.name, F.when(where, index) if where is not None else index,
                               _finding(family, line)))
     return rules
@@ -69,5 +69,5 @@ def line_rules(families=S.FAMILIES) -> list[LineRule]:
 
 def findings(files: DataFrame, families=S.FAMILIES) -> DataFrame:
     """Security findings: one row per line and family, first matching rule wins."""
-    code = lines(files).where(~is_comment("security", F.col("line"), F.col("language")))
+    code = with_low(lines(files).where(~is_comment("security", F.col("line"), F.col("language"))))
     return run_line_rules(code, line_rules(families), *COLUMNS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.text import (contains_any, found, hits, lookup, matches, rx,
                                       starts_with_any, strip)
-from codesieve.operators.lines import context, is_comment, lines
+from codesieve.operators.lines import context, is_comment, lines, with_low
 from codesieve.operators.metrics import words
 from codesieve.rulebook import style as R
 
@@ -44,8 +44,8 @@ def comment_quality(files: DataFrame) -> DataFrame:
 
 def writing_style(files: DataFrame) -> DataFrame:
     line, language = F.col("line"), F.col("language")
-    rows = lines(files).where(is_comment("semantic", line, language)) \
-        .withColumn("i", R.WRITING_STYLE.first_match(line)).where("i is not null")
+    rows = with_low(lines(files).where(is_comment("semantic", line, language))) \
+        .withColumn("i", R.WRITING_STYLE.first_match(line, low=F.col("low"))).where("i is not null")
     confidence = R.WRITING_STYLE.confidences(F.col("i"))
     return rows.select("path", "line_no", R.WRITING_STYLE.names(F.col("i")).alias("phrase"),
                        F.when(confidence > 0.85, F.lit("HIGH")).when(confidence > 0.70, F.lit("MEDIUM"))
@@ -177,7 +177,7 @@ def comments(files: DataFrame) -> DataFrame:
 
 def comment_phrases(files: DataFrame) -> DataFrame:
     text = F.col("text")
-    rows = comments(files).withColumn("i", R.COMMENT_PHRASES.first_match(text)).where("i is not null")
+    rows = with_low(comments(files), "text").withColumn("i", R.COMMENT_PHRASES.first_match(text, low=F.col("low"))).where("i is not null")
     name, confidence = R.COMMENT_PHRASES.names(F.col("i")), R.COMMENT_PHRASES.confidences(F.col("i"))
     return rows.select("path", "line_no", name.alias("phrase"),
                        F.when(confidence > 0.85, F.lit("HIGH")).when(confidence > 0.70, F.lit("MEDIUM"))
