@@ -183,7 +183,8 @@ def normal_lines(files: DataFrame) -> DataFrame:
 def blocks(files: DataFrame) -> DataFrame:
     """Every run of four lines: ``(path, n, i, digest, words)``.
 
-    Words are distinct and ordered longest first, since long words are rare ones.
+    Words are distinct 64-bit hashes (numbers compare and shuffle faster), ordered
+    longest word first, since long words are rare ones.
     """
     rows = normal_lines(files)
     spans = F.transform(F.sequence(F.lit(0), F.size("norm") - WINDOW_LINES),
@@ -191,7 +192,7 @@ def blocks(files: DataFrame) -> DataFrame:
     exploded = rows.select("path", F.size("norm").alias("n"), F.posexplode(spans).alias("i", "text"))
     by_length = F.array_sort(F.transform(F.array_distinct(F.split("text", "[ \n]")), lambda w: F.struct(-F.length(w), w.alias("w"))))
     return settled(exploded.select("path", "n", "i", F.md5("text").alias("digest"),
-                                   F.transform(by_length, lambda s: s["w"]).alias("words")))
+                                   F.transform(by_length, lambda s: F.xxhash64(s["w"])).alias("words")))
 
 
 def duplicate_blocks(files: DataFrame, top: int = 5) -> DataFrame:
