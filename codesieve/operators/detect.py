@@ -54,12 +54,17 @@ def run_text_rules(files: DataFrame, rules: list[TextRule], *keep: str) -> DataF
                         replaced(content, rule.pattern, MARK + "$0", rule.flags).alias("text")))
         for order, rule in enumerate(rules)]))
     per_rule = files.select(*keep, F.explode(marked).alias("m"))
-    per_line = per_rule.select(*keep, "m.facts", "m.rule_no",
-                               F.posexplode(F.split("m.text", "\n", -1)).alias("pos", "marked_line"))
+    per_line = per_rule.select(*keep, "m.facts", "m.rule_no", F.inline(marked_lines(F.col("m.text"))))
     starts = F.length("marked_line") - F.length(F.translate("marked_line", MARK, ""))
-    return per_line.where(F.contains(F.col("marked_line"), F.lit(MARK))) \
-        .select(*keep, (F.col("pos") + 1).alias("line_no"), "rule_no", "facts.*",
-                F.explode(F.sequence(F.lit(1), starts)).alias("nth"), "marked_line")
+    return per_line.select(*keep, "line_no", "rule_no", "facts.*",
+                           F.explode(F.sequence(F.lit(1), starts)).alias("nth"), "marked_line")
+
+
+def marked_lines(text: Column) -> Column:
+    """Numbered lines holding a mark; all others are dropped before any row is made."""
+    numbered = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(
+        (i + 1).alias("line_no"), line.alias("marked_line")))
+    return F.filter(numbered, lambda s: F.contains(s["marked_line"], F.lit(MARK)))
 
 
 def first_match_rule(family: Family, line: Column, build: Callable[[Column], Column],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codesieve.functions.frames import settled
 from codesieve.functions.text import MARK, folded, found, matches, replaced, rx
 from codesieve.operators import stubs
-from codesieve.operators.detect import TextRule, run_text_rules
+from codesieve.operators.detect import TextRule, marked_lines, run_text_rules
 from codesieve.operators.lines import lines
 from codesieve.rulebook import gate as G
 
@@ -79,18 +79,36 @@ def prose_findings(files: DataFrame, rules=G.PROSE_RULES, *keep: str) -> DataFra
                F.struct(_facts(rule).alias("facts"),
                         _unmark_strings(replaced(content, rule[6], MARK + "$0", rule[1])).alias("text")))
         for rule in rules]))).alias("m"))
-    per_line = per_rule.select("path", "language", *keep, "m.facts",
-                               F.posexplode(F.split("m.text", "\n", -1)).alias("pos", "marked_line"))
+    per_line = per_rule.select("path", "language", *keep, "m.facts", F.inline(marked_lines(F.col("m.text"))))
     starts = F.length("marked_line") - F.length(F.translate("marked_line", MARK, ""))
-    return per_line.where(starts > 0).select(
-        "path", "language", *keep, (F.col("pos") + 1).alias("line_no"), "facts.*",
+    return per_line.select(
+        "path", "language", *keep, "line_no", "facts.*",
         F.explode(F.sequence(F.lit(1), starts)).alias("nth"))
 
 
-def marked_prose(files: DataFrame, *keep: str) -> DataFrame:
-    """Prose matches with their column, before any suppression."""
-    rules = [TextRule(rule[6], rule[1], _facts(rule)) for rule in G.PROSE_RULES]
-    rows = run_text_rules(files, rules, "path", "language", *keep)
+def all_matches(files: DataFrame, *keep: str) -> DataFrame:
+    """Stub, prose and structural matches in one pass, before any suppression.
+
+    ``kind`` is the stub rule's type, ``prose``, ``marker`` or ``structure``;
+    ``col_no`` is the 0-based column of the match.
+    """
+    def facts(kind, failure_class, finding, severity, source, confidence, suggestion, cwe) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), failure_class.alias("class"), F.lit(finding).alias("finding"),
+                        severity.alias("severity"), F.lit(source).alias("source"),
+                        F.lit(confidence).cast("double").alias("confidence"), F.lit(suggestion).cast("string").alias("suggestion"),
+                        cwe.cast("string").alias("cwe"))
+
+    rules = []
+    for fam in stubs.S.FAMILIES:
+        for rule in fam:
+            kind = stubs.pattern_type(fam, rule)
+            rules.append(TextRule(rule.pattern, fam.flags, facts(
+                kind, class_of(F.lit(kind)), stubs.description(fam, rule), gate_severity(F.lit(rule.severity), F.lit(rule.confidence)),
+                G.SOURCE_STUBS, round(rule.confidence, 2), fam.facts["suggestion"], cwe_of(F.lit(kind)))))
+    for kind, flags, severity, cwe, number, message, pattern in (*G.PROSE_RULES, *G.STRUCTURAL_RULES):
+        rules.append(TextRule(pattern, flags, facts(kind, F.lit(G.CLASSES[number]), message, F.lit(severity), G.SOURCE_PROSE,
+                                                    None, None, F.lit(cwe))))
+    rows = run_text_rules(files, rules, "path", *keep)
     nth, line = F.col("nth"), F.col("marked_line")
     column = F.length(F.call_function("substring_index", line, F.lit(MARK), nth.cast("int"))) - nth + 1
     return rows.withColumn("col_no", column).drop("marked_line")

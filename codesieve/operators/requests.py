@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.functions.frames import settled
 from codesieve.functions.text import strip
 
 MAX_FRAME_CHARS = 50_000_000
@@ -19,10 +20,12 @@ def _kind(value: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
 
 
-def dispatch(raw: Column) -> dict[str, Column]:
-    """``code`` (0 for a result), ``message``, ``id`` and ``answered`` of one request line."""
+def dispatch(raw: Column, value: Column) -> dict[str, Column]:
+    """``code`` (0 for a result), ``message``, ``id`` and ``answered`` of one request line.
+
+    ``value`` is the parsed line (null when it is no JSON).
+    """
     line = strip(raw)
-    value = F.try_parse_json(line)
     text = lambda path: F.try_variant_get(value, path, "string")
     is_object = F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
     has = lambda path: F.try_variant_get(value, path, "variant").isNotNull()
@@ -57,8 +60,9 @@ def dispatch(raw: Column) -> dict[str, Column]:
 
 def responses(frames: DataFrame) -> DataFrame:
     """One response row per answered request line; works on streams as well."""
-    parts = dispatch(F.col("raw"))
-    rows = frames.select("seq", *[column.alias(name) for name, column in parts.items()])
+    parsed = settled(frames.select("seq", "raw", F.try_parse_json(strip(F.col("raw"))).alias("value")))
+    parts = dispatch(F.col("raw"), F.col("value"))
+    rows = parsed.select("seq", *[column.alias(name) for name, column in parts.items()])
     return rows.where("not blank and answered").select("seq", "code", "message", "id")
 
 
@@ -68,7 +72,8 @@ KEYS = ("exclude", "fail_on_review", "require_tests", "min_test_trigger_lines",
 
 def validate_policies(policies: DataFrame) -> DataFrame:
     """First violated rule of each policy text, or ``ok`` with defaults filled in."""
-    value = F.try_parse_json(F.col("raw"))
+    policies = settled(policies.select("config_id", "raw", F.try_parse_json(F.col("raw")).alias("value")))
+    value = F.col("value")
     kind = lambda path: F.schema_of_variant(F.try_variant_get(value, path, "variant"))
     has = lambda key: F.try_variant_get(value, f"$.{key}", "variant").isNotNull()
     top = F.coalesce(F.schema_of_variant(value), F.lit(""))

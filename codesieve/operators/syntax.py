@@ -12,37 +12,37 @@ from codesieve.functions.frames import settled
 from codesieve.operators import gate, stubs
 from codesieve.operators.metrics import complexity_level
 
-SCHEMA = """parsed boolean,
-findings array<struct<line_no:int,class:string,finding:string,severity:string,source:string,cwe:string>>,
-docs array<struct<first:int,last:int>>, spans array<struct<l0:int,c0:int,l1:int,c1:int>>,
-functions array<struct<name:string,line_start:int,line_end:int,is_async:boolean,params:array<string>,complexity:int,decorators:array<string>>>,
-classes array<struct<name:string,line_start:int,line_end:int,bases:array<string>,methods:int>>,
-imports array<struct<module:string,line_no:int,level:int>>, variables array<struct<name:string,line_no:int,is_constant:boolean>>,
-complexity int, nesting int""".replace("\n", " ")
-NAMES = "parsed,findings,docs,spans,functions,classes,imports,variables,complexity,nesting".split(",")
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from codesieve.functions.pysyntax import facts
-
-    keys = {"findings": ("line_no", "class", "finding", "severity", "source", "cwe"), "docs": ("first", "last"),
-            "spans": ("l0", "c0", "l1", "c1"),
-            "functions": ("name", "line_start", "line_end", "is_async", "params", "complexity", "decorators"),
-            "classes": ("name", "line_start", "line_end", "bases", "methods"), "imports": ("module", "line_no", "level"),
-            "variables": ("name", "line_no", "is_constant")}
-    for batch in batches:
-        rows = []
-        for source in batch["content"]:
-            row = dict(zip(NAMES, facts(source)))
-            rows.append({k: [dict(zip(keys[k], item)) for item in v] if k in keys else v for k, v in row.items()})
-        out = pd.DataFrame(rows, columns=NAMES, index=batch.index)
-        yield pd.concat([batch[["path", "language", "content"]], out], axis=1)
-
-
-def python_facts(files: DataFrame) -> DataFrame:
-    """Python files with their facts; each source is parsed once, in Arrow batches."""
+#: Fact -> (DDL type, field names of its rows).
+FIELDS = {
+    "parsed": ("boolean", None), "complexity": ("int", None), "nesting": ("int", None),
+    "findings": ("array<struct<line_no:int,class:string,finding:string,severity:string,source:string,cwe:string>>",
+                 ("line_no", "class", "finding", "severity", "source", "cwe")),
+    "docs": ("array<struct<first:int,last:int>>", ("first", "last")),
+    "spans": ("array<struct<l0:int,c0:int,l1:int,c1:int>>", ("l0", "c0", "l1", "c1")),
+    "functions": ("array<struct<name:string,line_start:int,line_end:int,is_async:boolean,params:array<string>,complexity:int,decorators:array<string>>>",
+                  ("name", "line_start", "line_end", "is_async", "params", "complexity", "decorators")),
+    "classes": ("array<struct<name:string,line_start:int,line_end:int,bases:array<string>,methods:int>>",
+                ("name", "line_start", "line_end", "bases", "methods")),
+    "imports": ("array<struct<module:string,line_no:int,level:int>>", ("module", "line_no", "level")),
+    "variables": ("array<struct<name:string,line_no:int,is_constant:boolean>>", ("name", "line_no", "is_constant")),
+}
+
+
+def python_facts(files: DataFrame, *want: str) -> DataFrame:
+    """Python files with the wanted facts; each source is parsed once, in Arrow batches."""
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from codesieve.functions.pysyntax import facts
+
+        for batch in batches:
+            rows = [facts(source, want) for source in batch["content"]]
+            for name in want:
+                fields = FIELDS[name][1]
+                batch[name] = [[dict(zip(fields, item)) for item in row[name]] if fields else row[name] for row in rows]
+            yield batch
+
     python = files.where("language = 'python'").select("path", "language", "content")
-    return python.mapInPandas(_parse, f"path string, language string, content string, {SCHEMA}")
+    schema = ", ".join(["path string", "language string", "content string", *[f"{name} {FIELDS[name][0]}" for name in want]])
+    return python.mapInPandas(parse, schema)
 
 
 def _inside(spans: Column, line: Column, col: Column) -> Column:
@@ -60,14 +60,16 @@ def syntax_findings(facts: DataFrame) -> DataFrame:
 
 def python_gate(files: DataFrame) -> DataFrame:
     """Stub, prose, structural and syntax findings of Python files, not yet collapsed."""
-    facts = python_facts(files)
-    stub_rows = stubs.findings(facts, stubs.S.FAMILIES, "docs", "parsed")
-    real = ~F.col("parsed") | ~F.endswith(F.col("pattern_type"), F.lit("docstring_todo")) | F.exists(
-        "docs", lambda d: (d["first"] <= F.col("line_no")) & (F.col("line_no") <= d["last"]))
-    prose = gate.marked_prose(facts, "spans")
-    prose = prose.where(~_inside(F.col("spans"), F.col("line_no"), F.col("col_no")))
-    return gate.adapt(stub_rows.where(real)).unionByName(gate.as_gate(prose)) \
-        .unionByName(gate.as_gate(gate.structural_findings(facts))).unionByName(syntax_findings(facts))
+    facts = python_facts(files, "docs", "spans", "parsed").where(F.length(F.btrim("content")) > 0) \
+        .withColumn("is_test", stubs.reads_like_a_test(F.col("content")))
+    rows = gate.all_matches(facts, "docs", "spans", "parsed", "is_test")
+    kind, line = F.col("kind"), F.col("line_no")
+    quoted = kind.isin("prose", "marker") & _inside(F.col("spans"), line, F.col("col_no"))
+    # A docstring match counts only inside a real docstring that holds a trigger word.
+    stray = F.endswith(kind, F.lit("docstring_todo")) & F.col("parsed") & ~F.exists(
+        "docs", lambda d: (d["first"] <= line) & (line <= d["last"]))
+    kept = rows.where(~quoted & ~stray & ~((kind == "mock_function_name") & F.col("is_test")))
+    return kept.select(*gate.FINDING).unionByName(syntax_findings(python_facts(files, "findings")))
 
 
 def gate_findings(files: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def gate_verdicts(files: DataFrame) -> DataFrame:
 
 def complexities(files: DataFrame) -> DataFrame:
     """Functions above complexity 10 and modules above 20, from the tree."""
-    facts = settled(python_facts(files).select("path", "functions", "complexity"))
+    facts = settled(python_facts(files, "functions", "complexity").select("path", "functions", "complexity"))
     f = facts.select("path", F.inline("functions"))
     severity, confidence = complexity_level(F.col("complexity"))
     functions = f.where("complexity > 10").select(
@@ -95,22 +97,22 @@ def complexities(files: DataFrame) -> DataFrame:
 
 
 def function_table(files: DataFrame) -> DataFrame:
-    return python_facts(files).select("path", F.inline("functions")).withColumn(
+    return python_facts(files, "functions").select("path", F.inline("functions")).withColumn(
         "params", F.size("params")).withColumn("decorators", F.array_join("decorators", ","))
 
 
 def class_table(files: DataFrame) -> DataFrame:
-    return python_facts(files).select("path", F.inline("classes")).withColumn("bases", F.array_join("bases", ","))
+    return python_facts(files, "classes").select("path", F.inline("classes")).withColumn("bases", F.array_join("bases", ","))
 
 
 def import_table(files: DataFrame) -> DataFrame:
     """Imported names by the tree: plain, from (relative ones have a level) and literal dynamic."""
-    return python_facts(files).select("path", F.inline("imports"))
+    return python_facts(files, "imports").select("path", F.inline("imports"))
 
 
 def variable_table(files: DataFrame) -> DataFrame:
-    return python_facts(files).select("path", F.inline("variables"))
+    return python_facts(files, "variables").select("path", F.inline("variables"))
 
 
 def module_table(files: DataFrame) -> DataFrame:
-    return python_facts(files).select("path", "parsed", "complexity", "nesting")
+    return python_facts(files, "parsed", "complexity", "nesting").select("path", "parsed", "complexity", "nesting")

@@ -143,7 +143,7 @@ SYNTAX = {
 
 
 def _by_source(files: DataFrame, source: str) -> DataFrame:
-    rows = syntax.syntax_findings(syntax.python_facts(files)).where(F.col("source") == source)
+    rows = syntax.syntax_findings(syntax.python_facts(files, "findings")).where(F.col("source") == source)
     return rows.select("path", "line_no", "class", "finding", "severity", "cwe")
 
 

@@ -123,7 +123,7 @@ def diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rpc_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(seq, raw)``: one request line per event, some broken on purpose."""
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props")
+    events = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props"), "event_id")
     return events.select(F.col("event_id").alias("seq"), frame_of(
         F.col("event_id"), F.col("event_type"), F.col("user_id"), F.col("props")).alias("raw"))
 
@@ -153,7 +153,7 @@ def frame_of(event_id: Column, event_type: Column, user_id: Column, props: Colum
 
 def policy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(config_id, raw)``: one review policy per event, valid and invalid."""
-    events = table(spark, sf_dir, "events").select("event_id", "props", "value")
+    events = spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
     e = F.col("event_id")
     raw = (F.when(e % 9 == 0, F.concat(F.lit('{"exclude":["vendor/*"],"business_logic":'), F.col("props"), F.lit("}")))
            .when(e % 9 == 1, F.concat(F.lit('{"min_test_trigger_lines":'), (e % 40).cast("string"), F.lit(',"require_tests":"fail"}')))

@@ -50,14 +50,14 @@ def _function(branches):
 
 @pytest.mark.parametrize("branches,found", [(9, 0), (10, 1)])
 def test_complexity_limit(code, branches, found):
-    rows = syntax.syntax_findings(syntax.python_facts(code(("p.py", "python", _function(branches)))))
+    rows = syntax.syntax_findings(syntax.python_facts(code(("p.py", "python", _function(branches))), "findings"))
     assert rows.where("class like 'Power of 10 - Rule 1%'").count() == found
 
 
 @pytest.mark.parametrize("body,found", [(49, 0), (50, 1)])
 def test_length_limit(code, body, found):
     text = "def f(x):\n" + "    x = x + 1\n" * body
-    rows = syntax.syntax_findings(syntax.python_facts(code(("p.py", "python", text))))
+    rows = syntax.syntax_findings(syntax.python_facts(code(("p.py", "python", text)), "findings"))
     assert rows.where("class like 'Power of 10 - Rule 4%'").count() == found
 
 
