@@ -48,25 +48,45 @@ def _last_value(headers: Column, *prefixes: str) -> Column:
     return F.try_element_at(values, F.lit(-1))
 
 
-def _hunk(piece: Column) -> Column:
-    """struct(added array<struct<line_no,text>>, tail array<string>) of one hunk."""
+def _plus(line: Column) -> Column:
+    return _starts(line, "+")
+
+
+def _minus(line: Column) -> Column:
+    return _starts(line, "-")
+
+
+def _note(line: Column) -> Column:
+    return _starts(line, "\\")
+
+
+def _hunk_head(piece: Column) -> Column:
+    """struct(body, start, old_n, new_n): the numbers are read once per hunk."""
     rows = F.split(piece, "\n", -1)
-    head = F.element_at(rows, 1)
-    number = lambda g: F.regexp_extract(head, rx(HUNK), g)
+    number = lambda g: F.regexp_extract(F.element_at(rows, 1), rx(HUNK), g)
     budget = lambda g: F.when(number(g) == "", F.lit(1)).otherwise(number(g).try_cast("int"))
-    body = F.slice(rows, F.lit(2), F.size(rows))
-    plus, minus, note = (lambda l: _starts(l, "+")), (lambda l: _starts(l, "-")), (lambda l: _starts(l, "\\"))
+    return F.struct(F.slice(rows, F.lit(2), F.size(rows)).alias("body"), number(3).try_cast("int").alias("start"),
+                    budget(2).alias("old_n"), budget(4).alias("new_n"))
+
+
+def _hunk_end(hunk: Column) -> Column:
+    """struct(body, start, stop): the lines up to where both budgets are spent."""
+    body = hunk["body"]
     where = lambda test: F.filter(F.transform(body, lambda l, i: F.when(test(l), i + 1)), lambda i: i.isNotNull())
-    old_rows = where(lambda l: ~plus(l) & ~note(l))
-    new_rows = where(lambda l: ~minus(l) & ~note(l))
-    spent = lambda rows_, n: F.when(n <= 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(rows_, n), F.size(body)))
-    end = F.greatest(spent(old_rows, budget(2)), spent(new_rows, budget(4)))
-    live = F.slice(body, F.lit(1), end)
-    fresh = F.transform(F.filter(live, lambda l: ~minus(l) & ~note(l)), lambda l, i: F.struct(
-        (number(3).try_cast("int") + i).alias("line_no"), l.alias("raw")))
-    added = F.transform(F.filter(fresh, lambda s: plus(s["raw"])), lambda s: F.struct(
+    spent = lambda rows, n: F.when(n <= 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(rows, n), F.size(body)))
+    stop = F.greatest(spent(where(lambda l: ~_plus(l) & ~_note(l)), hunk["old_n"]),
+                      spent(where(lambda l: ~_minus(l) & ~_note(l)), hunk["new_n"]))
+    return F.struct(body.alias("body"), hunk["start"].alias("start"), stop.alias("stop"))
+
+
+def _hunk_lines(hunk: Column) -> Column:
+    """struct(added array<struct<line_no,text>>, tail array<string>) of one hunk."""
+    live = F.slice(hunk["body"], F.lit(1), hunk["stop"])
+    fresh = F.transform(F.filter(live, lambda l: ~_minus(l) & ~_note(l)), lambda l, i: F.struct(
+        (hunk["start"] + i).alias("line_no"), l.alias("raw")))
+    added = F.transform(F.filter(fresh, lambda s: _plus(s["raw"])), lambda s: F.struct(
         s["line_no"].alias("line_no"), F.substring(s["raw"], F.lit(2), F.length(s["raw"])).alias("text")))
-    return F.struct(added.alias("added"), F.slice(body, end + 1, F.size(body)).alias("tail"))
+    return F.struct(added.alias("added"), F.slice(hunk["body"], hunk["stop"] + 1, F.size(hunk["body"])).alias("tail"))
 
 
 def file_diffs(diffs: DataFrame, exclude_oversized: bool = False) -> DataFrame:
@@ -83,8 +103,9 @@ def file_diffs(diffs: DataFrame, exclude_oversized: bool = False) -> DataFrame:
     section = F.regexp_replace(F.col("section"), r"\n\z", "")
     parts = F.split(section, rx("\\n(?=" + HUNK[1:] + ")"), -1)
     rows = per_file.select("diff_id", "file_no", F.split(F.element_at(parts, 1), "\n", -1).alias("top"),
-                           F.transform(F.slice(parts, F.lit(2), F.size(parts)), _hunk).alias("hunks"))
-    rows = settled(rows).withColumn("headers", F.concat(F.slice("top", F.lit(2), F.size("top")),
+                           F.transform(F.slice(parts, F.lit(2), F.size(parts)), _hunk_head).alias("hunks"))
+    rows = settled(settled(rows).withColumn("hunks", F.transform("hunks", _hunk_end)))
+    rows = settled(rows.withColumn("hunks", F.transform("hunks", _hunk_lines))).withColumn("headers", F.concat(F.slice("top", F.lit(2), F.size("top")),
                                                F.flatten(F.transform("hunks", lambda h: h["tail"])))) \
         .withColumn("entries", F.flatten(F.transform("hunks", lambda h: h["added"])))
     rows = settled(rows.select("diff_id", "file_no", F.element_at("top", 1).alias("git"), "headers", "entries"))
