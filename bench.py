@@ -10,7 +10,7 @@ from codesieve.plans.queries import build_registry
 from codesieve.session import local_session
 
 HEADLINE = ["sec_all", "scan_verdict", "generic_naming", "magic_numbers", "halstead", "ngram_repetition", "token_entropy",
-            "token_diversity", "nesting_depth", "cognitive", "maintainability", "dup_blocks", "com_verbose",
+            "token_diversity", "nesting_depth", "cognitive", "maintainability", "com_verbose",
             "redundant_comments", "class_metrics", "parse_diff", "review_totals", "classify_imports", "rpc_dispatch",
             "overall_confidence", "gate_verdicts"]
 
