@@ -98,7 +98,8 @@ def digest(text: Column) -> Column:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    """Stored, so that a join with them has an exchange on both sides and Spark can split the rows of a large group."""
+    return settle(rows.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "op1-groups")
 
 
 def decisions(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
