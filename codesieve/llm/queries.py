@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.llm import bpe, exact_dedup
+from codesieve.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def build_registry() -> dict[str, Builder]:
     return {
         "op1_exact_dedup": lambda spark, d: exact_dedup.decisions(table(spark, d, "documents")),
+        "op3_minhash": lambda spark, d: near_dedup.link(table(spark, d, "documents")),
+        "op4_packing": lambda spark, d: packing.pieces(table(spark, d, "documents")),
         "op8_bpe": lambda spark, d: bpe.digests(table(spark, d, "documents")),
+        "op9_line_dedup": lambda spark, d: line_dedup.decisions(table(spark, d, "documents")),
+        "op10_language_id": lambda spark, d: language_id.decisions(table(spark, d, "documents")),
     }
 
 
@@ -29,4 +33,14 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op9_line_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        x AS (SELECT rid, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d),
+        l AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM x),
+        c AS (SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+        m AS (SELECT l.*, c.k IS NOT NULL AND l.doc_id <> c.top AS gone FROM l LEFT JOIN c ON l.k = c.k)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY rid""",
 }
