@@ -7,9 +7,10 @@ chance collisions, must reach ESTIMATE (more than six standard errors below the
 
 Groups never become all their pairs. Equal sets are one class. In the first round every class meets only the smallest
 class of each of its buckets, and confirmed links make components. The second round looks at the buckets that still
-hold more than one component: their members are compared in blocks of BLOCK, across components only, by the packed
-fields, and what passes is confirmed too. Components of both rounds' links are the result, so no link that joins two
-components is lost to the first round's choice.
+hold more than one component: their members come together in blocks of BLOCK (every two blocks of a bucket meet), where
+pairs across components are compared by size and packed fields, and what passes is confirmed from the texts on the spot,
+once, in the first band that the pair shares. Only links leave a block. Components of both rounds' links are the
+result, so no link that joins two components is lost to the first round's choice.
 
 Null texts and texts without words have no shingles, are linked with nothing and stay. A null doc_id is linked with
 nothing. A doc_id names one document; rows that repeat it share a component. Ties have no part: the smallest doc_id of
@@ -30,6 +31,7 @@ from codesieve.llm.components import components
 
 WORDS, PERCENT, HASHES, BANDS, BITS, ESTIMATE, BLOCK = 5, 75, 128, 32, 4, 0.5, 512
 FIELDS = HASHES * BITS // 64
+STEPS = [1 << k for k in range(BITS.bit_length() - 1)]
 #: Lowest bit of each field of a packed long.
 ONES = sum(1 << i for i in range(0, 64, BITS))
 NEEDED = int(np.ceil(HASHES * (ESTIMATE * (1 - 2.0 ** -BITS) + 2.0 ** -BITS)))
@@ -135,7 +137,7 @@ def similar(a: Column, b: Column) -> Column:
     differing = F.lit(0)
     for i in range(FIELDS):
         x = a[i].bitwiseXOR(b[i])
-        for step in (1, 2)[:BITS.bit_length() - 1]:
+        for step in STEPS:
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
         differing = differing + F.bit_count(x.bitwiseAND(F.lit(ONES)))
     return differing <= HASHES - NEEDED
@@ -158,46 +160,74 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long"), "op3-links")
 
 
+class Block:
+    """Members of a bucket, or of two blocks of it; links between different components."""
+
+    def __init__(self, group: pa.Table, shingler: Shingler):
+        self.key, self.lo, self.hi = (group.column(c)[0].as_py() for c in ("key", "lo", "hi"))
+        self.rep, self.pivot, self.comp, self.own = (group.column(c).to_numpy() for c in ("rep", "pivot", "comp", "own"))
+        self.n, self.comp = group.column("n_shingles").to_numpy(), self.comp.copy()
+        self.sig, self.bands = (np.array(group.column(c).to_pylist(), np.int64) for c in ("sig", "bands"))
+        self.texts, self.shingler, self.sets = group.column("text"), shingler, {}
+
+    def of(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = self.shingler.sets(self.texts[i].as_py())
+        return self.sets[i]
+
+    def candidates(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Of these members, those in another component that may be similar and meet i in no earlier band than here."""
+        others = others[(self.comp[others] != self.comp[i]) & (self.rep[others] != self.pivot[i]) & (self.rep[i] != self.pivot[others])]
+        n = self.n[others]
+        others = others[100 * np.minimum(n, self.n[i]) >= PERCENT * np.maximum(n, self.n[i])]
+        x = (self.sig[others] ^ self.sig[i]).view(np.uint64)
+        for step in STEPS:
+            x = x | (x >> np.uint64(step))
+        others = others[np.bitwise_count(x & np.uint64(ONES)).sum(axis=1) <= HASHES - NEEDED]
+        here = int(np.flatnonzero(self.bands[i] == self.key)[0])
+        return others[(self.bands[others] == self.bands[i]).argmax(axis=1) == here] if len(others) else others
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        left, right = np.flatnonzero(self.own == self.lo), np.flatnonzero(self.own == self.hi)
+        for i in left.tolist():
+            others = self.candidates(i, right[right > i] if self.lo == self.hi else right)
+            if not len(others):
+                continue
+            own, sets = self.of(i), [self.of(j) for j in others.tolist()]
+            sizes = np.array([len(s) for s in sets])
+            every = np.concatenate(sets)
+            found = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            common = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for j in others[100 * common >= PERCENT * (len(own) + sizes - common)].tolist():
+                if self.comp[j] != self.comp[i]:
+                    self.comp[self.comp == self.comp[j]] = self.comp[i]
+                    yield int(self.rep[i]), int(self.rep[j])
+
+
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that lie in different components and look similar, compared block by block."""
+    """Links between members of a bucket that lie in different components, found block by block."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     rows = members.join(settle(sizes, "op3-sizes"), "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "pivot", "comp", "sig")
-
-    def compared(group: pa.Table) -> list[tuple[int, int]]:
-        rep, pivot, comp, own = (group.column(c).to_numpy() for c in ("rep", "pivot", "comp", "own"))
-        sig = np.array(group.column("sig").to_pylist(), np.int64).view(np.uint64)
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        out = []
-        for i in left.tolist():
-            others = right[right > i] if lo == hi else right
-            x = sig[others] ^ sig[i]
-            for step in (1, 2)[:BITS.bit_length() - 1]:
-                x = x | (x >> np.uint64(step))
-            near = np.bitwise_count(x & np.uint64(ONES)).sum(axis=1) <= HASHES - NEEDED
-            near &= (comp[others] != comp[i]) & (rep[others] != pivot[i]) & (rep[i] != pivot[i])
-            out += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in others[near].tolist()]
-        return out
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("blocks", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
         held: list[pa.RecordBatch] = []
         for batch in _with_end(batches):
-            if batch is not None:
-                held.append(batch)
+            held += [batch] if batch is not None else []
             table = pa.Table.from_batches(held) if held else None
             if table is None or not len(table):
                 continue
             marks = np.stack([table.column(c).to_numpy() for c in ("key", "lo", "hi")])
             edges = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
             bounds = [0, *edges.tolist(), *([len(table)] if batch is None else [])]
-            found = [p for a, b in zip(bounds, bounds[1:]) if b - a > 1 for p in compared(table.slice(a, b - a))]
+            found = [p for a, b in zip(bounds, bounds[1:]) if b - a > 1 for p in Block(table.slice(a, b - a), shingler).links()]
             held = table.slice(bounds[-1]).to_batches()
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in found], pa.int64()), pa.array([int(p[1]) for p in found], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["u", "v"])
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return settle(dealt.mapInArrow(run, "u long, v long"), "op3-more-links")
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -223,8 +253,8 @@ def link(docs: DataFrame) -> DataFrame:
 
     placed = settle(members.join(first, "rep", "left").select("key", "pivot", "rep", F.coalesce("component", "rep").alias("comp")), "op3-placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    open_ = settle(placed.join(settle(mixed, "op3-mixed"), "key", "left_semi").join(sigs, "rep"), "op3-open")
-    more = _confirmed(settle(_across(open_), "op3-across"), texts)
+    whole = texts.select(F.col("doc_id").alias("rep"), "text")
+    more = _across(placed.join(settle(mixed, "op3-mixed"), "key", "left_semi").join(classes.drop("s1", "s2"), "rep").join(whole, "rep"))
     last = components(links.unionByName(more)).withColumnRenamed("node", "rep")
 
     names = settle(classes.join(last, "rep", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component")), "op3-names")
