@@ -6,7 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing
+from codesieve.llm import (bpe, exact_dedup, language_id, licence_scan, line_dedup, near_dedup, packing, quality_rules,
+                           secret_scan, url_filter)
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def build_registry() -> dict[str, Builder]:
     return {
         "op1_exact_dedup": lambda spark, d: exact_dedup.decisions(table(spark, d, "documents")),
+        "op2_quality_rules": lambda spark, d: quality_rules.decisions(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_minhash": lambda spark, d: near_dedup.link(table(spark, d, "documents")),
         "op4_packing": lambda spark, d: packing.pieces(table(spark, d, "documents")),
+        "op5_secrets": lambda spark, d: secret_scan.decisions(table(spark, d, "documents")),
+        "op6_url_filter": lambda spark, d: url_filter.judge(table(spark, d, "pages")),
+        "op7_licences": lambda spark, d: licence_scan.decisions(table(spark, d, "documents")),
         "op8_bpe": lambda spark, d: bpe.digests(table(spark, d, "documents")),
         "op9_line_dedup": lambda spark, d: line_dedup.decisions(table(spark, d, "documents")),
         "op10_language_id": lambda spark, d: language_id.decisions(table(spark, d, "documents")),
@@ -27,12 +32,42 @@ def build_registry() -> dict[str, Builder]:
 
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+AFTER = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
+HOST = r"translate(regexp_extract(" + AFTER + r", '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+PATH = r"regexp_extract(" + AFTER + r", '^[^/?#]*([^?#]*)', 1)"
+QUERY = r"""regexp_replace(regexp_replace(regexp_extract({0}, '^[^?#]*\?([^#]*)', 1),
+            '(^|&)(utm_[a-z]+|gclid|fbclid|ref|mc_cid|mc_eid)=[^&]*', '', 'g'), '^&', '')"""
+FORM = ("'https://' || regexp_replace(" + HOST + r", '^(www|m)\.', '') || regexp_replace(" + PATH + r", '(/index)?(\.html?)?/*$', '')"
+        " || CASE WHEN " + QUERY + " <> '' THEN '?' || " + QUERY + " ELSE '' END")
 SQL = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op6_url_filter": r"""
+        WITH RECURSIVE p AS (SELECT page_id, url, html, %s AS host, %s AS path FROM (SELECT page_id, coalesce(url, '') AS url, html FROM pages)),
+        r AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                             WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                             WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                             WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+        k AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS own FROM r),
+        named AS (SELECT url, regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) AS origin, unnest([
+                    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+                    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+                    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
+                  FROM p WHERE instr(url, '://') > 0),
+        aimed AS (SELECT url, CASE WHEN instr(target, '://') > 0 THEN target WHEN starts_with(target, '/') THEN origin || target END AS target FROM named WHERE target <> ''),
+        e AS (SELECT url AS u, %s AS v FROM p WHERE instr(url, '://') > 0
+              UNION SELECT %s AS u, %s AS v FROM aimed WHERE target IS NOT NULL),
+        both_ways AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
+        reach(node, other) AS (SELECT u, u FROM both_ways UNION SELECT reach.node, b.v FROM reach JOIN both_ways b ON reach.other = b.u),
+        grp AS (SELECT node, min(other) AS alias_group FROM reach GROUP BY node),
+        g AS (SELECT k.*, grp.alias_group FROM k LEFT JOIN grp ON k.url = grp.node),
+        known AS (SELECT alias_group, bool_or(own = 'allow') AS allowed, bool_or(own = 'block') AS blocked FROM g WHERE own IS NOT NULL AND alias_group IS NOT NULL GROUP BY alias_group)
+        SELECT page_id, host, path, rule, coalesce(own, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict, g.alias_group
+        FROM g LEFT JOIN known ON g.alias_group = known.alias_group""" % (
+        HOST.format("url"), PATH.format("url"), FORM.format("url"), FORM.format("url"), FORM.format("target")),
     "op9_line_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
         x AS (SELECT rid, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d),

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.llm import exact_dedup, language_id, near_dedup, packing
+from codesieve.llm import exact_dedup, language_id, near_dedup, packing, secret_scan
 from codesieve.llm.common import settle
 
 STAGES = [
     ("language ID", lambda spark, docs, sf_dir: language_id.accepted(docs)),
     ("exact dedup", lambda spark, docs, sf_dir: exact_dedup.deduplicate(docs)),
     ("MinHash near-dedup", lambda spark, docs, sf_dir: near_dedup.deduplicate(docs)),
+    ("secret scans", lambda spark, docs, sf_dir: secret_scan.redact(docs)),
     ("packing", lambda spark, docs, sf_dir: packing.pieces(docs)),
 ]
 #: Classifiers, tokenizers and similarity links are beyond SQL; the tests hold the stages against plain versions.

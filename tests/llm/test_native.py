@@ -1,0 +1,123 @@
+"""Rules, secrets, URL filters and licences against plain versions, and their edge cases."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from codesieve.llm import licence_scan, quality_rules, secret_scan, url_filter
+from tests.llm import plain
+from tests.llm.test_free_style import ODD, SCHEMA, make, odd
+
+DOCS = "/root/testdata/sf0.01/documents.parquet"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_odd_rows_and_empty_tables(spark):
+    rows, none = odd(spark), odd(spark).limit(0)
+    labels = spark.createDataFrame([(1, 0, 0), (4, None, 1), (None, 1, 0), (77, 1, 1)], LABELS)
+    for run in (lambda d: quality_rules.decisions(d, labels), secret_scan.decisions, licence_scan.decisions):
+        assert sorted(map(str, (r["doc_id"] for r in run(rows).collect()))) == sorted(str(i) for i, _ in ODD)
+        assert run(none).collect() == []
+    assert secret_scan.redact(rows).columns == rows.columns and secret_scan.redact(none).collect() == []
+    assert quality_rules.decisions(rows, labels.limit(0)).where("kept").count() == 0
+
+
+def test_statistics(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abc") * rng.randrange(1, 3) for _ in range(rng.randrange(60))) for _ in range(80)]
+    texts += ["\n".join(rng.choice(["x y", " ", "é#|", "x y ", ""]) for _ in range(9)) for _ in range(30)]
+    texts += ["w1 w2 w3 w4 w5 w6 w7 w8 " * 3, "\x0bq\x1cq\u00a0 z", " lead trail ", None]
+    out = quality_rules.statistics(make(spark, texts)).collect()
+    for r in out:
+        assert tuple(r[c] for c in quality_rules.BASE) == plain.repeat_words(texts[r["doc_id"]])
+
+
+def test_rules_keep_clean_texts(spark):
+    docs, labels = spark.read.parquet(DOCS), spark.read.parquet(DOCS.replace("documents", "labels"))
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    out = quality_rules.decisions(docs, labels).collect()
+    for r in out:
+        n, _, _, _, repeated = (r[c] for c in quality_rules.BASE)
+        assert r["base_failed"] == (n < 20 or 100 * repeated > 30 * n) and not (r["base_failed"] and r["kept"])
+    good = [r["kept"] for r in out if truth.get(r["doc_id"]) == 1 and not r["base_failed"]]
+    bad = [r["kept"] for r in out if truth.get(r["doc_id"]) == 0]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
+    assert any(r["fault"] for r in out if not r["base_failed"])
+
+
+def test_secrets(spark):
+    rng = random.Random(2)
+    parts = ["token = \"", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef" * 2, " ", "é", "password:", "Api_Key=", "secret: secret: abcdefghij", "'", "x1y2z3w4q5", "\n", "deadbeef", "AKIAAKIA", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(400)]
+    out = secret_scan.decisions(make(spark, texts)).collect()
+    for r in out:
+        want = plain.secrets(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in secret_scan.BASE] == [sum(s[0] == k for s in want) for k in secret_scan.BASE]
+        assert r["base_sha256"] == plain.sha(plain.listed(want))
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        assert {plain.listed([s]) for s in want} <= {":".join(s) for s in spans}
+        keys = [(int(a), secret_scan.ORDER.index(k)) for k, a, b in spans]
+        assert keys == sorted(keys)
+
+
+def test_ownership_parts_examples_from_live_values(spark):
+    live, example = "Zx9Qw8Er7Ty6Ui5Op4As", "Exam9le8Key7Tok6en5Va"
+    rows = [(i, f"see token = {example} here", "en", f"org{i}/repo", 1) for i in range(6)]
+    rows += [(10, f"my token = {live} and {example} again {live}", "en", "mine/a", 0), (11, "none", "en", "mine/a", 4)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.decisions(docs).collect()}
+    assert out[10] == "assign:3:31,live:11:31,example:36:57,live:64:84" and out[0].startswith("assign:4:") and "example" in out[0] and "live" not in out[0]
+    clean = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
+    assert clean[10]["text"] == f"my token = [secret] and {example} again [secret]" and clean[10]["n_chars"] == len(clean[10]["text"])
+    assert clean[0]["text"] == rows[0][1] and clean[11]["n_chars"] == 4 and len(clean) == 8
+
+
+
+
+def test_urls(spark):
+    link = '<link href="{}" rel="canonical">'.format
+    rows = [
+        ("http://WWW.Example.net/en/1?utm_source=x#t", None, "www.example.net", "/en/1", "example.net/en/", "allow"),
+        ("http://a.example.net/xx", None, "a.example.net", "/xx", "net/", "block"),
+        ("http://notexample.com/de/1", None, "notexample.com", "/de/1", None, "allow"),
+        ("http://x.example.com/de/1", None, "x.example.com", "/de/1", "example.com/de/", "block"),
+        ("http://net", None, "net", "", None, "block"), ("http://net/", None, "net", "/", "net/", "block"),
+        (None, None, "", "", None, "allow"), ("no scheme/x", None, "", "", None, "allow"), ("a://b://c/d?e", None, "b:", "//c/d", None, "allow"),
+        # An alias of a blocked page by canonical link, and one further by a redirect; and one that an allowed page saves.
+        ("http://alias.info/p", link("http://bad.example.net/q"), "alias.info", "/p", None, "block"), ("http://bad.example.net/q", None, "bad.example.net", "/q", "net/", "block"),
+        ("https://www.alias.info/p.html", None, "www.alias.info", "/p.html", None, "block"),
+        ("http://two.info/", link("http://bad.net/z"), "two.info", "/", None, "allow"), ("http://bad.net/z", '<meta http-equiv="refresh" content="0; url=http://good.org/fr/1">', "bad.net", "/z", "net/", "block"),
+        ("http://good.org/fr/1", None, "good.org", "/fr/1", "org/fr/", "allow"),
+    ]
+    pages = spark.createDataFrame([(n, u, h) for n, (u, h, *_) in enumerate(rows)], "page_id long, url string, html string")
+    out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages).collect()}
+    assert [out[n] for n in range(len(rows))] == [tuple(r[2:]) for r in rows]
+    assert url_filter.judge(pages.limit(0)).collect() == []
+
+
+def test_licences(spark):
+    rng = random.Random(3)
+    vocabulary = ["MIT", "license", "License,", "apache", "general", "public", "the", "gnu", "é", "(mit)", "licensed", "under", "version", "2.0", "x"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40))) for _ in range(200)]
+    texts += ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: MIT", "mit license mit license", "Plain words, no terms.", None,
+              "This work is licensed under the GNU General Public License, version 3.", "the apache helicopter landed", "released under the bsd license and the isc license"]
+    out = {r["doc_id"]: r for r in licence_scan.decisions(make(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        n, hits = plain.licence_places(text)
+        r = out[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (n, len(hits), hits[0][0] if hits else None, hits[-1][0] if hits else None)
+        assert r["base_labels"] == ",".join(sorted({k for _, k in hits}))
+        assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
+    assert [(out[i]["labels"], out[i]["score"]) for i in (200, 201, 203, 204, 206)] == [("apache", 0.9), ("mit", 1.0), ("", 0.0), ("", 0.0), ("", 0.0)]
+    assert out[205]["labels"] == "gpl" and out[207]["labels"] == "bsd,isc"
+
+
+def test_containment_and_priority(spark):
+    rows = [(1, 0, "a", 2, 0.9, 0, 9), (1, 1, "b", 4, 0.5, 2, 5), (1, 2, "c", 1, 1.0, 3, 4), (1, 3, "d", 4, 0.5, 8, 12), (1, 4, "e", 4, 0.4, 8, 12), (2, 1, "b", 4, 0.5, 2, 5)]
+    found = spark.createDataFrame(rows, "rid long, rule int, label string, priority int, weight double, first int, last int")
+    assert sorted((r["rid"], r["label"]) for r in licence_scan.surviving(found).collect()) == [(1, "a"), (1, "c"), (1, "d"), (2, "b")]
+
+
+def test_rule_table():
+    rules = licence_scan.rules()
+    assert len(rules) > 300 and len({r[3] for r in rules}) > 300
