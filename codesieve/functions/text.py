@@ -11,9 +11,10 @@ from __future__ import annotations
 from functools import reduce
 from typing import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.functions.frames import settled
 from codesieve.functions.literals import required
 
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -22,6 +23,8 @@ WHITESPACE = " \t\n\r\x0b\x0c"
 MARK = "\x01"
 INSIDE_A = "\x03"
 INSIDE_B = "\x04"
+#: Marks that a text brings along are swapped for code points that no text may hold, one for one.
+MARKS, HIDDEN = "\x01\x02\x03\x04", "\ufdd0\ufdd1\ufdd2\ufdd3"
 
 
 def rx(pattern: str, flags: str = "") -> str:
@@ -29,6 +32,31 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?dU{flags}){pattern}"
 
 
+def escaped(text: Column) -> Column:
+    """The text without control characters that could be taken for marks; lengths and lines stay."""
+    return F.when(text.rlike("[\\x01-\\x04]"), F.translate(text, MARKS, HIDDEN)).otherwise(text)
+
+
+def restored(text: Column) -> Column:
+    """Undo ``escaped``."""
+    return F.when(text.rlike("[\ufdd0-\ufdd3]"), F.translate(text, HIDDEN, MARKS)).otherwise(text)
+
+
+def with_running_sums(rows: DataFrame, lengths: str, name: str, block: int = 256) -> DataFrame:
+    """Add the sums of all elements up to each one of an int array column.
+
+    Appending to an array copies it, so sums are built in blocks: linear for any real row.
+    """
+    total = lambda c: F.aggregate(c, F.lit(0), lambda acc, n: acc + n)
+    grown = lambda c, first: F.aggregate(c, F.array(first), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    n = F.size(lengths)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+    rows = settled(rows.withColumn("_blocks", F.transform(starts, lambda s: F.slice(F.col(lengths), s + 1, F.lit(block)))))
+    rows = settled(rows.withColumn("_before", grown(F.transform("_blocks", total), F.lit(0))))
+    sums = F.transform("_blocks", lambda b, k: F.slice(grown(b, F.get(F.col("_before"), k)), 2, F.lit(block)))
+    return settled(rows.withColumn(name, F.flatten(sums)).drop("_blocks", "_before"))
+
+
 def folded(text: Column) -> Column:
     """Lower-cased text for guards; the one odd letter that matches ``s`` is mapped."""
     return F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import MARK, found, rx, strip
+from codesieve.functions.text import MARK, escaped, found, restored, rx, strip
 
 AREAS = """Software Requirements|Software Architecture|Software Design|Software Construction|Software Testing
 Software Engineering Operations|Software Maintenance|Software Configuration Management|Software Engineering Management
@@ -22,7 +22,7 @@ def sections(docs: DataFrame, level: int, text: str = "content", key: str = "pat
     """
     prefix = "#" * level + " "
     fence = r"^\s*```"
-    rows = F.split(F.col(text), "\n", -1)
+    rows = F.split(escaped(F.col(text)), "\n", -1)
     # Fence state by a linear fold over the lines' fence flags, kept as text marks.
     tagged = F.array_join(F.transform(rows, lambda l: F.when(
         found(l, fence), F.concat(F.lit("\x03"), l)).otherwise(l)), "\n")
@@ -33,7 +33,7 @@ def sections(docs: DataFrame, level: int, text: str = "content", key: str = "pat
     marked = F.transform(pieces, lambda p, i: F.when(i % 2 == 0, mark(p)).otherwise(p))
     parts = F.split(F.array_join(marked, ""), MARK, -1)
     out = docs.select(key, F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("ord", "section"))
-    section = F.col("section")
+    section = restored(F.col("section"))
     head = F.substring_index(section, "\n", 1)
     body = F.substring(section, F.length(head) + 2, F.length(section))
     return out.select(key, "ord", strip(F.substring(head, len(prefix) + 1, F.length(head))).alias("heading"), strip(body).alias("body"))

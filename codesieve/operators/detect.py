@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.frames import settled
 from codesieve.functions.rules import Family
-from codesieve.functions.text import MARK, folded, found, replaced
+from codesieve.functions.text import MARK, escaped, folded, found, replaced
 
 
 class LineRule(NamedTuple):
@@ -47,7 +47,7 @@ class TextRule(NamedTuple):
 def run_text_rules(files: DataFrame, rules: list[TextRule], *keep: str) -> DataFrame:
     """One row per match of every rule, with the line the match starts on."""
     content, low = F.col("content"), F.col("_low")
-    files = settled(files.select(*keep, content, folded(content).alias("_low")))
+    files = settled(files.select(*keep, escaped(content).alias("content"), folded(content).alias("_low")))
     marked = F.array_compact(F.array(*[
         F.when(found(content, rule.pattern, rule.flags, low),
                F.struct(rule.facts.alias("facts"), F.lit(order).alias("rule_no"),

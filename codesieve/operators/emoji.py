@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import found, hits, lookup, occurrences, replaced
+from codesieve.functions.frames import settled
+from codesieve.functions.text import found, hits, lookup, matches, occurrences, replaced, rx, with_running_sums
 from codesieve.operators.lines import is_comment, lines
 from codesieve.rulebook import emoji as E
 
@@ -36,11 +37,12 @@ def emoji_matches(files: DataFrame) -> DataFrame:
     """One row per emoji: line, column, code point, context, category."""
     line = F.col("line")
     rows = lines(files).where(found(line, EMOJI))
-    marked = F.split(replaced(line, EMOJI, "\x01$0"), "\x01", -1)
-    spots = rows.select("path", "language", "line_no", "line", marked.alias("pieces"), F.posexplode(marked).alias("nth", "piece"))
-    prefix = F.array_join(F.slice("pieces", F.lit(1), F.col("nth")), "")
-    spots = spots.where("nth > 0").select("path", "language", "line_no", "line", prefix.alias("before"),
-                                          F.left("piece", F.lit(1)).alias("emoji"))
+    rows = settled(rows.select("path", "language", "line_no", "line", F.split(line, rx(EMOJI), -1).alias("gaps"), matches(line, EMOJI).alias("found")))
+    rows = settled(rows.withColumn("spans", F.zip_with("gaps", "found", lambda g, e: F.length(g) + F.coalesce(F.length(e), F.lit(0)))))
+    rows = with_running_sums(rows, "spans", "ends")
+    pairs = F.zip_with("found", "ends", lambda e, end: F.struct(e.alias("match"), (end - F.length(e)).alias("at")))
+    spots = rows.select("path", "language", "line_no", "line", F.inline(pairs)).where("match is not null").select(
+        "path", "language", "line_no", "line", F.left("line", F.col("at")).alias("before"), F.left("match", F.lit(1)).alias("emoji"))
     code = F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii("emoji")), F.greatest(F.lit(4), F.length(F.hex(F.ascii("emoji")))), F.lit("0")))
     return spots.select(
         "path", "line_no", F.length("before").alias("col_no"), "emoji", code.alias("code_point"),

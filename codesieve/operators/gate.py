@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.frames import settled
-from codesieve.functions.text import MARK, folded, found, matches, replaced, rx
+from codesieve.functions.text import MARK, escaped, folded, found, matches, replaced, rx
 from codesieve.operators import stubs
 from codesieve.operators.detect import TextRule, marked_lines, run_text_rules
 from codesieve.operators.lines import lines
@@ -73,7 +73,7 @@ def prose_findings(files: DataFrame, rules=G.PROSE_RULES, *keep: str) -> DataFra
     spans come from its tokenizer, see ``operators.syntax``).
     """
     content, low = F.col("content"), F.col("_low")
-    files = settled(files.select("path", "language", *keep, content, folded(content).alias("_low")))
+    files = settled(files.select("path", "language", *keep, escaped(content).alias("content"), folded(content).alias("_low")))
     per_rule = files.select("path", "language", *keep, F.explode(F.array_compact(F.array(*[
         F.when(found(content, rule[6], rule[1], low),
                F.struct(_facts(rule).alias("facts"),

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.frames import settled
-from codesieve.functions.text import (INSIDE_A, INSIDE_B, MARK, folded, found, lstrip, matches, replaced, rx,
-                                      starts_with_any, strip)
+from codesieve.functions.text import (INSIDE_A, INSIDE_B, MARK, escaped, folded, found, lstrip,
+                                      matches, replaced, restored, rx, starts_with_any, strip)
 
 HASH = ("#",)
 SLASH = ("//", "/*")
@@ -92,7 +92,7 @@ ESCAPE_AWARE_SINGLE = r"(?<!\\)'''"
 
 def masked_lines(files: DataFrame) -> DataFrame:
     """Lines plus ``in_docstring`` (triple quotes, or block comments in C-like code)."""
-    language, content = F.col("language"), F.col("content")
+    language, content = F.col("language"), escaped(F.col("content"))
     quoted = language.isin("python", "javascript", "typescript")
     curly = language.isin("java", "csharp", "go", "rust", "c", "cpp")
     tagged = F.when(quoted, _tag_inside(_tag_inside(content, ESCAPE_AWARE_DOUBLE, INSIDE_A),
@@ -106,7 +106,7 @@ def masked_lines(files: DataFrame) -> DataFrame:
         .when(curly, (F.contains(line, F.lit("/*")) & ~F.contains(line, F.lit("*/"))) | F.contains(line, F.lit("*/"))) \
         .otherwise(F.lit(False))
     return raw.select("path", "language", "line_no", (inside | touches).alias("in_docstring"),
-                      F.translate(line, INSIDE_A + INSIDE_B, "").alias("line"))
+                      restored(F.translate(line, INSIDE_A + INSIDE_B, "")).alias("line"))
 
 
 def context(line: Column, width: int = 100) -> Column:

@@ -64,11 +64,12 @@ def normalize_language(hint: Column) -> Column:
     return lookup(F.lower(strip(hint)), T.LANGUAGE_ALIASES)
 
 
-def file_filter(files: DataFrame, extensions=(".py", ".js", ".ts", ".java"), exclude=(), max_kb: int = 1024) -> DataFrame:
-    """Files a scan would read: extension, known language, not excluded, small enough."""
+def file_filter(files: DataFrame, extensions=(".py", ".js", ".ts", ".java"), exclude=(), max_kb: int | None = None) -> DataFrame:
+    """Files a scan would read: extension, known language, not excluded; max_kb, if given, is a filter by size."""
     path, content = F.col("path"), F.col("content")
-    keep = suffix(path).isin(list(extensions)) & is_supported(detect_language(path, content)) & ~excluded_dir(path) \
-        & (F.octet_length(content) <= max_kb * 1024)
+    keep = suffix(path).isin(list(extensions)) & is_supported(detect_language(path, content)) & ~excluded_dir(path)
+    if max_kb is not None:
+        keep = keep & (F.octet_length(content) <= max_kb * 1024)
     if exclude:
         keep = keep & ~(matches_globs(path, exclude) | matches_globs(basename(path), exclude))
     return files.where(keep)

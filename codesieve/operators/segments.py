@@ -11,16 +11,16 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import MARK
+from codesieve.functions.text import MARK, escaped, restored
 
 
 def segments(files: DataFrame, is_start: Callable[[Column], Column], *keep: str) -> DataFrame:
     """``(path, language, seg_no, start_line, lines)``; piece 0 precedes the first start."""
-    numbered = F.transform(F.split("content", "\n", -1), lambda line, i: F.concat(
+    numbered = F.transform(F.split(escaped(F.col("content")), "\n", -1), lambda line, i: F.concat(
         F.when(is_start(line), F.lit(MARK)).otherwise(F.lit("")), (i + 1).cast("string"), F.lit("\t"), line))
     cut = files.select("path", "language", *keep,
                        F.posexplode(F.split(F.array_join(numbered, "\n"), MARK, -1)).alias("seg_no", "piece"))
-    rows = F.split(F.rtrim(F.col("piece"), F.lit("\n")), "\n", -1)
+    rows = F.split(F.rtrim(restored(F.col("piece")), F.lit("\n")), "\n", -1)
     text_of = lambda row: F.substring(row, F.instr(row, "\t") + 1, F.length(row))
     return cut.where(F.length("piece") > 0).select(
         "path", "language", *keep, "seg_no",

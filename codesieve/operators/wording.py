@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import (contains_any, found, hits, lookup, matches, rx,
+from codesieve.functions.text import (contains_any, escaped, found, hits, lookup, matches, restored, rx,
                                       starts_with_any, strip)
 from codesieve.operators.lines import context, is_comment, lines, with_low
 from codesieve.operators.metrics import words
@@ -78,7 +78,7 @@ def docstring_shapes(files: DataFrame) -> DataFrame:
 
     A line holding a triple quote toggles the state, as a whole line.
     """
-    text = F.transform(F.split("content", "\n", -1), strip)
+    text = F.transform(F.split(escaped(F.col("content")), "\n", -1), strip)
     toggles = lambda l: contains_any(l, TRIPLES)
     marked = F.array_join(F.transform(text, lambda l, i: F.when(
         toggles(l), F.concat(F.lit("\x01"), (i + 1).cast("string"), F.lit("\t"), l, F.lit("\x01"))).otherwise(l)), "\n")
@@ -150,7 +150,7 @@ def comments(files: DataFrame) -> DataFrame:
     """
     language = F.col("language")
     toggles = lambda l: contains_any(l, TRIPLES)
-    numbered = F.transform(F.split("content", "\n", -1), lambda l, i: F.struct((i + 1).alias("no"), l.alias("line")))
+    numbered = F.transform(F.split(escaped(F.col("content")), "\n", -1), lambda l, i: F.struct((i + 1).alias("no"), l.alias("line")))
     marked = F.array_join(F.transform(numbered, lambda s: F.concat(
         F.when((language == "python") & toggles(s["line"]), F.lit("\x01")).otherwise(F.lit("")),
         s["no"].cast("string"), F.lit("\t"), s["line"])), "\n")
@@ -172,7 +172,7 @@ def comments(files: DataFrame) -> DataFrame:
     docs = rows.where("k % 2 = 1 and closing is not null").select(
         "path", "language", F.substring_index(F.element_at("rows", 1), "\t", 1).cast("int").alias("line_no"),
         F.array_join(F.transform(F.concat("rows", F.array("closing")), lambda r: strip(text_of(r))), " ").alias("text"))
-    return single.unionByName(docs)
+    return single.unionByName(docs).withColumn("text", restored(F.col("text")))
 
 
 def comment_phrases(files: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ EXCLUDED = f"""len(list_filter(string_split(path, '/')[:-2], lambda d: d IN {nam
 EXCLUDE_GLOBS = ["*.min.js", "docs/*", "src/a?i/*", "*/f[0-4]*.py"]
 GLOB = f"(regexp_matches(path, {q(any_glob(EXCLUDE_GLOBS))}) OR regexp_matches({BASE}, {q(any_glob(EXCLUDE_GLOBS))}))"
 FILTER = f"""SELECT path FROM (SELECT path, content, {DETECT} AS lang FROM variants) WHERE {EXT} IN ('.py', '.js', '.ts', '.java') AND lang NOT IN ('unknown', 'binary')
- AND NOT ({EXCLUDED}) AND strlen(content) <= 1048576 AND NOT {GLOB}"""
+ AND NOT ({EXCLUDED}) AND NOT {GLOB}"""
 
 COUNTS = f"""SELECT path, count(*)::INTEGER AS total, count(*) FILTER ({strip('line')} = '')::INTEGER AS blank, count(*) FILTER ({strip('line')} <> '')::INTEGER AS code, 0 AS comments FROM lines GROUP BY path"""
 IN_STRING = f"""SELECT path, line_no::INTEGER AS line_no, col_no::INTEGER AS col_no FROM (SELECT *, instr(line, 'data') - 1 AS col_no FROM lines WHERE contains(line, 'data')) WHERE {in_string('line', 'col_no')}"""

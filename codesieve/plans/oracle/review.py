@@ -63,7 +63,7 @@ def review_ctes(mode: str = "warning") -> list[str]:
             f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY diff_id, file_no ORDER BY line_no) AS rk FROM added),
 hunk_rows AS MATERIALIZED (SELECT f.diff_id, f.file_no, f.path, a.line_no, f.class, f.finding, f.severity, f.source, f.cwe FROM (
  SELECT {UNTAG}, d.line_no, d.class, d.finding, d.severity, d.source, d.cwe FROM deduped d) f JOIN ranked a ON a.diff_id = f.diff_id AND a.file_no = f.file_no AND a.rk = f.line_no)""",
-            f"""policy_rows AS (SELECT diff_id, file_no, path, first_line AS line_no, {q(G.TESTING_CLASS)} AS class, n_added || ' line(s) of production logic changed with no accompanying test changes in this diff (C-03: non-trivial code ships with tests - unit, integration, e2e, or regression as appropriate)' AS finding,
+            f"""policy_rows AS (SELECT diff_id, file_no, path, first_line AS line_no, {q(G.TESTING_CLASS)} AS class, n_added || ' added line(s) outside tests, and the change touches no test file' AS finding,
  {q(mode)} AS severity, {q(G.SOURCE_POLICY)} AS source, NULL::VARCHAR AS cwe FROM sk WHERE skip IS NULL AND NOT is_test AND n_added >= 5
  AND diff_id NOT IN (SELECT diff_id FROM sk WHERE is_test AND n_added > 0))""",
             "finds AS MATERIALIZED (SELECT * FROM hunk_rows UNION ALL SELECT * FROM policy_rows)",
@@ -75,15 +75,15 @@ hunk_rows AS MATERIALIZED (SELECT f.diff_id, f.file_no, f.path, a.line_no, f.cla
  count(*) FILTER (mode = 'hunk' AND verdict = 'FAIL') AS files_failed FROM fv GROUP BY diff_id))"""]
 
 
-SUMMARY = """CASE verdict WHEN 'FAIL' THEN violations || ' violation(s) on lines this change introduces across ' || files_failed || ' file(s). Per the Anti-Deception Enforcement Protocol the change must be regenerated complete: do not merge, do not patch the framework.'
- WHEN 'REVIEW' THEN 'No violations, but ' || warnings || ' warning(s) on changed lines require judgement. Confirm each flagged line is genuinely complete, then run gates G1-G5.'
- ELSE 'No placeholder, stub, scaffold, or deferral markers on any changed line. This gate is necessary but not sufficient: run gates G1-G5 (executability, completeness, correctness, dependency honesty, problem fit) before approving.' END"""
+SUMMARY = """CASE verdict WHEN 'FAIL' THEN violations || ' violation(s) among the added lines of ' || files_failed || ' file(s): finish these places before the change is merged.'
+ WHEN 'REVIEW' THEN 'nothing must be changed, but look at ' || warnings || ' doubtful line(s) of this change.'
+ ELSE 'the rules found nothing on the lines of this change; they do not replace tests and a reader.' END"""
 esc = lambda x: f"replace(replace(replace({x}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')"
 prop = lambda x: f"replace(replace({esc(x)}, ':', '%3A'), ',', '%2C')"
 LEVEL = "CASE severity WHEN 'violation' THEN 'error' ELSE 'warning' END"
 MESSAGE = "finding || ' [' || source || ']'"
 RULE_ID = "'gate.' || trim(regexp_replace(lower(class), '[^a-z0-9]+', '-', 'g'), '-')"
-BODY = "'**' || upper(severity) || '** - ' || class || chr(10) || chr(10) || finding || chr(10) || chr(10) || '`engine: ' || source || '` - Zero Framework Tolerance: a flagged line must be implemented completely, not patched around.'"
+BODY = "'**' || upper(severity) || '** - ' || class || chr(10) || chr(10) || finding || chr(10) || chr(10) || '`engine: ' || source || '`'"
 
 
 def sql() -> dict[str, str]:

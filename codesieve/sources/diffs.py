@@ -15,7 +15,6 @@ from codesieve.functions.frames import settled
 from codesieve.functions.text import rx
 from codesieve.operators.paths import is_test_path, strip_prefix
 
-MAX_DIFF_BYTES = 10 * 1024 * 1024
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 LINE_BREAKS = r"\r\n|[\r\x0B\f\x1C-\x1E\x85  ]"
 
@@ -89,15 +88,9 @@ def _hunk_lines(hunk: Column) -> Column:
     return F.struct(added.alias("added"), F.slice(hunk["body"], hunk["stop"] + 1, F.size(hunk["body"])).alias("tail"))
 
 
-def file_diffs(diffs: DataFrame, exclude_oversized: bool = False) -> DataFrame:
+def file_diffs(diffs: DataFrame) -> DataFrame:
     """``(diff_id, file_no, path, old_path, status, is_binary, added)`` per changed file."""
-    size = F.octet_length("diff")
-    if exclude_oversized:
-        checked = F.when(size <= MAX_DIFF_BYTES, F.col("diff"))
-    else:
-        checked = F.when(size > MAX_DIFF_BYTES, F.raise_error(F.lit(f"diff exceeds {MAX_DIFF_BYTES} bytes"))
-                         .cast("string")).otherwise(F.col("diff"))
-    text = F.regexp_replace(F.regexp_replace(checked, LINE_BREAKS, "\n"), r"\n\z", "")
+    text = F.regexp_replace(F.regexp_replace(F.col("diff"), LINE_BREAKS, "\n"), r"\n\z", "")
     sections = F.split(text, rx("^diff --git ", "m"), -1)
     per_file = diffs.select("diff_id", F.posexplode(F.slice(sections, F.lit(2), F.size(sections))).alias("file_no", "section"))
     section = F.regexp_replace(F.col("section"), r"\n\z", "")

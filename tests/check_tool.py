@@ -53,7 +53,7 @@ def compare(spark, con, key, build, sql):
 
 
 def main(prefixes):
-    spark = local_session(8)
+    spark = local_session(os.environ.get("CHECK_CPUS", "8"))
     con = duckdb.connect()
     for name in TABLES:
         con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
