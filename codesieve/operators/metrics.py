@@ -1,17 +1,20 @@
 """Per-file statistics: tokens, complexity, nesting, duplication, maintainability.
 
 Set sizes come from arrays inside the file's row, so most metrics need no
-shuffle.  Only frequency tables (entropy, most repeated n-grams) and the
-duplicate search exchange rows, keyed by file and token.
+shuffle.  Only frequency tables (entropy, most repeated n-grams) exchange rows,
+keyed by file and token.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesieve.functions.blocks import WINDOW_LINES, repeated_blocks
 from codesieve.functions.frames import settled
 from codesieve.functions.text import (capture, found, hits, indent, matches, occurrences, replaced, starts_with_any,
                                       strip)
@@ -167,10 +170,6 @@ def nesting_depth(files: DataFrame) -> DataFrame:
 
 
 # --- duplication -----------------------------------------------------------
-WINDOW_LINES = 4
-MIN_SIMILARITY = 0.8
-
-
 def normal_lines(files: DataFrame) -> DataFrame:
     """Lower-cased, space-collapsed code lines of files with at least eight of them."""
     language = F.col("language")
@@ -180,65 +179,22 @@ def normal_lines(files: DataFrame) -> DataFrame:
     return files.select("path", norm.alias("norm")).where(F.size("norm") >= WINDOW_LINES * 2)
 
 
-def blocks(files: DataFrame) -> DataFrame:
-    """Every run of four lines: ``(path, n, i, digest, words)``.
+def duplicate_blocks(files: DataFrame, top: int | None = None) -> DataFrame:
+    """Exact repeats, then each block's first similar later block, in this order per file; ``top`` rows of it, if given.
 
-    Words are distinct 64-bit hashes (numbers compare and shuffle faster), ordered
-    longest word first, since long words are rare ones.
+    A file is one row, and its blocks are compared in its task: nothing is shuffled.
     """
-    rows = normal_lines(files)
-    spans = F.transform(F.sequence(F.lit(0), F.size("norm") - WINDOW_LINES),
-                        lambda i: F.array_join(F.slice("norm", i + 1, F.lit(WINDOW_LINES)), "\n"))
-    exploded = rows.select("path", F.size("norm").alias("n"), F.posexplode(spans).alias("i", "text"))
-    by_length = F.array_sort(F.transform(F.array_distinct(F.split("text", "[ \n]")), lambda w: F.struct(-F.length(w), w.alias("w"))))
-    return settled(exploded.select("path", "n", "i", F.md5("text").alias("digest"),
-                                   F.transform(by_length, lambda s: F.xxhash64(s["w"])).alias("words")))
-
-
-def duplicate_blocks(files: DataFrame, top: int = 5) -> DataFrame:
-    """Exact repeats, then each block's first similar later block; five per file.
-
-    Similar blocks are found through shared prefix words: two sets with
-    similarity 0.8 must share a word among the first ``size - ceil(0.8 size) + 1``
-    of a common order.  Blocks with the same word set are compared once, and a
-    set pair is turned back into positions by taking the next one only.
-    """
-    all_blocks = blocks(files)
-    first = Window.partitionBy("path", "digest")
-    exact = all_blocks.select("path", "i", "digest").withColumn("start", F.min("i").over(first)).where(F.col("i") > F.col("start")).select(
-        "path", F.lit(0).alias("kind"), F.col("i").alias("seq"), F.col("start").alias("a"), F.col("i").alias("b"),
-        F.lit(1.0).alias("similarity"))
-
-    # The last window takes no part in the similarity search.
-    sets = all_blocks.where(F.col("i") < F.col("n") - WINDOW_LINES).groupBy("path", "words") \
-        .agg(F.sort_array(F.collect_list("i")).alias("at"))
-    size = F.size("words")
-    keyed = sets.withColumn("id", F.element_at("at", 1)).select(
-        "path", "id", "words", "at",
-        F.explode(F.slice("words", F.lit(1), (size - F.ceil(size * MIN_SIMILARITY) + 1).cast("int"))).alias("word"))
-    left, right = keyed.alias("l"), keyed.alias("r")
-    pairs = left.join(right, (F.col("l.path") == F.col("r.path")) & (F.col("l.word") == F.col("r.word"))
-                      & (F.col("l.id") < F.col("r.id"))
-                      & (F.size("r.words") >= F.size("l.words") * MIN_SIMILARITY)
-                      & (F.size("l.words") >= F.size("r.words") * MIN_SIMILARITY))
-    shared = F.size(F.array_intersect("l.words", "r.words"))
-    similarity = shared / (F.size("l.words") + F.size("r.words") - shared)
-    pairs = pairs.select(F.col("l.path").alias("path"), F.col("l.at").alias("la"), F.col("r.at").alias("ra"),
-                         F.col("l.id").alias("lid"), F.col("r.id").alias("rid"), similarity.alias("similarity")) \
-        .where(F.col("similarity") >= MIN_SIMILARITY).dropDuplicates(["path", "lid", "rid"])
-    both = pairs.select("path", "la", "ra", "similarity") \
-        .unionByName(pairs.select("path", F.col("ra").alias("la"), F.col("la").alias("ra"), "similarity")) \
-        .unionByName(sets.select("path", F.col("at").alias("la"), F.col("at").alias("ra"), F.lit(1.0).alias("similarity")))
-    steps = both.select("path", F.explode("la").alias("a"), "ra", "similarity").select(
-        "path", "a", F.expr(f"try_element_at(filter(ra, p -> p >= a + {WINDOW_LINES}), 1)").alias("b"), "similarity") \
-        .where("b is not null")
-    fuzzy = steps.groupBy("path", "a").agg(F.min(F.struct("b", "similarity")).alias("m")).select(
-        "path", F.lit(1).alias("kind"), F.col("a").alias("seq"), "a", F.col("m.b").alias("b"), F.col("m.similarity").alias("similarity"))
-    order = Window.partitionBy("path").orderBy("kind", "seq")
-    ranked = exact.unionByName(fuzzy).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select(
-        "path", "rank", (F.col("a") + 1).alias("start_a"), (F.col("b") + 1).alias("start_b"),
-        F.round("similarity", 9).alias("similarity"),
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, rank, a + 1, b + 1, similarity) for path, norm in zip(*(c.to_pylist() for c in batch.columns))
+                    for rank, (a, b, similarity) in enumerate(repeated_blocks(norm)[:top], 1)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "rank", "start_a", "start_b", "similarity"])
+
+    found = normal_lines(files).mapInArrow(compare, "path string, rank long, start_a long, start_b long, similarity double")
+    rows = found.select("path", *[F.col(c).cast("int").alias(c) for c in ("rank", "start_a", "start_b")], "similarity")
+    return rows.select(
+        "path", "rank", "start_a", "start_b", F.round("similarity", 9).alias("similarity"),
         F.when(F.col("similarity") >= 0.9, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("severity"),
         F.round(F.col("similarity") * 0.85, 9).alias("confidence"))
 

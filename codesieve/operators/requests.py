@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from codesieve.functions.frames import settled
 from codesieve.functions.text import strip
 
-MAX_FRAME_CHARS = 50_000_000
 VERSIONS = ("2024-11-05", "2025-03-26", "2025-06-18")
 LATEST = "2025-06-18"
 METHODS = ("initialize", "tools/list", "tools/call", "ping")
@@ -38,13 +37,12 @@ def dispatch(raw: Column, value: Column) -> dict[str, Column]:
     tool_ok = F.coalesce(_kind(value, "$.params.name") == "STRING", F.lit(False)) & F.coalesce(tool.isin(list(TOOLS)), F.lit(False))
     args_bad = ~args_kind.isin("VOID") & ~F.startswith(args_kind, F.lit("OBJECT"))
     method = text("$.method")
-    oversized = F.length(raw) > MAX_FRAME_CHARS
     valid = is_object & F.coalesce(text("$.jsonrpc") == "2.0", F.lit(False))
-    code = F.when(oversized, F.lit(INVALID)).when(value.isNull(), F.lit(PARSE)).when(~valid, F.lit(INVALID)) \
+    code = F.when(value.isNull(), F.lit(PARSE)).when(~valid, F.lit(INVALID)) \
         .when(~method_ok, F.lit(INVALID)).when(~method.isin(list(METHODS)), F.lit(NO_METHOD)) \
         .when(params_bad & ~falsy, F.lit(BAD_PARAMS)) \
         .when((method == "tools/call") & (~tool_ok | args_bad), F.lit(BAD_PARAMS)).otherwise(F.lit(0))
-    message = F.when(oversized, F.lit("Message exceeds the frame limit.")).when(value.isNull(), F.lit("Parse error")) \
+    message = F.when(value.isNull(), F.lit("Parse error")) \
         .when(~valid, F.lit("Not a valid JSON-RPC 2.0 message.")).when(~method_ok, F.lit("Missing method.")) \
         .when(~method.isin(list(METHODS)), F.concat(F.lit("Method not found: "), method)) \
         .when(params_bad & ~falsy, F.lit("params must be an object.")) \
@@ -55,7 +53,7 @@ def dispatch(raw: Column, value: Column) -> dict[str, Column]:
     # Silence only for well-formed notifications: no id at all.
     quiet = valid & method_ok & ~has("$.id")
     return {"code": code, "message": message, "id": F.when(is_object, F.to_json(F.try_variant_get(value, "$.id", "variant"))),
-            "answered": oversized | ~F.coalesce(quiet, F.lit(False)), "blank": F.length(line) == 0}
+            "answered": ~F.coalesce(quiet, F.lit(False)), "blank": F.length(line) == 0}
 
 
 def responses(frames: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from codesieve.operators import (antipatterns, architecture, emoji, metrics, nam
 RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 
 # Severity weights (C/H/M/L), caps and phase weights.
+#: A file's first repeats that count as evidence; further ones would drown the other signals.
+DUPLICATES_COUNTED = 5
 WEIGHTS = {
     "pattern": (0.35, 0.25, 0.15, 0.10), "statistical": (1.2, 0.9, 0.6, 0.3), "security": (1.5, 1.0, 0.6, 0.3),
     "semantic": (1.2, 0.9, 0.6, 0.3), "architectural": (1.2, 0.9, 0.6, 0.3), "comment": (0.40, 0.30, 0.18, 0.08),
@@ -78,7 +80,7 @@ def evidence(files: DataFrame, analyzer: str) -> DataFrame:
             _pick(h.where("bugs > 1.0").withColumn("severity", F.when(F.col("bugs") > 2.0, F.lit("HIGH")).otherwise(F.lit("MEDIUM")))
                   .withColumn("confidence", F.least(F.lit(0.80), F.col("bugs") / 3.0)), "high_bug_prediction"),
             flagged(metrics.token_diversity(files), "token_diversity"), _pick(metrics.nesting_depth(files), "nesting_depth"),
-            _pick(metrics.duplicate_blocks(files), "code_duplication"), _pick(metrics.function_parameters(files), "excessive_parameters"),
+            _pick(metrics.duplicate_blocks(files, DUPLICATES_COUNTED), "code_duplication"), _pick(metrics.function_parameters(files), "excessive_parameters"),
             flagged(metrics.maintainability(files), "low_maintainability")])
     raise ValueError(f"unknown analyzer {analyzer!r}")
 
@@ -218,8 +220,8 @@ def remediation(scores: DataFrame, threshold: float = 0.4) -> DataFrame:
     priority = F.when(level == "very_high", F.lit("CRITICAL")).when(level == "high", F.lit("HIGH")) \
         .when(level == "medium", F.lit("MEDIUM")).otherwise(F.lit("LOW"))
     actions = F.when(level == "very_high", F.lit(
-        "Schedule immediate manual review|Consider complete refactoring|Document AI tool usage|Add comprehensive tests")) \
+        "Have a second person read it line by line|Rewrite the parts nobody can explain|Write down which tools produced it|Cover it with tests")) \
         .when(level == "high", F.lit(
-            "Manual review required|Add code comments explaining logic|Verify error handling|Check security implications")) \
-        .otherwise(F.lit("Review when time permits|Document any AI assistance used"))
+            "Have a second person read it|Explain the logic in comments|Try the error paths|Look for security holes")) \
+        .otherwise(F.lit("Read it when there is time|Write down which tools helped"))
     return scores.where(F.col("confidence") >= threshold).select("path", priority.alias("priority"), actions.alias("actions"))

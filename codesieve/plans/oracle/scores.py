@@ -74,7 +74,7 @@ def all_scores(analyzers) -> list[str]:
 
 
 def sql() -> dict[str, str]:
-    from codesieve.plans.score_queries import SCAN_WEIGHTS, THRESHOLD
+    from codesieve.plans.score_queries import REPORTED, SCAN_WEIGHTS, THRESHOLD
 
     level = lambda s: f"CASE WHEN {s} < 0.2 THEN 'none' WHEN {s} < 0.4 THEN 'low' WHEN {s} < 0.6 THEN 'medium' WHEN {s} < 0.8 THEN 'high' ELSE 'very_high' END"
     total_w = sum(SCAN_WEIGHTS.values())
@@ -87,7 +87,7 @@ def sql() -> dict[str, str]:
     risk = "CASE WHEN s >= 0.75 THEN 'CRITICAL' WHEN s >= 0.55 THEN 'HIGH' WHEN s >= 0.35 THEN 'MEDIUM' WHEN s >= 0.15 THEN 'LOW' ELSE 'MINIMAL' END"
     sec_risk = "CASE WHEN s >= 0.7 THEN 'CRITICAL' WHEN s >= 0.5 THEN 'HIGH' WHEN s >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END"
     project = lambda s: f"CASE WHEN {s} < 0.3 THEN 'low' WHEN {s} < 0.5 THEN 'medium' WHEN {s} < 0.7 THEN 'high' ELSE 'critical' END"
-    report = ("security", "mock", "antipattern", "emoji")
+    report = REPORTED
     out = {
         "count_by_type": with_lines("SELECT finding_type, severity, count(*) AS n FROM sec GROUP BY 1, 2", SEC_CTE),
         "cwe_distribution": with_lines("SELECT cwe, owasp, count(*) AS n FROM sec GROUP BY 1, 2", SEC_CTE),
@@ -105,7 +105,7 @@ def sql() -> dict[str, str]:
         "scan_summary": with_lines("SELECT * FROM summary", *overall, summary),
         "quality_gates": with_lines(f"SELECT array_to_string(f, ',') AS failures, len(f) = 0 AS passed, {project('confidence')} AS risk FROM (SELECT *, list_filter([CASE WHEN confidence > 0.6 THEN 'confidence' END, CASE WHEN generated_pct > 30 THEN 'share' END, CASE WHEN critical_files > 0 THEN 'critical files' END], lambda x: x IS NOT NULL) AS f FROM summary)", *overall, summary),
         "remediation": with_lines("""SELECT path, CASE level WHEN 'very_high' THEN 'CRITICAL' WHEN 'high' THEN 'HIGH' WHEN 'medium' THEN 'MEDIUM' ELSE 'LOW' END AS priority,
- CASE level WHEN 'very_high' THEN 'Schedule immediate manual review|Consider complete refactoring|Document AI tool usage|Add comprehensive tests' WHEN 'high' THEN 'Manual review required|Add code comments explaining logic|Verify error handling|Check security implications' ELSE 'Review when time permits|Document any AI assistance used' END AS actions FROM overall WHERE confidence >= 0.4""", *overall),
+ CASE level WHEN 'very_high' THEN 'Have a second person read it line by line|Rewrite the parts nobody can explain|Write down which tools produced it|Cover it with tests' WHEN 'high' THEN 'Have a second person read it|Explain the logic in comments|Try the error paths|Look for security holes' ELSE 'Read it when there is time|Write down which tools helped' END AS actions FROM overall WHERE confidence >= 0.4""", *overall),
     }
     for analyzer in (*scoring.WEIGHTS, "emoji"):
         out[f"confidence_{analyzer}"] = with_lines(f"SELECT path, round(score, 6) AS score FROM score_{analyzer}", *all_scores((analyzer,)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.text import glob_regex, found, text_array
 from codesieve.operators import (antipatterns, architecture, documents, emoji, gate, metrics, naming, parsing, paths,
-                                 security, stubs, syntax, wording)
+                                 security, stubs, wording)
 from codesieve.operators.lines import COMMENT_PREFIXES, is_comment, lines
 from codesieve.operators.lines import masked_lines
 from codesieve.plans import review_queries, score_queries, service_queries
@@ -53,8 +53,8 @@ def build_registry() -> dict[str, Builder]:
     registry["formality_turns"] = lambda spark, sf_dir: wording.formality(
         table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text"),
         "turn_id", "text")
-    for key, operator in SYNTAX.items():
-        registry[key] = on_files(operator)
+    registry["gate_findings"] = on_files(gate.text_findings)
+    registry["gate_verdicts"] = on_files(gate.text_verdicts)
     registry.update(review_queries.build())
     registry.update(service_queries.build())
     registry.update(score_queries.build())
@@ -64,7 +64,7 @@ def build_registry() -> dict[str, Builder]:
 METRICS = {
     "ngram_repetition": metrics.ngram_repetition, "ngram_top": metrics.repeated_triples,
     "token_entropy": metrics.token_entropy, "halstead": metrics.halstead, "token_diversity": metrics.token_diversity,
-    "nesting_depth": metrics.nesting_depth, "dup_blocks": metrics.duplicate_blocks,
+    "nesting_depth": metrics.nesting_depth, "dup_blocks": lambda files: metrics.duplicate_blocks(files, top=5),
     "jaccard_lines": metrics.adjacent_similarity, "cyclomatic_regex": metrics.cyclomatic_lines,
     "cognitive": metrics.cognitive, "cognitive_hotspots": metrics.cognitive_hotspots,
     "function_metrics": metrics.function_parameters, "maintainability": metrics.maintainability,
@@ -134,19 +134,6 @@ PARSING = {
     "unquote_path": lambda files: files.select("doc_id", paths.unquote_path(
         F.replace(_choose(QUOTED_PATHS), F.lit("$"), F.col("path"))).alias("plain")),
 }
-SYNTAX = {
-    "gate_findings": syntax.gate_findings, "gate_verdicts": syntax.gate_verdicts, "complexity_ast": syntax.complexities,
-    "py_stub_findings": lambda files: _by_source(files, "syntax"), "py_logic_findings": lambda files: _by_source(files, "logic"),
-    "py_functions": syntax.function_table, "py_classes": syntax.class_table, "py_imports": syntax.import_table,
-    "py_variables": syntax.variable_table, "py_modules": syntax.module_table,
-}
-
-
-def _by_source(files: DataFrame, source: str) -> DataFrame:
-    rows = syntax.syntax_findings(syntax.python_facts(files, "findings")).where(F.col("source") == source)
-    return rows.select("path", "line_no", "class", "finding", "severity", "cwe")
-
-
 # Lower limits than the defaults make the class rules fire on the derived files.
 SMALL_LIMITS = {**architecture.LIMIT, "methods": 1, "attributes": 1, "loc": 8, "imports": 4, "dependencies": 1}
 DESIGN = {

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from codesieve.operators import antipatterns, gate, scoring, security, stubs
 from codesieve.sources.rendered import code_files
 
-#: Detectors whose scores the registered scan combines; duplicates are left to
-#: the ``statistical`` phase, which is registered on its own.
-SCAN_WEIGHTS = {k: v for k, v in scoring.PHASE_WEIGHTS.items() if k in ("security", "emoji", "architectural", "mock")}
+#: Detectors whose scores the registered scan combines: all phases.
+SCAN_WEIGHTS = scoring.PHASE_WEIGHTS
+REPORTED = (*scoring.WEIGHTS, "emoji")
 THRESHOLD = 0.4
 
 
@@ -33,7 +33,7 @@ def _bins(files: DataFrame) -> DataFrame:
 
 
 def _report_scores(files: DataFrame) -> DataFrame:
-    rows = scoring.phase_scores(files, ("security", "mock", "antipattern", "emoji"))
+    rows = scoring.phase_scores(files, REPORTED)
     return rows.groupBy("analyzer").agg(F.round(F.avg("score"), 9).alias("average"), F.round(F.min("score"), 9).alias("low"),
                                         F.round(F.max("score"), 9).alias("high"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Settings the library relies on for plan quality; all may be overridden.
@@ -33,11 +31,3 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a fresh temporary one only if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    return tempfile.mkdtemp(prefix="codesieve-ckpt-")

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Session option of the library: parts to deal an input table into.
+INPUT_PARTS = "spark.codesieve.inputParts"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core when the input has fewer splits than the cluster has cores.
+    """Re-hash on a unique key into as many parts as the session asks for; by default nothing moves.
 
-    A large table has far more splits than cores and passes through untouched;
-    only a table stored as a few row groups is re-hashed, on a unique key.
+    The option is for tables stored as one row group, as in the bench; it is the caller's, whatever the table's size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get(INPUT_PARTS, None)
+    return df.repartition(int(parts), key) if parts else df

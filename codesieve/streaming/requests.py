@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.operators.requests import responses
-from codesieve.session import checkpoint_root
 
 SCHEMA = "seq BIGINT, raw STRING"
 
@@ -16,9 +15,8 @@ def request_stream(spark: SparkSession, folder: str, max_files: int = 100) -> Da
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-def answer(spark: SparkSession, folder: str, out: str, checkpoint: str | None = None):
-    """Answer everything that has arrived and stop; the checkpoint makes it restartable."""
-    where = checkpoint or f"{checkpoint_root(spark)}/requests"
+def answer(spark: SparkSession, folder: str, out: str, checkpoint: str):
+    """Answer everything that has arrived and stop; the checkpoint, in a shared folder, makes it restartable."""
     return responses(request_stream(spark, folder)).withColumn("answered_at", F.current_timestamp()) \
-        .writeStream.format("parquet").option("path", out).option("checkpointLocation", where) \
+        .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()

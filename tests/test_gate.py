@@ -1,8 +1,8 @@
-"""Verdicts of the rule gate on small snippets, and syntax rules at their limits."""
+"""Verdicts of the rule gate on small snippets."""
 
 import pytest
 
-from codesieve.operators import gate, syntax
+from codesieve.operators import gate
 
 BAD = [
     ("js-empty", "javascript", "function handle(req) {\n}\n"),
@@ -31,7 +31,7 @@ GOOD = [
 def verdicts(spark):
     rows = [(n, lang, text) for n, lang, text in BAD + GOOD]
     files = spark.createDataFrame(rows, "path string, language string, content string")
-    return {r.path: r.verdict for r in syntax.gate_verdicts(files).collect()}
+    return {r.path: r.verdict for r in gate.text_verdicts(files).collect()}
 
 
 @pytest.mark.parametrize("name", [b[0] for b in BAD])
@@ -44,23 +44,6 @@ def test_legitimate_code_does_not_fail(verdicts, name):
     assert verdicts[name] != "FAIL"
 
 
-def _function(branches):
-    return "def f(x):\n" + "".join(f"    if x == {i}:\n        x += {i}\n" for i in range(branches)) + "    return x\n"
-
-
-@pytest.mark.parametrize("branches,found", [(9, 0), (10, 1)])
-def test_complexity_limit(code, branches, found):
-    rows = syntax.syntax_findings(syntax.python_facts(code(("p.py", "python", _function(branches))), "findings"))
-    assert rows.where("class like 'Power of 10 - Rule 1%'").count() == found
-
-
-@pytest.mark.parametrize("body,found", [(49, 0), (50, 1)])
-def test_length_limit(code, body, found):
-    text = "def f(x):\n" + "    x = x + 1\n" * body
-    rows = syntax.syntax_findings(syntax.python_facts(code(("p.py", "python", text)), "findings"))
-    assert rows.where("class like 'Power of 10 - Rule 4%'").count() == found
-
-
 def test_violation_beats_warning(spark):
     rows = [("p", 1, "c", "f", "warning", "b"), ("p", 1, "c", "f", "violation", "a"), ("p", 2, "c", "f", "warning", "a")]
     df = spark.createDataFrame(rows, "path string, line_no int, class string, finding string, severity string, source string") \
