@@ -123,7 +123,7 @@ def sql() -> dict[str, str]:
         "sem_docstring": with_lines(DOCSTRING, DOCSTRING_CTE),
         "vocab_markers": with_files(VOCAB),
         "formality": with_files(formality("files", "path", "content")),
-        "formality_turns": formality("(SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)", "turn_id", "text"),
+        "formality_turns": formality("(SELECT conv_id || ':' || turn AS turn_id, text FROM conversations)", "turn_id", "text"),
         "com_extract": with_lines("SELECT path, line_no::INTEGER AS line_no, text FROM coms", COMMENTS_CTE),
         "com_verbose": with_lines(PHRASES, COMMENTS_CTE),
         "com_obvious": with_lines(OBVIOUS, COMMENTS_CTE),

@@ -51,7 +51,7 @@ def build_registry() -> dict[str, Builder]:
         registry[key] = on_files(operator)
     registry["com_extract"] = on_files(lambda files: wording.comments(files).select("path", "line_no", "text"))
     registry["formality_turns"] = lambda spark, sf_dir: wording.formality(
-        table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text"),
+        table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn_id"), "text"),
         "turn_id", "text")
     registry["gate_findings"] = on_files(gate.text_findings)
     registry["gate_verdicts"] = on_files(gate.text_verdicts)

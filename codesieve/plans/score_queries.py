@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codesieve.operators import antipatterns, gate, scoring, security, stubs
@@ -40,9 +40,11 @@ def _report_scores(files: DataFrame) -> DataFrame:
 
 def _explain(files: DataFrame) -> DataFrame:
     """Per file and type: the count and the lines of the first three examples."""
-    rows = security.findings(files).groupBy("path", "finding_type").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list("line_no")).alias("l"))
-    return rows.select("path", "finding_type", "n", F.array_join(F.slice("l", 1, 3), ",").alias("examples"))
+    order = Window.partitionBy("path", "finding_type").orderBy("line_no")
+    shown = F.when(F.row_number().over(order) <= 3, F.col("line_no"))
+    rows = security.findings(files).withColumn("shown", shown).groupBy("path", "finding_type").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list("shown")).alias("l"))
+    return rows.select("path", "finding_type", "n", F.array_join("l", ",").alias("examples"))
 
 
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
