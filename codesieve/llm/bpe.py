@@ -16,6 +16,7 @@ import json
 import re
 import sys
 import types
+from array import array
 from typing import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 from codesieve.llm.common import apart, ship
 
 #: Entries a worker keeps of each table before it starts afresh.
-TABLE_SIZE = 500_000
+TABLE_SIZE = 350_000
 BLANKS = str.maketrans("\t\n\r", "   ")
 #: Texts of these characters only are in normal form, but for case.
 PLAIN = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
@@ -71,7 +72,8 @@ class Encoder:
         self.alphabet = byte_alphabet()
         # Pairs of bytes that no token holds; a line feed, which stands between words here, makes none.
         self.forced = np.array([[a != 10 != b and x + y not in self.inside for b, y in enumerate(self.alphabet)] for a, x in enumerate(self.alphabet)])
-        self.met: dict[str, list[int]] = {}
+        self.met: dict[str, bytes] = {}
+        self.parts: dict[tuple[str, bool], bytes] = {}
         self.last, self.inner = models.BPE(vocab, merges, end_of_word_suffix=suffix), models.BPE(vocab, merges)
 
     def fragments(self, word: str) -> list[str]:
@@ -82,28 +84,43 @@ class Encoder:
 
     def words(self, text: str) -> list[str]:
         """The words of a text in its normal form."""
+        if text.isascii() and text.isalpha():
+            return [text.lower()]
         if PLAIN(text):
             return self.plain_words(text.lower())
         return [w for w, _ in self.splitter.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
-    def word_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. Words without a forced cut go to the library together, in one text."""
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, 32 bits each. Words without a forced cut go to the library together, in one text."""
         data = np.frombuffer("\n".join(words).encode(), np.uint8)
         lines = np.cumsum(data == 10)
         cut = set(lines[:-1][self.forced[data[:-1], data[1:]]].tolist())
         whole = self.library.encode(" ".join([w for n, w in enumerate(words) if n not in cut] if cut else words), add_special_tokens=False).ids
-        stops = iter((np.flatnonzero(self.ends[np.asarray(whole, np.int64)]) + 1).tolist())
+        whole = np.asarray(whole, np.uint32)
+        stops = iter((4 * np.flatnonzero(self.ends[whole]) + 4).tolist())
+        whole = whole.tobytes()
         out, at = [], 0
         for n, word in enumerate(words):
             if n in cut:
                 *inner, last = self.fragments(word)
-                out.append([t.id for f in inner for t in self.inner.tokenize(f)] + [t.id for t in self.last.tokenize(last)])
+                out.append(b"".join([self._part(f, self.inner) for f in inner]) + self._part(last, self.last))
             else:
                 stop = next(stops)
                 out.append(whole[at:stop])
                 at = stop
         return out
 
+    def _part(self, fragment: str, model: models.BPE) -> bytes:
+        """Ids of a fragment, which has few forms once it is cut off its word."""
+        key = (fragment, model is self.last)
+        ids = self.parts.get(key)
+        if ids is None:
+            ids = array("I", [t.id for t in model.tokenize(fragment)]).tobytes()
+            if len(self.parts) >= TABLE_SIZE:
+                self.parts.clear()
+            self.parts[key] = ids
+        return ids
+
     def chunks(self, text: str | None) -> list[str]:
         """The fragments of a text between blanks; special tokens stand alone."""
         if not text:
@@ -113,7 +130,7 @@ class Encoder:
             return [c for n, p in enumerate(parts) for c in ([p] if n % 2 else p.translate(BLANKS).split(" ")) if c]
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def chunk_ids(self, chunks: list[str]) -> Iterator[list[int]]:
+    def chunk_ids(self, chunks: list[str]) -> Iterator[array]:
         words = [[] if c in self.specials else self.words(c) for c in chunks]
         new = [w for w in {w for ws in words for w in ws} if w not in self.met]
         if len(self.met) + len(new) > TABLE_SIZE:
@@ -121,7 +138,7 @@ class Encoder:
             new = list({w for ws in words for w in ws})
         self.met.update(zip(new, self.word_ids(new)) if new else ())
         for chunk, ws in zip(chunks, words):
-            yield [self.specials[chunk]] if chunk in self.specials else self.met[ws[0]] if len(ws) == 1 else [i for w in ws for i in self.met[w]]
+            yield array("I", [self.specials[chunk]] if chunk in self.specials else b"".join([self.met[w] for w in ws]))
 
     def forms(self, texts: list[str | None], table: dict, form: Callable) -> Iterator[list]:
         """For each text, form(ids) of its fragments in order, through a table that the caller keeps."""
@@ -137,7 +154,7 @@ class Encoder:
     def encode(self, text: str | None) -> list[int]:
         return [i for ids in next(self.forms([text], {}, list)) for i in ids]
 
-    def listed(self, ids: list[int]) -> tuple[str, str]:
+    def listed(self, ids: array) -> tuple[str, str]:
         """Ids and tokens as text, a blank before each."""
         return "".join([f" {i}" for i in ids]), "".join([" " + self.names[i] for i in ids])
 

@@ -13,6 +13,7 @@ stored files, so ties need no rule. A document longer than a lane has a lane of
 
 from __future__ import annotations
 
+from array import array
 from typing import Iterator
 
 import numpy as np
@@ -32,12 +33,12 @@ def tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
     """doc_id, n, ids (little-endian unsigned 32-bit, the end id last) of every row, stored."""
     source = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer or default_tokenizer()))
 
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u2").tobytes()
+    def packed(ids: array) -> bytes:
+        return array("H", ids).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = worker_encoder(source.value, "u2")
-        end = packed([end_id])
+        end = packed(array("I", [end_id]))
         for batch in batches:
             at = 0
             for texts in groups(batch.column("text").to_pylist()):
