@@ -4,11 +4,18 @@ Each pattern's matches in a text come from one extraction and one split; of a te
 go on, and running sums over them give code-point spans. Every candidate value is hashed and counted by the distinct
 repositories (`source`) and owners (the part of it before a slash) that hold it, each pair once, so a key copied into
 very many documents is one row per repository. A value in at least EXAMPLE_REPOS repositories, or of EXAMPLE_OWNERS
-owners, is a widely copied `example`; another value that looks random is `live`. Both are spans of the value itself,
-beside the base kinds assign, access and hex; `mixed` candidates (long, of letters and digits) give method spans only.
+owners, is a widely copied `example`; another credential is `live`. Both are spans of the value itself, beside the base
+kinds assign, access and hex; `mixed` candidates (long, of letters and digits) give method spans only.
+
+What is a credential depends on the kind. Access keys and values assigned to a key word are, whatever their characters,
+unless they are one character over and over, or hold no letter or digit. Hexadecimal runs need a digit, a letter and
+DISTINCT different characters. A `mixed` value has nothing but itself to show for it: without UUIDs and plain words, at
+least CORE letters and digits must be left, which change between words, capitals and numbers at one in CHANGES places;
+three words between its - and _ make it a slug, one between slashes makes it a path.
 
 Null texts are empty. A null source is a repository of its own. Spans of different kinds may overlap. Repeated rows are
-scanned alike. `redact` blanks out every occurrence of a document's live values and leaves the rest as it is.
+scanned alike. `redact` blanks out every occurrence of a document's live values and leaves the rest as it is; a value of
+plain words or numbers only where it is assigned, since the same words may stand in the prose around it.
 """
 
 from __future__ import annotations
@@ -29,6 +36,11 @@ PATTERNS = [
 BASE = ["assign", "access", "hex"]
 ORDER = [*BASE, "live", "example"]
 EXAMPLE_REPOS, EXAMPLE_OWNERS, MASK = 5, 3, "[secret]"
+DISTINCT, CORE, CHANGES, SLUG_WORDS = 8, 16, 5, 3
+KEYED = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)"""
+UUID = "(?i)(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])"
+#: A word, capitals or a number inside a value; and a part that is one word.
+PIECE, WORD = "[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", "^(?:[A-Z]?[a-z]+|[A-Z]+)$"
 
 
 def _matches(text: Column, kind: str, pattern: str, guard: str) -> Column:
@@ -40,9 +52,36 @@ def _matches(text: Column, kind: str, pattern: str, guard: str) -> Column:
     return F.when(text.rlike(guard), F.filter(rows, lambda r: r["match"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,n:int,gap:int,match:string>>"))
 
 
-def _looks_random(value: Column) -> Column:
+def _varied(value: Column) -> Column:
     """Letters and digits in many different characters."""
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT)
+
+
+def _parts(value: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
+
+
+def _random(value: Column) -> Column:
+    """Evidence in the value itself: neither path nor slug, and what is left without UUIDs and words keeps changing."""
+    bare = F.regexp_replace(value, UUID, "")
+    path = F.contains(bare, F.lit("/")) & F.exists(F.split(bare, "/"), lambda x: (F.length(x) >= 3) & x.rlike(WORD))
+    parts = _parts(bare, "[A-Za-z0-9]+")
+    words = F.filter(parts, lambda x: (F.length(x) >= 2) & x.rlike(WORD))
+    core = F.array_join(F.filter(parts, lambda x: (F.length(x) < 2) | ~x.rlike(WORD)), "-")
+    left = F.length(F.replace(core, F.lit("-"), F.lit("")))
+    changes = F.size(_parts(core, PIECE)) - F.size(_parts(core, "[A-Za-z0-9]+"))
+    return ~path & (F.size(words) < SLUG_WORDS) & _varied(core) & (left >= CORE) & (CHANGES * changes >= left)
+
+
+def _credential(kind: Column, value: Column) -> Column:
+    body = F.when(kind == "access", F.substring(value, 5, 1 << 30)).otherwise(value)
+    filler = ~body.rlike("[A-Za-z0-9]") | (F.replace(body, F.substring(body, 1, 1), F.lit("")) == "")
+    return F.when(kind.isin("assign", "access"), ~filler).when(kind == "hex", _varied(value)).otherwise(_random(value))
+
+
+def _plain(value: Column) -> Column:
+    """Words and numbers, such as prose has."""
+    return F.forall(F.split(value, "[^A-Za-z0-9]+"), lambda x: x.rlike("^(?:[A-Z]?[a-z]*|[A-Z]*|[0-9]*)$"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -76,7 +115,7 @@ def judged(scanned: DataFrame) -> DataFrame:
     candidates = settle(spans(scanned).withColumn("value_hash", F.sha2("value", 256)), "op5-spans")
     rows = candidates.join(ownership(candidates), "value_hash")
     wide = (F.col("repos") >= EXAMPLE_REPOS) | (F.col("owners") >= EXAMPLE_OWNERS)
-    return rows.withColumn("verdict", F.when(~_looks_random(F.col("value")), None).when(wide, "example").otherwise("live"))
+    return rows.withColumn("verdict", F.when(~_credential(F.col("kind"), F.col("value")), None).when(wide, "example").otherwise("live"))
 
 
 def _listed(rows: Column) -> Column:
@@ -103,12 +142,16 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs, with the live values of each document blanked out in its text."""
-    live = judged(scan(docs)).where("verdict = 'live'").groupBy(F.col("doc_id").alias("live_id")).agg(F.collect_set("value").alias("values"))
-    longest = F.reverse(F.sort_array(F.transform("values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
+    bound = (F.col("kind") == "assign") & _plain(F.col("value"))
+    live = judged(scan(docs)).where("verdict = 'live'").groupBy(F.col("doc_id").alias("live_id")).agg(F.collect_set(F.struct(F.length("value").alias("n"), F.col("value").alias("v"), bound.alias("bound"))).alias("values"))
+    longest = F.reverse(F.sort_array("values"))
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     found = whole.join(settle(live, "op5-live"), F.col("row.doc_id").eqNullSafe(F.col("live_id")), "left")
-    text = F.when(F.col("values").isNull(), F.col("row.text")).otherwise(F.aggregate(longest, F.col("row.text"), lambda t, v: F.replace(t, v["v"], F.lit(MASK))))
+    # Values hold no backslash, so they may be quoted in a pattern.
+    assigned = lambda v: F.concat(F.lit(KEYED + r"\Q"), v, F.lit(r"\E(?![A-Za-z0-9+/_.=-])"))
+    blank = lambda t, x: F.when(x["bound"], F.regexp_replace(t, assigned(x["v"]), F.lit("$1" + MASK))).otherwise(F.replace(t, x["v"], F.lit(MASK)))
+    text = F.when(F.col("values").isNull(), F.col("row.text")).otherwise(F.aggregate(longest, F.col("row.text"), blank))
     out = found.select("row", "values", text.alias("text"))
     size = F.when(F.col("values").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast("long") if "n_chars" in names else None
     return out.select(*[F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in names])
