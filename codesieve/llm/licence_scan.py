@@ -1,8 +1,9 @@
 """Licence scans: ordered signature rules behind a keyword prefilter. DataFrame operations only.
 
 A text becomes its words (A-Z lowered), joined by single blanks. Rules are regular expressions over that, made from the
-table of licences and the forms in which each is named; every rule has a keyword. Texts without a trigger word stop
-there. The others meet, through an equi-join on the keywords they hold, only the rules that those open (the rule table is
+table of licences and the forms in which each is named. A rule has several keywords: one of each text that its name or
+identifiers can be, so that whatever it matches holds one of them as a word. Texts without a trigger word stop there. The
+others meet, through an equi-join on the keywords they hold, only the rules that those open, each once (the rule table is
 of fixed size, and broadcast). Detections are intervals of words; one that lies within another of the same or a stronger
 priority is suppressed, by running maxima over the intervals of its text in order. What remains gives labels and score.
 
@@ -19,7 +20,7 @@ from codesieve.llm.common import ascii_lower, settle
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = [("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl", ["general", "public", "license"])]
-#: label, keyword, name as a pattern over words, identifiers as a pattern.
+#: label, preferred keyword, name as a pattern over words, identifiers as a pattern.
 LICENCES = [
     ("mit", "mit", "mit", "mit"), ("apache", "apache", "apache(?: software)?", "apache 2 0"), ("gpl", "gpl", "gpl ?v?(?:1|2|3)?", "gpl (?:1|2|3) 0(?: only| or later)?"),
     ("gpl", "general", "(?:gnu )?general public", "gnu gpl"), ("lgpl", "lgpl", "lgpl ?v?(?:2|3)?", "lgpl (?:2|2 1|3) ?0?(?: only| or later)?"), ("lgpl", "lesser", "(?:gnu )?lesser general public", "gnu lgpl"),
@@ -43,15 +44,40 @@ FORMS = [
 TRIGGER = "licen[sc]e|spdx|subject to|released under|distributed under|published under|provided under|available under"
 
 
-def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """(number, label, keyword, pattern over joined words, priority, weight), in order."""
-    made = [(label, keyword, f"(?<= )(?:{form.replace('N', f'(?:{name})').replace('I', f'(?:{ids})')})(?= )", priority, weight)
+def variants(pattern: str) -> list[str]:
+    """Every text that a pattern of literals, groups (?:a|b) and question marks matches."""
+    def choice(at: int) -> tuple[list[str], int]:
+        out, now = [], [""]
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                out, now, at = out + now, [""], at + 1
+                continue
+            part, at = choice(at + 3) if pattern.startswith("(?:", at) else ([pattern[at]], at)
+            at += 1
+            if pattern[at:at + 1] == "?":
+                part, at = ["", *part], at + 1
+            now = [x + y for x in now for y in part]
+        return out + now, at
+    return choice(0)[0]
+
+
+def keywords(pattern: str, preferred: str) -> list[str]:
+    """A word of every variant: the preferred one where it stands, else the longest that is no number, of equals the last."""
+    best = lambda words_: max(enumerate(words_), key=lambda w: (w[1] == preferred, not w[1].isdigit(), len(w[1]), w[0]))[1]
+    return sorted({best(v.split()) for v in variants(pattern)})
+
+
+def rules() -> list[tuple[int, str, list[str], str, int, float]]:
+    """(number, label, keywords, pattern over joined words, priority, weight), in order."""
+    made = [(label, keywords(name if "N" in form else ids, keyword), f"(?<= )(?:{form.replace('N', f'(?:{name})').replace('I', f'(?:{ids})')})(?= )", priority, weight)
             for _, priority, weight, form in FORMS for label, keyword, name, ids in LICENCES]
     return [(n, *rule) for n, rule in enumerate(made)]
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rules(), "rule int, label string, keyword string, pattern string, priority int, weight double")
+    """A row for each keyword of a rule; `earlier` are those of its keywords that come before."""
+    rows = [(n, label, word, words_[:k], pattern, priority, weight) for n, label, words_, pattern, priority, weight in rules() for k, word in enumerate(words_)]
+    return spark.createDataFrame(rows, "rule int, label string, keyword string, earlier array<string>, pattern string, priority int, weight double")
 
 
 def words(text: Column) -> Column:
@@ -75,20 +101,21 @@ def base_places(words_: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """rid, doc_id, n_words, base, and (where a trigger stands) the joined words and keywords of every row; stored."""
-    keywords = sorted({r[2] for r in rules()})
+    known = sorted({word for r in rules() for word in r[2]})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("long").alias("n_words"), base_places(F.col("words")).alias("base"), "words", joined.alias("joined"))
     open_ = F.col("joined").rlike(f" (?:{TRIGGER})")
     return settle(rows.select("rid", "doc_id", "n_words", "base", F.when(open_, F.col("joined")).alias("joined"),
-                              F.when(open_, F.array_intersect(F.array(*map(F.lit, keywords)), "words")).alias("keywords")), "op7-scan")
+                              F.when(open_, F.array_intersect(F.array(*map(F.lit, known)), "words")).alias("keywords")), "op7-scan")
 
 
 def detections(scanned: DataFrame) -> DataFrame:
     """rid, rule, label, priority, weight, first, last (words, inclusive) of what the rules match, suppressed or not."""
     table = F.broadcast(rule_table(scanned.sparkSession))
-    rows = scanned.where("joined is not null").select("rid", "joined", F.explode("keywords").alias("keyword")).join(table, "keyword")
-    rows = rows.where(F.rlike(F.col("joined"), F.col("pattern")))
+    rows = scanned.where("joined is not null").select("rid", "joined", "keywords", F.explode("keywords").alias("keyword")).join(table, "keyword")
+    # A rule that several words of a text open is tried at the first of its keywords only.
+    rows = rows.where(~F.arrays_overlap("keywords", "earlier") & F.rlike(F.col("joined"), F.col("pattern")))
     gaps, found = F.split("joined", F.col("pattern"), -1), F.regexp_extract_all(F.col("joined"), F.col("pattern"), F.lit(0))
     blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     both = F.zip_with(found, gaps, lambda m, g: F.struct(blanks(g).alias("gap"), blanks(m).alias("inner")))

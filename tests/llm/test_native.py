@@ -1,6 +1,7 @@
 """Rules, secrets, URL filters and licences against plain versions, and their edge cases."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -141,3 +142,27 @@ def test_containment_and_priority(spark):
 def test_rule_table():
     rules = licence_scan.rules()
     assert len(rules) > 300 and len({r[3] for r in rules}) > 300
+
+
+def test_every_rule_is_opened_by_what_it_matches():
+    frames = {"tag": "SPDX license identifier {}", "grant": "licensed under the {}", "subject": "subject to the {}", "version": "{} license version 2", "link": "spdx org licenses {}", "name": "{} license", "heading": "license {}"}
+    table, n = licence_scan.rules(), 0
+    for form, _, _, shape in licence_scan.FORMS:
+        for label, _, name, ids in licence_scan.LICENCES:
+            rule = table[n]
+            n += 1
+            for variant in licence_scan.variants(name if "N" in shape else ids):
+                text = f" x {frames[form].format(variant).lower()} x "
+                assert rule[1] == label and re.search(rule[3], text) and set(rule[2]) & set(text.split()), (rule, variant)
+
+
+def test_fused_versions_and_identifiers_are_found(spark):
+    want = {"Released under the GPLv3": "gpl", "Released under the GPLv2.": "gpl", "Released under the LGPLv3": "lgpl", "released under the AGPLv3": "agpl"}
+    want |= {f"SPDX-License-Identifier: {i}": label for i, label in [("EPL-2.0", "epl"), ("BSL-1.0", "boost"), ("AFL-3.0", "afl"), ("MS-PL", "ms-pl"), ("0BSD", "bsd")]}
+    want |= {"released under a proprietary license": "proprietary", "cc by sa license": "cc-by-sa"}
+    out = {r["doc_id"]: r["labels"] for r in licence_scan.decisions(make(spark, list(want))).collect()}
+    assert [out[i] for i in range(len(want))] == list(want.values())
+    # A rule that several words open gives a detection once.
+    scanned = licence_scan.scan(make(spark, ["the bsd and 0bsd, SPDX-License-Identifier: 0BSD or BSD-3-Clause"]))
+    found = licence_scan.detections(scanned).select("rule", "first", "last").collect()
+    assert found and len(found) == len(set(found))
