@@ -3,8 +3,13 @@
 A rule fits its host and all subdomains where the path starts with its own; the longest that fits decides, and of equally
 long ones an allowing rule. Pages that no rule fits take the verdict of their aliases: edges lead from each url to the
 form that usual redirects end in (https, no www. or m., no tracking parameters, no final slash or .html) and to the
-targets of its page's canonical link and refresh, in that form; connected components of these edges are aliases. Where
-an alias is allowed by a rule the page is allowed, else blocked where an alias is blocked, else allowed.
+targets of all canonical links and refreshes of its page, in that form; connected components of these edges are aliases.
+Where an alias is allowed by a rule the page is allowed, else blocked where an alias is blocked, else allowed.
+
+Targets are resolved against the page's url as browsers do: //host takes the scheme, /path the origin, ?query the path,
+#fragment the page, all else the folder; then . and .. segments go. Targets of schemes without :// (mailto:) are no pages.
+A <base> tag is not read, and entities in a target stay as they are. The SQL twin still knows only targets with :// or a
+leading slash, and the first of each kind.
 
 A null url, or one without ://, has an empty host and path, no rule and no alias, and is allowed. Repeated urls are
 judged alike. A null html has no links. A component's verdict is an aggregate of two booleans, so its size is no matter.
@@ -55,16 +60,37 @@ def redirected(url: Column) -> Column:
     return F.concat(F.lit("https://"), bare, page, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
+def without_dots(url: Column) -> Column:
+    """The url without . and .. segments in its path."""
+    parts = F.split(F.regexp_extract(url, "^[^/?#]*://[^/?#]*([^?#]*)", 1), "/")
+    up = lambda stay: F.when(F.size(stay) > 1, F.slice(stay, 1, F.size(stay) - 1)).otherwise(stay)
+    stay = F.aggregate(parts, F.array().cast("array<string>"), lambda stay, x: F.when(x == ".", stay).when(x == "..", up(stay)).otherwise(F.concat(stay, F.array(x))))
+    # A last segment of dots names a folder.
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(stay, F.array(F.lit("")))).otherwise(stay)
+    clean = F.concat(F.regexp_extract(url, "^[^/?#]*://[^/?#]*", 0), F.array_join(folder, "/"), F.regexp_extract(url, "(?s)^[^?#]*(.*)$", 1))
+    return F.when(url.rlike(r"^[^/?#]*://[^?#]*/\.\.?(?:[/?#]|$)"), clean).otherwise(url)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """Where a page's target leads; null for what is no page."""
+    origin, page = F.regexp_extract(url, "^([^/?#]*://[^/?#]*)", 1), F.regexp_extract(url, "^[^?#]*", 0)
+    folder = F.regexp_extract(page, "^[^/?#]*://[^/?#]*(.*/)", 1)
+    starts = lambda x: F.startswith(target, F.lit(x))
+    whole = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (origin == ""), None)
+    whole = whole.when(starts("//"), F.concat(F.regexp_extract(url, "^([^/?#]*:)//", 1), target)).when(starts("/"), F.concat(origin, target))
+    whole = whole.when(starts("#"), url).when(starts("?"), F.concat(page, target))
+    return without_dots(whole.otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), target)))
+
+
 def edges(pages: DataFrame) -> DataFrame:
     """(u, v) from each url to its redirected form, and on to those that its page names."""
     url, html = F.col("url"), F.col("html")
-    linked = F.when(F.contains(F.lower(html), F.lit("canonical")), F.regexp_extract(html, LINK, 1))
-    refreshed = F.when(F.contains(F.lower(html), F.lit("refresh")), F.regexp_extract(html, REFRESH, 1))
-    origin = F.regexp_extract(url, "^([^/?#]*://[^/?#]*)", 1)
-    rows = pages.where(F.instr(url, "://") > 0).select("url", redirected(url).alias("form"), origin.alias("origin"), F.explode(F.array(F.lit(None).cast("string"), linked, refreshed)).alias("target"))
-    target = F.when(F.contains("target", F.lit("://")), F.col("target")).when(F.startswith("target", F.lit("/")), F.concat("origin", "target"))
-    v = F.when(F.col("target").isNull(), F.col("form")).otherwise(redirected(target))
-    return rows.where("target is null or target <> ''").select(F.when(F.col("target").isNull(), F.col("url")).otherwise(F.col("form")).alias("u"), v.alias("v")).where("v is not null")
+    all_of = lambda word, pattern: F.when(F.contains(F.lower(html), F.lit(word)), F.regexp_extract_all(html, F.lit(pattern), F.lit(1)))
+    none = F.array().cast("array<string>")
+    named = F.concat(*[F.coalesce(all_of(*x), none) for x in (("canonical", LINK), ("refresh", REFRESH))])
+    rows = pages.where(F.instr(url, "://") > 0).select("url", redirected(url).alias("form"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(named))).alias("target"))
+    v = F.when(F.col("target").isNull(), F.col("form")).otherwise(redirected(resolved(url, F.col("target"))))
+    return rows.select(F.when(F.col("target").isNull(), F.col("url")).otherwise(F.col("form")).alias("u"), v.alias("v")).where("v is not null")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -116,6 +116,28 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).collect() == []
 
 
+def test_targets_are_resolved_against_their_page(spark):
+    page = "http://h.info/a/b/c.html?q=1#f"
+    want = {"//bad.example.net/q": "http://bad.example.net/q", "/x": "http://h.info/x", "?id=3": "http://h.info/a/b/c.html?id=3", "page2.html": "http://h.info/a/b/page2.html", "../x?y=../z": "http://h.info/a/x?y=../z",
+            "./": "http://h.info/a/b/", "..": "http://h.info/a/", "../../../x": "http://h.info/x", "#top": page, "https://o.net/a/./b/../c": "https://o.net/a/c", "/login?next=http://x.net/": "http://h.info/login?next=http://x.net/",
+            "go?to=http://x.net/": "http://h.info/a/b/go?to=http://x.net/", "mailto:a@b.net": None, "/.well-known/x..y": "http://h.info/.well-known/x..y"}
+    rows = [(page, t, w) for t, w in want.items()] + [("http://h.info", "p2", "http://h.info/p2"), ("http://h.info?q=/a/b", "p2", "http://h.info/p2"), ("http://h.info", "?id=3", "http://h.info?id=3")]
+    out = spark.createDataFrame(rows, "url string, target string, want string").withColumn("got", url_filter.resolved(F.col("url"), F.col("target"))).collect()
+    assert [(r["target"], r["got"]) for r in out] == [(r["target"], r["want"]) for r in out]
+
+
+def test_every_target_of_a_page_is_an_alias(spark):
+    link, refresh = '<link rel="canonical" href="{}">'.format, '<meta http-equiv="refresh" content="0; url={}">'.format
+    rows = [("http://one.info/p", link("//bad.example.net/q"), "block"), ("http://bad.example.net/q", None, "block"),
+            ("http://x.example.com/de/1", link("../fr/page2.html"), "block"), ("http://x.example.com/fr/page2", None, "block"),
+            ("http://two.info/f/p", link("/self") + link("http://bad.net/z"), "block"), ("http://bad.net/z", None, "block"), ("http://two.info/self", None, "block"),
+            ("http://six.info/f/p", refresh("p2") + refresh("?id=3"), "block"), ("http://six.info/f/p?id=3", link("https://bad.net/six"), "block"), ("http://bad.net/six", None, "block"), ("http://six.info/f/p2", None, "block"),
+            ("http://free.info/f/p", link("p2"), "allow"), ("http://free.info/p2", None, "allow")]
+    pages = spark.createDataFrame([(n, u, h) for n, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert [out[n] for n in range(len(rows))] == [r[2] for r in rows]
+
+
 def test_licences(spark):
     rng = random.Random(3)
     vocabulary = ["MIT", "license", "License,", "apache", "general", "public", "the", "gnu", "é", "(mit)", "licensed", "under", "version", "2.0", "x"]
