@@ -2,8 +2,8 @@
 
 A text becomes its words (A-Z lowered), joined by single blanks. Rules are regular expressions over that, made from the
 table of licences and the forms in which each is named. A rule has several keywords: one of each text that its name or
-identifiers can be, so that whatever it matches holds one of them as a word. Texts without a trigger word stop there. The
-others meet, through an equi-join on the keywords they hold, only the rules that those open, each once (the rule table is
+identifiers can be, so that whatever it matches holds one of them as a word. Signatures of licence bodies and notices are
+written by hand, each with a keyword of its own. Texts without a trigger or a signature's keyword stop there. The others meet, through an equi-join on the keywords they hold, only the rules that those open, each once (the rule table is
 of fixed size, and broadcast). Detections are intervals of words; one that lies within another of the same or a stronger
 priority is suppressed, by running maxima over the intervals of its text in order. What remains gives labels and score.
 
@@ -41,6 +41,43 @@ FORMS = [
     ("subject", 2, 0.85, "subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the )?N(?: licen[sc]e)?"), ("version", 3, 0.8, "N licen[sc]e version [0-9]+(?: [0-9]+)?"), ("link", 3, 0.75, "(?:opensource org licenses?|www gnu org licenses|spdx org licenses) I"),
     ("name", 4, 0.6, "N licen[sc]e"), ("heading", 4, 0.5, "licen[sc]e (?:type |name )?N"),
 ]
+#: Licence bodies and notices, written by hand: label, keyword (a word of every match), pattern over words.
+SIGNATURES = [
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software(?!(?: and associated documentation files)?(?: the software)? to deal with)"),
+    ("ncsa", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files)?(?: the software)? to deal with the software"),
+    ("boost", "hereby", "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation"),
+    ("ofl", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("isc", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("bsd", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided that)"),
+    ("postgresql", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("apache", "hereby", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|except as stated in this section patent) license"),
+    ("apache", "applicable", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms(?: with or without modification)?"),
+    ("bsd", "redistributions", "redistributions (?:of source code must retain|in binary form must reproduce) the above copyright notice"),
+    ("bsd", "endorse", "neither the names? of (?:[^ ]+ ){1,12}nor the names of (?:its|their|the|other) (?:[^ ]+ ){0,3}contributors may be used to endorse or promote products"),
+    ("gpl", "redistribute", "is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "redistribute", "is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl", "redistribute", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "liable", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", "(?:you )?just do what the fuck you want to"),
+    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "incompatible", "this source code form is incompatible with secondary licenses"),
+    ("epl", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", "recipient", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("cddl", "distribution", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cc0", "waived", "(?:has )?waived all copyright and related or neighbou?ring rights"),
+    ("artistic", "intent", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("python", "psf", "psf is making python available to licensee on an as is basis"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("ms-pl", "governs", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("gfdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("w3c", "licensee", "by obtaining(?: using)? and or copying this work you the licensee agree"),
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
+]
+#: Priority and weight of a signature.
+BODY = (2, 0.95)
 TRIGGER = "licen[sc]e|spdx|subject to|released under|distributed under|published under|provided under|available under"
 
 
@@ -71,6 +108,7 @@ def rules() -> list[tuple[int, str, list[str], str, int, float]]:
     """(number, label, keywords, pattern over joined words, priority, weight), in order."""
     made = [(label, keywords(name if "N" in form else ids, keyword), f"(?<= )(?:{form.replace('N', f'(?:{name})').replace('I', f'(?:{ids})')})(?= )", priority, weight)
             for _, priority, weight, form in FORMS for label, keyword, name, ids in LICENCES]
+    made += [(label, [keyword], f"(?<= )(?:{pattern})(?= )", *BODY) for label, keyword, pattern in SIGNATURES]
     return [(n, *rule) for n, rule in enumerate(made)]
 
 
@@ -105,7 +143,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("long").alias("n_words"), base_places(F.col("words")).alias("base"), "words", joined.alias("joined"))
-    open_ = F.col("joined").rlike(f" (?:{TRIGGER})")
+    bodies = F.array(*map(F.lit, sorted({keyword for _, keyword, _ in SIGNATURES})))
+    open_ = F.col("joined").rlike(f" (?:{TRIGGER})") | F.arrays_overlap("words", bodies)
     return settle(rows.select("rid", "doc_id", "n_words", "base", F.when(open_, F.col("joined")).alias("joined"),
                               F.when(open_, F.array_intersect(F.array(*map(F.lit, known)), "words")).alias("keywords")), "op7-scan")
 

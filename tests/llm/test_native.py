@@ -188,3 +188,23 @@ def test_fused_versions_and_identifiers_are_found(spark):
     scanned = licence_scan.scan(make(spark, ["the bsd and 0bsd, SPDX-License-Identifier: 0BSD or BSD-3-Clause"]))
     found = licence_scan.detections(scanned).select("rule", "first", "last").collect()
     assert found and len(found) == len(set(found))
+
+
+def test_licence_bodies(spark):
+    want = {"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction": "mit",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal with the Software without restriction": "ncsa",
+            "Redistribution and use in source and binary forms, with or without\n * modification, are permitted": "bsd",
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above": "isc",
+            "3. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.": "zlib",
+            "This is free and unencumbered software released into the public domain.": "unlicense",
+            "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "gpl,lgpl",
+            "We hereby agree to redistribute the altered goods.": ""}
+    out = {r["doc_id"]: r["labels"] for r in licence_scan.decisions(make(spark, list(want))).collect()}
+    assert [out[i] for i in range(len(want))] == list(want.values())
+
+
+def test_every_signature_holds_its_keyword():
+    for label, keyword, pattern in licence_scan.SIGNATURES:
+        bare = re.sub(r"\(\?[^()]*(?:\([^()]*\)[^()]*)*\)\??", " ", pattern)
+        assert label in {x[0] for x in licence_scan.LICENCES} and keyword in bare.split(), pattern
