@@ -6,7 +6,8 @@ dropped. The state holds three tables: `postings` (key, doc_id), `refs` (key, nu
 
 Inserting asks the shard's filter about each key of the batch, counted beforehand, so that a line of very many documents
 is one row. A key that the filter doesn't know is new for certain and is appended without a look at refs; the others are
-joined with refs, which corrects a false alarm. Deleting lowers the counts of a document's keys; a key that falls to none
+joined with refs, which corrects a false alarm. Where refs and the batch outgrow SHARD_KEYS keys a shard, the filters are
+first rebuilt from refs with more shards. Deleting lowers the counts of a document's keys; a key that falls to none
 leaves refs and the filter. The decision is exact: a key in at least MIN_DOCS documents stays in the largest of them.
 
 Null or empty text is one empty line. Equal lines of a document count once and are dropped together. Rows that repeat a
@@ -181,14 +182,19 @@ def insert(state: LineState, docs: DataFrame) -> LineState:
     fresh = settle(fresh, "op9-postings")
     shards = state.shards or max(MIN_SHARDS, -(-fresh.count() // SHARD_KEYS))
     batch = settle(_counts(fresh), "op9-counts")
-    asked = _sharded(batch.select(*KEY), state.filters, shards, _ask_and_add)
+    filters = state.filters
+    if state.shards:
+        need = -(-(state.refs.count() + batch.count()) // SHARD_KEYS)
+        if need > shards:
+            shards, filters = resharded(state, max(need, 2 * shards))
+    asked = _sharded(batch.select(*KEY), filters, shards, _ask_and_add)
     known = asked.where("known").select(*KEY)
     # A key that the filter took for a known one, but refs doesn't hold, has no fingerprint of its own yet.
     new = batch.join(asked.where("k1 is not null and not known").select(*KEY), KEY)
     met = batch.join(known, KEY).join(state.refs.select(*KEY, F.col("refs").alias("old"), F.col("max_doc").alias("old_doc")), KEY, "left")
     met = settle(met, "op9-met")
     late = met.where("old is null").select(*KEY)
-    filters = _latest(state.filters, asked)
+    filters = _latest(filters, asked)
     if not late.isEmpty():
         filters = _latest(filters, _sharded(late, filters, shards, _add_all))
     merged = met.select(*KEY, (F.col("refs") + F.coalesce("old", F.lit(0))).alias("refs"), F.greatest("max_doc", "old_doc").alias("max_doc"))
@@ -196,6 +202,11 @@ def insert(state: LineState, docs: DataFrame) -> LineState:
     return LineState(state.postings.unionByName(fresh), settle(refs, "op9-refs"), settle(filters, "op9-filters"), shards)
 
 
+def resharded(state: LineState, shards: int) -> tuple[int, DataFrame]:
+    """So many shards, and filters for them with the keys of refs."""
+    return shards, _latest(state.filters.limit(0), _sharded(state.refs.select(*KEY), state.filters.limit(0), shards, _add_all))
+
+
 def _without(rows: DataFrame, held: DataFrame) -> DataFrame:
     held = held.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("doc_id").alias("held_doc"))
     return rows.join(held, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("held_doc")), "left_anti")

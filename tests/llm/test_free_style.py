@@ -150,6 +150,21 @@ def test_line_dedup_is_reversible(spark):
         assert (r["k1"] % (1 << 64), r["k2"] % (1 << 64)) in filters[r["k1"] % 4]
 
 
+def test_shards_grow_with_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 50)
+    monkeypatch.setattr(line_dedup, "MIN_SHARDS", 1)
+    docs = make(spark, ["\n".join(f"line {j} of those in document {i // 2}" for j in range(10)) for i in range(60)])
+    first = line_dedup.insert(line_dedup.empty(spark), docs.where("doc_id < 4"))
+    state = line_dedup.insert(first, docs.where("doc_id >= 3"))
+    assert first.shards == 1 and state.refs.count() == 300 and state.shards >= 6
+    filters = {r["shard"]: line_dedup.CuckooFilter(r["data"]) for r in state.filters.collect()}
+    assert len(filters) == state.filters.count() == state.shards
+    for r in state.refs.collect():
+        assert r["refs"] == 2 and (r["k1"] % (1 << 64), r["k2"] % (1 << 64)) in filters[r["k1"] % state.shards]
+    left = line_dedup.delete(state, docs.select("doc_id"))
+    assert left.refs.count() == 0 and not any(any(t) for r in left.filters.collect() for t in line_dedup.CuckooFilter(r["data"]).tables)
+
+
 def test_cuckoo_filter_grows_and_forgets():
     rng = random.Random(4)
     keys = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(40_000)]
