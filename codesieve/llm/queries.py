@@ -6,8 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.llm import (bpe, exact_dedup, language_id, licence_scan, line_dedup, near_dedup, packing, quality_rules,
-                           secret_scan, url_filter)
+from codesieve.llm import (bpe, conversation_repair, decontaminate, exact_dedup, language_id, licence_scan, line_dedup, near_dedup,
+                           packing, phrases, quality_rules, secret_scan, url_filter)
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,9 @@ def build_registry() -> dict[str, Builder]:
         "op8_bpe": lambda spark, d: bpe.digests(table(spark, d, "documents")),
         "op9_line_dedup": lambda spark, d: line_dedup.decisions(table(spark, d, "documents")),
         "op10_language_id": lambda spark, d: language_id.decisions(table(spark, d, "documents")),
+        "op11_decontamination": lambda spark, d: decontaminate.decisions(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op12_conversation_repair": lambda spark, d: conversation_repair.decisions(table(spark, d, "conversations")),
+        "op13_phrases": lambda spark, d: phrases.collocations(table(spark, d, "documents")),
     }
 
 
@@ -39,6 +42,52 @@ QUERY = r"""regexp_replace(regexp_replace(regexp_extract({0}, '^[^?#]*\?([^#]*)'
             '(^|&)(utm_[a-z]+|gclid|fbclid|ref|mc_cid|mc_eid)=[^&]*', '', 'g'), '^&', '')"""
 FORM = ("'https://' || regexp_replace(" + HOST + r", '^(www|m)\.', '') || regexp_replace(" + PATH + r", '(/index)?(\.html?)?/*$', '')"
         " || CASE WHEN " + QUERY + " <> '' THEN '?' || " + QUERY + " ELSE '' END")
+
+
+def _edited(best: str, cost: str, letter: str, line: str) -> str:
+    """SQL: a state's cheapest edits so far with one more."""
+    return f"CASE WHEN {best} IS NOT NULL THEN {{'c': {best}.c + {cost}, 'a': {best}.a || '{letter}', 't': {best}.t || {line}}} END"
+
+
+INSERT_USER, INSERT_ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+STATE = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+#: checksum of an ASCII text, bit by bit.
+CRC32 = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x %% 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+REPAIR = (r"""
+        WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, """ + CRC32.replace("%%", "%").format(
+    "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')") + r""" % 20 AS kind FROM conversations),
+        x AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE kind WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM x),
+        f AS (SELECT *, substr(role, 1, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM o),
+        r AS (SELECT *, CASE WHEN cut = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(cut, 1) IN ('.', '!', '?') THEN '' ELSE 'truncated' END AS wrong,
+                     lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS met FROM f),
+        k AS (SELECT *, wrong IN ('', 'truncated') AS may_stay, CASE wrong WHEN 'truncated' THEN 5 ELSE 0 END AS extra,
+                     chr(10) || role || ':' || text AS line, ':' || text AS tail FROM r),
+        c AS (SELECT DISTINCT conv_id FROM conversations),
+        n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE wrong = 'blank') AS blank,
+                     count(*) FILTER (WHERE wrong = 'duplicate') AS duplicate, count(*) FILTER (WHERE wrong = 'truncated') AS truncated,
+                     count(*) FILTER (WHERE met NOT IN ('su', 'ua', 'au')) AS illegal FROM k GROUP BY conv_id),
+        best(conv_id, i, z, s, u, a) AS (
+          SELECT conv_id, 0::BIGINT, {'c': 0, 'a': '', 't': ''}::@, NULL::@, {'c': 5, 'a': 'I', 't': chr(10) || 'user:'}::@, {'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}::@ FROM c
+          UNION ALL
+          SELECT conv_id, i, z, s, u, list_min([a, """ + _edited("u", "5", "I", INSERT_ASSISTANT) + r"""]) FROM (
+            SELECT conv_id, i, z, s, a, list_min([u, """ + ", ".join(_edited(b, "5", "I", INSERT_USER) for b in "zsa") + r"""]) AS u FROM (
+              SELECT best.conv_id, k.i,
+                """ + _edited("best.z", "2", "D", "''") + r""" AS z,
+                list_min([""" + _edited("best.s", "2", "D", "''") + ", CASE WHEN may_stay AND initial = 's' THEN " + _edited("best.z", "extra", "K", "line") + r""" END]) AS s,
+                list_min([""" + _edited("best.u", "2", "D", "''") + "".join(
+    f", CASE WHEN may_stay AND initial = 'u' THEN {_edited('best.' + b, 'extra', 'K', 'line')} END, CASE WHEN may_stay THEN {_edited('best.' + b, 'extra + 1', 'R', "chr(10) || 'user' || tail")} END" for b in "zsa") + r"""]) AS u,
+                list_min([""" + _edited("best.a", "2", "D", "''") + ", CASE WHEN may_stay AND initial = 'a' THEN " + _edited("best.u", "extra", "K", "line")
+    + " END, CASE WHEN may_stay THEN " + _edited("best.u", "extra + 1", "R", "chr(10) || 'assistant' || tail") + r""" END]) AS a
+              FROM best JOIN k ON k.conv_id IS NOT DISTINCT FROM best.conv_id AND k.i = best.i + 1))),
+        e AS (SELECT c.conv_id, n.* EXCLUDE (conv_id), list_min([best.z, best.a]) AS b FROM c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+              JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id AND best.i = coalesce(n.n, 0))
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, b.c AS cost, b.a AS audit, sha256(substr(b.t, 2)) AS repaired_sha256 FROM e""")
 SQL = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents)
@@ -90,4 +139,32 @@ SQL = {
         SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY rid""",
+    "op11_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(%s, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(%s, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+        n AS (SELECT item_id, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+        g AS (SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS words FROM n),
+        s AS (SELECT DISTINCT size FROM g),
+        p AS (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, s),
+        m AS (SELECT rid, i, p.size, item_id FROM p JOIN g ON g.size = p.size AND g.words = array_to_string(w[i:i + p.size - 1], ' ')),
+        h AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS place FROM m) GROUP BY rid),
+        t AS (SELECT rid, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT rid, item_id::VARCHAR AS name FROM m WHERE item_id IS NOT NULL) GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h ON h.rid = d.rid LEFT JOIN t ON t.rid = d.rid""" % (LOWERED, LOWERED),
+    "op12_conversation_repair": REPAIR.replace("@", STATE),
+    "op13_phrases": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(%s, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS s(size)),
+        f AS (SELECT lang, phrase, size, count(*) AS a FROM g GROUP BY ALL),
+        c AS (SELECT lang, phrase, size, a, string_split(phrase, ' ') AS w FROM f WHERE a >= 10 AND size >= 2),
+        longer AS (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE size = 3),
+        stay AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM longer WHERE longer.lang = c.lang AND longer.phrase = c.phrase AND 100 * longer.a >= 50 * c.a)),
+        cuts AS (SELECT lang, phrase, a, w, unnest(range(1, size)) AS k FROM stay),
+        scores AS (SELECT cuts.*, x.a AS l, y.a AS r, (1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a) AS score
+                   FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+        best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM best JOIN total ON total.lang = best.lang QUALIFY rank <= 2000""" % LOWERED,
 }

@@ -108,3 +108,101 @@ def licence_places(text):
     phrases = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
     hits = [(i, k) for k, p in phrases.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split()]
     return len(w), sorted(hits)
+
+
+def ascii_words(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text)) if w]
+
+
+def contaminated(docs, items, window=10):
+    """(words, which are hit, names of the items with occurring windows) of each text."""
+    windows = defaultdict(set)
+    for name, text in items:
+        w = ascii_words(text)
+        size = min(window, len(w))
+        for i in range(len(w) - size + 1 if size else 0):
+            windows[tuple(w[i:i + size])].add(name)
+    sizes = {len(x) for x in windows}
+    out = []
+    for text in docs:
+        w, hit, names = ascii_words(text), set(), set()
+        for size in sizes:
+            for i in range(len(w) - size + 1):
+                if tuple(w[i:i + size]) in windows:
+                    hit.update(range(i, i + size))
+                    names |= windows[tuple(w[i:i + size])]
+        out.append((w, hit, sorted(str(n) for n in names if n is not None)))
+    return out
+
+
+def damage(rows):
+    """conv_id -> its rows (turn, role, text) after damage, in order."""
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out[conv] += [(turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return {c: sorted(rs, key=lambda r: (r[0] is not None, r[0] or 0, r[1:])) for c, rs in out.items()}
+
+
+def repair(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired text) of one conversation's rows, by a forward search over all edits."""
+    turns = [t for t, _, _ in rows if t is not None]
+    counts, seen, kinds = {"blank": 0, "duplicate": 0, "truncated": 0, "": 0}, set(), []
+    for _, role, text in rows:
+        stripped = text.strip(BLANK)
+        kind = "blank" if not stripped else "duplicate" if (role, text) in seen else "" if stripped[-1] in ".!?" else "truncated"
+        seen.add((role, text))
+        kinds.append(kind)
+        counts[kind] += 1
+    legal, after = {"": "su", "s": "u", "u": "a", "a": "u"}, {"u": "user", "a": "assistant"}
+
+    def insert(best):
+        for _ in range(3):
+            for last, (cost, audit, lines) in list(best.items()):
+                for c in legal[last].replace("s", ""):
+                    new = (cost + 5, audit + "I", [*lines, after[c] + ":"])
+                    if c not in best or new[:2] < best[c][:2]:
+                        best[c] = new
+        return best
+    best = insert({"": (0, "", [])})
+    for (_, role, text), kind in zip(rows, kinds):
+        now = {}
+        for last, (cost, audit, lines) in best.items():
+            options = [(cost + 2, audit + "D", lines, last)]
+            if kind not in ("blank", "duplicate"):
+                extra = 5 * (kind == "truncated")
+                if role[:1] and role[:1] in legal[last]:
+                    options.append((cost + extra, audit + "K", [*lines, f"{role}:{text}"], role[:1]))
+                options += [(cost + 1 + extra, audit + "R", [*lines, f"{after[c]}:{text}"], c) for c in legal[last].replace("s", "")]
+            for *new, c in options:
+                if c not in now or tuple(new[:2]) < now[c][:2]:
+                    now[c] = tuple(new)
+        best = insert(now)
+    cost, audit, lines = min((best[c] for c in ("", "a") if c in best), key=lambda b: b[:2])
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, counts["blank"], counts["duplicate"], counts["truncated"], illegal, cost, audit, "\n".join(lines))
+
+
+def collocations(rows, least=10, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) from plain counts of all phrases of one to three words."""
+    f, n = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", lower(text)):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            n[lang] += len(w)
+            for size in (1, 2, 3):
+                for i in range(len(w) - size + 1):
+                    f[lang][tuple(w[i:i + size])] += 1
+    out = []
+    for lang, counts in f.items():
+        covered = {p for t, c in counts.items() if len(t) == 3 and c >= least for p in (t[:2], t[1:]) if 100 * c >= 50 * counts[p]}
+        rows = []
+        for p, a in counts.items():
+            if len(p) > 1 and a >= least and p not in covered:
+                score, k = min((1_000_000 * a * a // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, le, r, n[lang], -s) for i, (s, a, p, le, r) in enumerate(sorted(rows)[:top])]
+    return out
