@@ -7,13 +7,14 @@ counted by language (null: `und`), occurrences within pieces, overlaps included.
 2. A full pass counts the proposals and their negative border exactly. The border is what has only proposed parts without
    being proposed: every word, pairs of proposed words, triples of two proposed pairs. It needs no list; a task tests it.
 3. Words and pairs that prove frequent without having been proposed are failures of the border. They join the proposals,
-   and a further pass counts what they open: phrases that pass the new test and not the last one. Passes go on until no
-   failure is left; then each phrase whose parts are all frequent has been counted once, in full.
+   and an expansion pass counts what they open, and what that may open in turn: pairs of frequent words that were not
+   counted, and triples of pairs that are frequent or counted just now. So one expansion closes the search: then each
+   phrase whose parts are all frequent has been counted once, in full. Without failures there is none.
 
 Proposals are kept as a Bloom filter of at most `max_bits` bits, which is what makes the broadcast safe. A false positive
 lets a phrase be counted that need not be, and never changes a count; with far more phrases than bits, more is counted.
-Each task numbers words, counts runs of numbers in arrays of bounded size and sends sums; keys that shuffle are phrases.
-The best rows of a language are found by ranking within shares of it first.
+Each task numbers words, counts runs of numbers in arrays of bounded size and sends sums; keys that shuffle are phrases,
+so equal counts meet by the phrase itself. The best rows of a language are found by ranking within shares of it first.
 
 Null or empty text has no words and no rows; a repeated row counts again; doc_id and other columns are not looked at. A
 language without candidates gives no row, nor does an empty table. Texts of any length are read whole.
@@ -21,7 +22,7 @@ language without candidates gives no row, nor does an empty table. Texts of any
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,9 @@ from codesieve.llm.common import settle, ship
 MIN_COUNT, TOP, SHARE, LOW = 10, 2000, 1 / 8, 2
 BITS_PER_PHRASE, MIN_BITS, MAX_BITS, CHUNK = 32, 1 << 20, 1 << 28, 1 << 19
 #: Words a task holds before it sends what it has counted.
-HELD_WORDS = 1 << 21
+HELD_WORDS = 1 << 20
 #: A-Z lowered, tab as blank, ends of pieces as full stops.
 PLAIN = bytes(32 if b == 9 else 46 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if "A" <= chr(b) <= "Z" else b for b in range(256))
-COUNTS = "lang string, phrase string, size int, h long, n long"
 FACTOR = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -78,6 +78,37 @@ class Filter:
         return (bit(a) & bit(b)).astype(bool)
 
 
+def language_hash(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
+
+
+def word_hashes(words: Iterable[bytes], n: int, lang: np.uint64 | np.ndarray) -> np.ndarray:
+    return joined(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n) ^ lang)
+
+
+def phrase_hashes(langs: list[str], phrases: list[bytes]) -> np.ndarray:
+    """Hashes of phrases of one or two words."""
+    known = {lang: language_hash(lang) for lang in set(langs)}
+    parts = [p.split(b" ") for p in phrases]
+    lang = np.array([known[x] for x in langs], np.uint64)
+    pair = np.array([len(p) > 1 for p in parts], bool)
+    first, last = (word_hashes([p[i] for p in parts], len(parts), lang) for i in (0, -1))
+    return np.where(pair, joined(first, last), first)
+
+
+def _hashed(counts: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    """Hashes of words and pairs; with a filter, of those that it does not hold."""
+    shared = counts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = None if shared.value is None else Filter(shared.value)
+        for batch in batches:
+            h = phrase_hashes(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist())
+            h = h if test is None else h[~test.holds(h)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+    return counts.where("size between 1 and 2").select("lang", "phrase").mapInArrow(run, "h long")
+
+
 def _bits(hashes: DataFrame, bits: int) -> np.ndarray:
     """A filter of `bits` bits with the hashes of a one-column frame; tasks make partial ones, executors merge chunks."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,76 +138,99 @@ def _bits(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+class Numbers(dict):
+    """Gives every new word the next number; the end of a piece is 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Counter:
-    """Numbers words and counts phrases that a filter lets pass and an earlier one did not."""
+    """Numbers words and counts phrases that a filter opens and an earlier one did not."""
 
     def __init__(self, want: Filter, done: Filter | None, sizes: tuple[int, ...]):
         self.want, self.done, self.sizes = want, done, sizes
         self.clear()
 
     def clear(self) -> None:
-        self.numbers, self.held, self.n = {b".": 0}, {}, 0
+        self.numbers, self.held, self.n = Numbers({b".": 0}), {}, 0
 
     def add(self, lang: str, text: bytes) -> None:
         words = tokens(text)
         words.append(b".")
-        self.held.setdefault(lang, []).append(np.fromiter([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64, len(words)))
+        self.held.setdefault(lang, []).append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.n += len(words)
 
     def sums(self) -> Iterator[pa.RecordBatch]:
-        """Counts of what was added since the last time."""
-        names = pa.array(list(self.numbers), pa.binary())
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.numbers), np.uint64, len(self.numbers))
+        """Counts of what was added since the last time: (key, n), the key being language, tab and phrase."""
+        names, one_by_one = pa.array(list(self.numbers), pa.binary()), list(self.numbers)
         for lang, parts in self.held.items():
             ids = np.concatenate(parts)
-            one = joined(hashes[ids] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode())))
-            word = ids > 0
+            head = pa.scalar(lang.encode("utf-8", "surrogatepass"), pa.binary())
             if 1 in self.sizes:
                 n = np.bincount(ids)
+                n[0], total = 0, len(ids) - n[0]
                 seen = np.flatnonzero(n)
-                seen = seen[seen > 0]
-                at = np.zeros(len(n), np.int64)
-                at[ids] = np.arange(len(ids))
-                yield from self.rows(lang, [names.take(pa.array(seen))], one[at[seen]], n[seen])
-                yield from self.rows(lang, [pa.array([b""], pa.binary())], np.zeros(1, np.uint64), np.array([word.sum()]), 0)
-            pair = word[:-1] & word[1:]
-            two = joined(one[:-1], one[1:])
-            kept, keys = pair & self.opened(one), ids[:-1] << 31 | ids[1:]
-            key, at, n = np.unique(keys[kept], return_index=True, return_counts=True)
-            yield from self.rows(lang, [names.take(pa.array(key >> 31)), names.take(pa.array(key & (1 << 31) - 1))], two[kept][at], n)
+                yield from self.rows(head, [names.take(pa.array(seen))], n[seen])
+                yield from self.rows(head, [pa.array([b""], pa.binary())], np.array([total]))
+            hashes = word_hashes(one_by_one, len(one_by_one), language_hash(lang))
+            now, first = self.places(ids, hashes)
+            key, n = np.unique(ids[:-1][now].astype(np.int64) << 31 | ids[1:][now], return_counts=True)
+            yield from self.rows(head, [names.take(pa.array(key >> 31)), names.take(pa.array(key & (1 << 31) - 1))], n)
             if 3 in self.sizes:
-                triple = pair[:-1] & pair[1:] & self.opened(two)
-                first, place = np.unique(keys[:-1][triple], return_inverse=True)
-                key, at, n = np.unique(place << 31 | ids[2:][triple], return_index=True, return_counts=True)
-                start = first[key >> 31]
-                three = joined(one[:-2][triple][at], one[1:-1][triple][at], one[2:][triple][at])
-                yield from self.rows(lang, [names.take(pa.array(x)) for x in (start >> 31, start & (1 << 31) - 1, key & (1 << 31) - 1)], three, n)
+                at = np.flatnonzero(first)
+                pair, place = np.unique(ids[at].astype(np.int64) << 31 | ids[at + 1], return_inverse=True)
+                key, n = np.unique(place << 31 | ids[at + 2], return_counts=True)
+                start = pair[key >> 31]
+                yield from self.rows(head, [names.take(pa.array(x)) for x in (start >> 31, start & (1 << 31) - 1, key & (1 << 31) - 1)], n)
         self.clear()
 
-    def opened(self, h: np.ndarray) -> np.ndarray:
-        """Places where this part and the next are proposed, and were not both proposed in the pass before."""
-        now = self.want.holds(h)
-        now = now[:-1] & now[1:]
-        if self.done is not None:
-            old = self.done.holds(h)
-            now &= ~(old[:-1] & old[1:])
-        return now
+    def places(self, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pairs begin that are counted now, and where triples do."""
+        def both(word: np.ndarray) -> np.ndarray:
+            held = word[ids]
+            return held[:-1] & held[1:]
+
+        def tested(test: Filter, pairs: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(pairs), bool)
+            out[at] = test.holds(h)
+            return out & pairs
+        word = self.want.holds(hashes)
+        word[0] = False
+        pairs = both(word)
+        if self.done is None:
+            fresh = pairs
+        else:
+            old_word = self.done.holds(hashes)
+            old_word[0] = False
+            old_pairs = both(old_word)
+            fresh = pairs & ~old_pairs
+        if 3 not in self.sizes:
+            return fresh, fresh[:0]
+        at = np.flatnonzero(pairs)
+        h = joined(hashes[ids[at]], hashes[ids[at + 1]])
+        open_now = tested(self.want, pairs, h, at)
+        if self.done is None:
+            return fresh, open_now[:-1] & open_now[1:]
+        # What this pass counts may prove frequent, so it opens triples at once.
+        open_now |= fresh
+        open_then = tested(self.done, old_pairs, h, at)
+        return fresh, open_now[:-1] & open_now[1:] & ~(open_then[:-1] & open_then[1:])
 
     @staticmethod
-    def rows(lang: str, words: list[pa.Array], h: np.ndarray, n: np.ndarray, size: int | None = None, step: int = 50_000) -> Iterator[pa.RecordBatch]:
-        size = len(words) if size is None else size
+    def rows(lang: pa.Scalar, words: list[pa.Array], n: np.ndarray, step: int = 50_000) -> Iterator[pa.RecordBatch]:
+        tab, blank = pa.scalar(b"\t", pa.binary()), pa.scalar(b" ", pa.binary())
         for a in range(0, len(n), step):
             parts = [w.slice(a, step) for w in words]
-            phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if len(parts) > 1 else parts[0]
-            m = len(phrase)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), phrase.view(pa.string()), pa.array(np.full(m, size, np.int32)),
-                                              pa.array(h[a:a + step].view(np.int64)), pa.array(n[a:a + step].astype(np.int64))], ["lang", "phrase", "size", "h", "n"])
+            phrase = pc.binary_join_element_wise(*parts, blank) if len(parts) > 1 else parts[0]
+            key = pc.binary_join_element_wise(lang, phrase, tab)
+            yield pa.RecordBatch.from_arrays([key.view(pa.string()), pa.array(n[a:a + step].astype(np.int64))], ["key", "n"])
 
 
 def count(docs: DataFrame, want: np.ndarray | None, done: np.ndarray | None, sizes: tuple[int, ...], least: int) -> DataFrame:
-    """lang, phrase, size, h, n of the phrases of a pass found `least` times; size 0 holds a language's words. Stored."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((want, done))
+    """lang, phrase, size, n of the phrases of a pass found `least` times; size 0 holds a language's words. Stored."""
+    shared = docs.sparkSession.sparkContext.broadcast((want, done))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want, done = shared.value
@@ -188,42 +242,26 @@ def count(docs: DataFrame, want: np.ndarray | None, done: np.ndarray | None, siz
                     yield from counter.sums()
         if counter.n:
             yield from counter.sums()
-    rows = docs.where("text <> ''").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, COUNTS)
-    sums = rows.groupBy("lang", "phrase", "size").agg(F.min("h").alias("h"), F.sum("n").alias("n"))
+    rows = docs.where("text <> ''").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, "key string, n long")
+    # A task has summed up what it read, so its rows move as they are and are added where they meet.
+    sums = rows.repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\t", -1)
+    size = F.when(phrase == "", F.lit(0)).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1)
+    sums = sums.select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), size.alias("size"), "n")
     return settle(sums.where((F.col("n") >= least) | (F.col("size") == 0)), "op13-counts")
 
 
 def frequent(docs: DataFrame, min_count: int = MIN_COUNT, share: float = SHARE, low: int = LOW, max_bits: int = MAX_BITS, seed: int = 13) -> DataFrame:
     """lang, phrase, size (1 to 3; 0: the language's words), n for every phrase found min_count times, exactly counted."""
     docs = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text"))
-    proposed = count(docs.sample(fraction=share, seed=seed), None, None, (1, 2), low).where("size > 0")
+    proposed = count(docs.sample(fraction=share, seed=seed), None, None, (1, 2), low)
     bits = min(max_bits, max(MIN_BITS, 1 << (BITS_PER_PHRASE * max(1, proposed.count()) - 1).bit_length()))
-    want, done, sizes = _bits(proposed.select("h"), bits), None, (1, 2, 3)
-    passes: list[DataFrame] = []
-    while True:
-        now = count(docs, want, done, sizes, min_count)
-        passes.append(now)
-        failures = _failed(now.where("size between 1 and 2"), want)
-        more = _bits(failures, bits)
-        if not more.any():
-            break
-        want, done, sizes = want | more, want, (2, 3)
-    out = passes[0]
-    for more_rows in passes[1:]:
-        out = out.unionByName(more_rows)
-    return out.drop("h")
-
-
-def _failed(counts: DataFrame, want: np.ndarray) -> DataFrame:
-    """Hashes of frequent phrases that were not proposed."""
-    shared = counts.sparkSession.sparkContext.broadcast(want)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = Filter(shared.value)
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h[~test.holds(h.view(np.uint64))])], ["h"])
-    return counts.select("h").mapInArrow(run, "h long")
+    want = _bits(_hashed(proposed), bits)
+    found = count(docs, want, None, (1, 2, 3), min_count)
+    failures = _bits(_hashed(found, want), bits)
+    if failures.any():
+        found = found.unionByName(count(docs, want | failures, want, (2, 3), min_count))
+    return found
 
 
 def scored(found: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:

@@ -189,13 +189,13 @@ def test_phrases_whatever_the_sample_proposes(spark, share, low, max_bits, monke
     assert mined(phrases.collocations(docs, top=7, share=share)) == sorted(r for r in want if r[1] <= 7)
 
 
-def test_a_poor_sample_takes_more_passes(spark, monkeypatch):
+def test_a_poor_sample_takes_an_expansion_pass(spark, monkeypatch):
     docs = docs_of(spark, [(i, "rare words stand here together " * (1 + i % 3), "en") for i in range(12)])
     passes, count = [], phrases.count
     monkeypatch.setattr(phrases, "count", lambda *a: passes.append(a[3]) or count(*a))
     out = phrases.frequent(docs, share=0.0).collect()
-    # Nothing is proposed: words fail first, then pairs.
-    assert passes == [(1, 2), (1, 2, 3), (2, 3), (2, 3)]
+    # Nothing is proposed: all words fail, and one expansion counts their pairs and triples.
+    assert passes == [(1, 2), (1, 2, 3), (2, 3)]
     found = defaultdict(int, {r["phrase"]: r["n"] for r in out})
     assert found["stand here together"] == found["rare"] == 24 and found["together rare words"] == 12
     assert len({(r["lang"], r["phrase"]) for r in out}) == len(out)
