@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.frames import settled
 from codesieve.functions.text import MARK, escaped, folded, found, matches, replaced, rx
-from codesieve.operators import stubs
+from codesieve.operators import spans, stubs
 from codesieve.operators.detect import TextRule, marked_lines, run_text_rules
-from codesieve.operators.lines import lines
 from codesieve.rulebook import gate as G
 
 #: A quoted literal: escapes skip one character, a newline ends all but backticks.
 DATA_STRING = (r'"(?:\\[\s\S]|[^"\\\n])*+(?:"|\\$)?'
                r"|'(?:\\[\s\S]|[^'\\\n])*+(?:'|\\$)?"
                r"|`(?:\\[\s\S]|[^`\\])*+(?:`|\\$)?")
+#: Tags the lines of docstrings that hold a trigger word.
+TAG = "\x02"
+FACTS = ("class", "finding", "soft", "source", "severity", "confidence", "suggestion", "cwe", "engine")
+#: Engines in the order of their bits: stub rules, prose and markers, structure, and what knows Python's tokens.
+ENGINES = ("stubs", "prose", "structure", "python")
 FINDING = ("path", "line_no", "class", "finding", "severity", "source", "confidence", "suggestion", "cwe")
 
 
@@ -69,8 +75,7 @@ def _facts(rule) -> Column:
 def prose_findings(files: DataFrame, rules=G.PROSE_RULES, *keep: str) -> DataFrame:
     """Prose and marker rules; a match inside a quoted literal is data, not a deferral.
 
-    Literals are recognised lexically, as for every language but Python (whose
-    spans come from its tokenizer, see ``operators.syntax``).
+    Literals are told by their quotes, line by line; ``collected`` knows Python's longer ones.
     """
     content, low = F.col("content"), F.col("_low")
     files = settled(files.select("path", "language", *keep, escaped(content).alias("content"), folded(content).alias("_low")))
@@ -86,34 +91,6 @@ def prose_findings(files: DataFrame, rules=G.PROSE_RULES, *keep: str) -> DataFra
         F.explode(F.sequence(F.lit(1), starts)).alias("nth"))
 
 
-def all_matches(files: DataFrame, *keep: str) -> DataFrame:
-    """Stub, prose and structural matches in one pass, before any suppression.
-
-    ``kind`` is the stub rule's type, ``prose``, ``marker`` or ``structure``;
-    ``col_no`` is the 0-based column of the match.
-    """
-    def facts(kind, failure_class, finding, severity, source, confidence, suggestion, cwe) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), failure_class.alias("class"), F.lit(finding).alias("finding"),
-                        severity.alias("severity"), F.lit(source).alias("source"),
-                        F.lit(confidence).cast("double").alias("confidence"), F.lit(suggestion).cast("string").alias("suggestion"),
-                        cwe.cast("string").alias("cwe"))
-
-    rules = []
-    for fam in stubs.S.FAMILIES:
-        for rule in fam:
-            kind = stubs.pattern_type(fam, rule)
-            rules.append(TextRule(rule.pattern, fam.flags, facts(
-                kind, class_of(F.lit(kind)), stubs.description(fam, rule), gate_severity(F.lit(rule.severity), F.lit(rule.confidence)),
-                G.SOURCE_STUBS, round(rule.confidence, 2), fam.facts["suggestion"], cwe_of(F.lit(kind)))))
-    for kind, flags, severity, cwe, number, message, pattern in (*G.PROSE_RULES, *G.STRUCTURAL_RULES):
-        rules.append(TextRule(pattern, flags, facts(kind, F.lit(G.CLASSES[number]), message, F.lit(severity), G.SOURCE_PROSE,
-                                                    None, None, F.lit(cwe))))
-    rows = run_text_rules(files, rules, "path", *keep)
-    nth, line = F.col("nth"), F.col("marked_line")
-    column = F.length(F.call_function("substring_index", line, F.lit(MARK), nth.cast("int"))) - nth + 1
-    return rows.withColumn("col_no", column).drop("marked_line")
-
-
 def structural_findings(files: DataFrame) -> DataFrame:
     """Empty bodies, hard-coded returns, empty catches; never suppressed."""
     rules = [TextRule(rule[6], rule[1], _facts(rule)) for rule in G.STRUCTURAL_RULES]
@@ -152,18 +129,152 @@ def verdicts(files: DataFrame, findings: DataFrame) -> DataFrame:
     return totals.withColumn("verdict", verdict_of(F.col("violations"), F.col("warnings")))
 
 
+ENGINE_OF = {"prose": "prose", "marker": "prose", "structure": "structure", "typed_except": "python"}
+
+
+class GateRule(NamedTuple):
+    """A pattern with the finding it stands for; ``kind`` tells how its matches may be suppressed."""
+
+    pattern: str
+    flags: str
+    kind: str
+    facts: Column
+
+
+def _gate_facts(failure_class: Column, finding: str, severity: Column, source: str, confidence, suggestion, cwe: Column, engine: str) -> Column:
+    return F.struct(failure_class.alias("class"), F.lit(finding).alias("finding"), (severity != "violation").alias("soft"), F.lit(source).alias("source"),
+                    severity.alias("severity"), F.lit(confidence).cast("double").alias("confidence"), F.lit(suggestion).cast("string").alias("suggestion"),
+                    cwe.cast("string").alias("cwe"), F.lit(ENGINES.index(engine)).alias("engine"))
+
+
+def gate_rules(python_spans: bool = True) -> list[GateRule]:
+    """All engines' rules in the gate's terms."""
+    rules = []
+    for fam in stubs.S.FAMILIES:
+        for rule in fam:
+            kind = stubs.pattern_type(fam, rule)
+            rules.append(GateRule(rule.pattern, fam.flags, kind, _gate_facts(
+                class_of(F.lit(kind)), stubs.description(fam, rule), gate_severity(F.lit(rule.severity), F.lit(rule.confidence)),
+                G.SOURCE_STUBS, round(rule.confidence, 2), fam.facts["suggestion"], cwe_of(F.lit(kind)), "stubs")))
+    more = (G.TYPED_EXCEPT,) if python_spans else ()
+    for kind, flags, severity, cwe, number, message, pattern in (*G.PROSE_RULES, *G.STRUCTURAL_RULES, *more):
+        rules.append(GateRule(pattern, flags, kind, _gate_facts(
+            F.lit(G.CLASSES[number]), message, F.lit(severity), G.SOURCE_PROSE, None, None, F.lit(cwe), ENGINE_OF[kind])))
+    return rules
+
+
+def _without_data(marked: Column, kinds: Column) -> Column:
+    """Marks inside Python strings dropped; those in docstrings and comments stay."""
+    return spans.retold(marked, kinds, lambda t, kind: F.when(kind == spans.STRING, F.translate(t, MARK, "")).otherwise(t))
+
+
+def _in_trigger_docstrings(marked: Column, kinds: Column) -> Column:
+    """Lines of real docstrings that hold a trigger word get a tag; what has no tag on its line is no docstring."""
+    def tagged(token: Column, kind: Column) -> Column:
+        real = (kind == spans.DOCSTRING) & found(token, G.DOCSTRING_TRIGGER, "i")
+        return F.when(real, F.concat(F.lit(TAG), F.replace(token, F.lit("\n"), F.lit("\n" + TAG)))).otherwise(token)
+    return spans.retold(marked, kinds, tagged)
+
+
+def _unexplained(marked: Column) -> Column:
+    """Marked lines without a comment on them or on the next line."""
+    rows = F.split(marked, "\n", -1)
+    said = lambda line: F.coalesce(found(line, r"#\s*\S"), F.lit(False))
+    numbered = F.transform(rows, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("marked_line"), F.get(rows, i + 1).alias("next")))
+    return F.filter(numbered, lambda s: F.contains(s["marked_line"], F.lit(MARK)) & ~said(s["marked_line"]) & ~said(s["next"]))
+
+
+def collected(files: DataFrame, *keep: str, rules: list[GateRule] | None = None, python_spans: bool = True) -> DataFrame:
+    """``(path, language, keep..., found, used, fires, fails)``: each file's findings as one sorted array, collapsed in its row.
+
+    No row leaves its task: the engines share one reading of the text, and a violation beats a warning because it sorts
+    first among equal (line, class, finding). With ``python_spans`` a marker rule's match inside a Python string is data,
+    a docstring rule's hit counts only on a line of a real docstring that holds a trigger, and an ``except`` of a named
+    exception that only passes is reported unless a comment on its line or the next explains it; without, strings are told
+    by quotes for every language. Null or empty content has no findings; a repeated row is judged again. ``used``, ``fires``
+    and ``fails`` are bit masks of ENGINES: those that look at the file, that find something, that find a violation.
+    """
+    content, low, python, kinds = F.col("content"), F.col("_low"), F.col("_python"), F.col("_kinds")
+    rows = settled(files.select("path", "language", *keep, escaped(F.coalesce("content", F.lit(""))).alias("content")))
+    python_text = F.coalesce(spans.is_python(F.col("language"), content), F.lit(False)) if python_spans else F.lit(False)
+    rows = settled(rows.withColumns({"_low": folded(content), "_python": python_text, "_test": stubs.reads_like_a_test(content)}))
+    if python_spans:
+        rows = settled(rows.withColumn("_kinds", F.when(python, spans.token_kinds(content))))
+
+    def hits(rule: GateRule) -> Column:
+        marked = replaced(content, rule.pattern, MARK + "$0", rule.flags)
+        test = found(content, rule.pattern, rule.flags, low)
+        if rule.kind in G.SUPPRESSIBLE:
+            quoted = _unmark_strings(marked)
+            at = marked_lines(F.when(python, _without_data(marked, kinds)).otherwise(quoted) if python_spans else quoted)
+        elif rule.kind == G.DOCSTRING_RULE and python_spans:
+            real = F.filter(marked_lines(_in_trigger_docstrings(marked, kinds)), lambda s: F.contains(s["marked_line"], F.lit(TAG)))
+            at = F.when(python, real).otherwise(marked_lines(marked))
+        elif rule.kind == G.TYPED_EXCEPT[0]:
+            at, test = _unexplained(marked), test & python
+        else:
+            at = marked_lines(marked)
+        if rule.kind == stubs.S.MOCK_NAME.rules[0].name:
+            test = test & ~F.col("_test")
+        return F.when(test, F.transform(at, lambda s: F.struct(s["line_no"].alias("line_no"), *[rule.facts[f].alias(f) for f in FACTS])))
+
+    every = F.flatten(F.array_compact(F.array(*[hits(rule) for rule in rules or gate_rules(python_spans)])))
+    used = F.lit(2 ** (len(ENGINES) - 1) - 1) + F.when(python, F.lit(2 ** (len(ENGINES) - 1))).otherwise(F.lit(0))
+    rows = settled(rows.select("path", "language", *keep, used.alias("used"), F.array_sort(every).alias("_every")))
+    same = lambda a, b: (a["line_no"] == b["line_no"]) & (a["class"] == b["class"]) & (a["finding"] == b["finding"])
+    first = F.filter("_every", lambda f, i: (i == 0) | ~same(f, F.get("_every", i - 1)))
+    mask = lambda rows_: F.aggregate(rows_, F.lit(0), lambda bits, f: bits.bitwiseOR(F.element_at(F.array(*[F.lit(1 << k) for k in range(len(ENGINES))]), f["engine"] + 1)))
+    return settled(rows.select("path", "language", *keep, first.alias("found"), "used", mask("_every").alias("fires"),
+                               mask(F.filter("_every", lambda f: ~f["soft"])).alias("fails")))
+
+
+def engine_names(mask: Column) -> Column:
+    """The engines of a bit mask, in order, joined by commas."""
+    return F.array_join(F.array_compact(F.array(*[F.when(mask.bitwiseAND(F.lit(1 << k)) != 0, F.lit(name)) for k, name in enumerate(ENGINES)])), ",")
+
+
+def rule_benchmark(files: DataFrame) -> DataFrame:
+    """How well every set of engines tells files with a true ``expected`` (they should fail) from the others.
+
+    One pass gives each file the mask of engines that fail it; files of equal masks are counted first, so all 2^k - 1 sets
+    are scored from at most 2^(k + 1) rows. Columns: engines, n_files, caught, missed, false_alarms, passed, correct_pct.
+    """
+    counts = collected(files.where("expected is not null"), "expected").groupBy("expected", "fails").agg(F.count("*").alias("n"))
+    sets = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit((1 << len(ENGINES)) - 1))).alias("set"))
+    flagged = F.col("fails").bitwiseAND(F.col("set")) != 0
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    scores = sets.groupBy("set").agg(
+        F.sum("n").alias("n_files"), total(F.col("expected") & flagged).alias("caught"), total(F.col("expected") & ~flagged).alias("missed"),
+        total(~F.col("expected") & flagged).alias("false_alarms"), total(~F.col("expected") & ~flagged).alias("passed"))
+    return scores.select(engine_names(F.col("set")).alias("engines"), "n_files", "caught", "missed", "false_alarms", "passed",
+                         F.round(100 * (F.col("caught") + F.col("passed")) / F.col("n_files"), 6).alias("correct_pct"))
+
+
+def listed(rows: DataFrame, *keep: str) -> DataFrame:
+    """Findings of ``collected`` as rows."""
+    return rows.select("path", *keep, F.inline("found")).select(*FINDING, *keep)
+
+
+def counted(rows: DataFrame, *keep: str) -> DataFrame:
+    """Violations, warnings and verdict of each ``collected`` row; nothing is shuffled."""
+    n = lambda soft: F.size(F.filter("found", lambda f: f["soft"] == F.lit(soft))).cast("long")
+    totals = rows.select("path", *keep, n(False).alias("violations"), n(True).alias("warnings"))
+    return totals.withColumn("verdict", verdict_of(F.col("violations"), F.col("warnings")))
+
+
 def text_findings(files: DataFrame) -> DataFrame:
-    """The engines that need no syntax tree, united and collapsed."""
-    united = adapt(stubs.findings(files)).unionByName(as_gate(prose_findings(files))) \
-        .unionByName(as_gate(structural_findings(files)))
-    return deduplicate(united)
+    """The engines united and collapsed, strings told by quotes alone."""
+    return listed(collected(files, python_spans=False))
 
 
 def text_verdicts(files: DataFrame) -> DataFrame:
-    return verdicts(files, text_findings(files))
+    return counted(collected(files, python_spans=False))
+
+
+def findings(files: DataFrame) -> DataFrame:
+    """The whole gate, with Python's strings, docstrings and comments told apart."""
+    return listed(collected(files))
 
 
-def with_text(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach the stripped line text (at most 200 characters)."""
-    source = lines(files).select("path", "line_no", F.left(F.btrim("line"), F.lit(200)).alias("text"))
-    return findings.join(source, ["path", "line_no"], "left")
+def file_verdicts(files: DataFrame) -> DataFrame:
+    return counted(collected(files))

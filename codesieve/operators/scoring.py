@@ -85,22 +85,30 @@ def evidence(files: DataFrame, analyzer: str) -> DataFrame:
     raise ValueError(f"unknown analyzer {analyzer!r}")
 
 
+#: Sums are taken in whole billionths, so that they don't depend on the order in which rows arrive.
+UNITS = 1e9
+
+
+def _units(value: Column) -> Column:
+    return F.round(value * UNITS).cast("long")
+
+
 def _totals(files: DataFrame, rows: DataFrame, analyzer: str) -> DataFrame:
     """Per file, findings or not: lines, weighted evidence, count (one exchange)."""
     weight = lookup(F.col("severity"), dict(zip(RANK, WEIGHTS[analyzer])))
-    zero = files.select("path", F.size(F.split("content", "\n", -1)).alias("total_lines"), F.lit(0.0).alias("w"), F.lit(0).alias("n"))
-    hits = rows.select("path", F.lit(0).alias("total_lines"), (weight * F.col("confidence")).alias("w"), F.lit(1).alias("n"))
+    zero = files.select("path", F.size(F.split("content", "\n", -1)).alias("total_lines"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("n"))
+    hits = rows.select("path", F.lit(0).alias("total_lines"), _units(weight * F.col("confidence")).alias("w"), F.lit(1).alias("n"))
     return zero.unionByName(hits).groupBy("path").agg(
-        F.max("total_lines").alias("total_lines"), F.sum("w").alias("w"), F.sum("n").alias("n"))
+        F.max("total_lines").alias("total_lines"), (F.sum("w") / UNITS).alias("w"), F.sum("n").alias("n"))
 
 
 def confidence(files: DataFrame, analyzer: str) -> DataFrame:
-    """``(path, score)`` of one detector, with its own normalisation and cap."""
+    """``(path, score, n)`` of one detector, with its own normalisation and cap; n findings."""
     w, n, lines_ = F.col("w"), F.col("n"), F.col("total_lines")
     if analyzer == "emoji":
-        known = emoji.metrics(files).select("path", F.col("confidence").alias("c"))
-        zero = files.select("path", F.lit(0.0).alias("c"))
-        return zero.unionByName(known).groupBy("path").agg(F.max("c").alias("score"))
+        known = emoji.metrics(files).select("path", F.col("confidence").alias("c"), F.col("emojis").alias("n"))
+        zero = files.select("path", F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("n"))
+        return zero.unionByName(known).groupBy("path").agg(F.max("c").alias("score"), F.max("n").alias("n"))
     t = _totals(files, evidence(files, analyzer), analyzer)
     per = lambda size, cap: F.least(F.lit(cap), w / F.greatest(F.lit(1.0), lines_ / size))
     if analyzer == "pattern":
@@ -127,19 +135,19 @@ def confidence(files: DataFrame, analyzer: str) -> DataFrame:
     else:
         size, cap = {"statistical": (25, 0.92), "security": (15, 0.95), "semantic": (20, 0.88), "antipattern": (100, 0.92)}[analyzer]
         score = per(size, cap)
-    return t.select("path", score.alias("score"))
+    return t.select("path", score.alias("score"), F.col("n").cast("long").alias("n"))
 
 
 def phase_scores(files: DataFrame, analyzers) -> DataFrame:
-    return _union([confidence(files, a).select("path", F.lit(a).alias("analyzer"), "score") for a in analyzers])
+    return _union([confidence(files, a).select("path", F.lit(a).alias("analyzer"), "score", "n") for a in analyzers])
 
 
 def overall(files: DataFrame, weights: dict[str, float] = PHASE_WEIGHTS, normalise: bool = True) -> DataFrame:
     """Weighted mean of the phases (or their weighted sum) with its level."""
     w = lookup(F.col("analyzer"), weights)
-    total = F.sum(F.col("score") * w)
-    value = F.least(F.lit(1.0), total / F.sum(w)) if normalise else total
-    return phase_scores(files, weights).groupBy("path").agg(value.alias("confidence")) \
+    total = F.sum(_units(F.col("score") * w)) / UNITS
+    value = F.least(F.lit(1.0), total / sum(weights.values())) if normalise else total
+    return phase_scores(files, weights).groupBy("path").agg(value.alias("confidence"), F.sum("n").alias("patterns")) \
         .withColumn("level", confidence_level(F.col("confidence")))
 
 
@@ -191,28 +199,32 @@ def top_issues(findings: DataFrame, k: int = 20) -> DataFrame:
 
 
 # --- scan totals and gates -----------------------------------------------------------
-def scan_summary(scores: DataFrame, patterns: DataFrame, threshold: float) -> DataFrame:
-    """One row of totals; the mean is taken over files at or above the threshold."""
+def scan_summary(scores: DataFrame, threshold: float) -> DataFrame:
+    """One row of totals over the scores of ``overall``; the mean is taken over files at or above the threshold.
+
+    The findings of all detectors came with the scores, so nothing is read again.
+    """
     reported = F.col("confidence") >= threshold
     hot = F.col("confidence") >= 0.4
-    n = patterns.agg(F.count("*").alias("patterns"))
     totals = scores.agg(
         F.count("*").alias("files"), F.count_if(reported).alias("reported"), F.count_if(reported & hot).alias("generated"),
-        F.count_if(reported & (F.col("confidence") >= 0.6)).alias("critical_files"),
-        F.coalesce(F.avg(F.when(reported, F.col("confidence"))), F.lit(0.0)).alias("mean"))
-    return totals.join(n).select(
+        F.count_if(reported & (F.col("confidence") >= 0.6)).alias("critical_files"), F.coalesce(F.sum("patterns"), F.lit(0)).alias("patterns"),
+        F.coalesce(F.try_divide(F.sum(F.when(reported, _units(F.col("confidence")))), F.count_if(reported) * UNITS), F.lit(0.0)).alias("mean"),
+        F.count_if(F.col("level").isin("high", "very_high")).alias("high_risk_files"))
+    return totals.select(
         "files", "reported", "generated", "critical_files", "patterns",
-        F.round(F.col("generated") / F.col("files") * 100, 6).alias("generated_pct"), F.round("mean", 6).alias("confidence"),
-        confidence_level(F.col("mean")).alias("level"), F.round(F.col("patterns") / F.greatest(F.col("files"), F.lit(1)), 6).alias("per_file"))
+        F.round(F.col("generated") / F.greatest(F.col("files"), F.lit(1)) * 100, 6).alias("generated_pct"), F.round("mean", 6).alias("confidence"),
+        confidence_level(F.col("mean")).alias("level"), F.round(F.col("patterns") / F.greatest(F.col("files"), F.lit(1)), 6).alias("per_file"), "high_risk_files")
 
 
-def quality_gates(summary: DataFrame, max_confidence: float = 0.6, max_pct: float = 30.0) -> DataFrame:
+def quality_gates(summary: DataFrame, max_confidence: float = 0.6, max_pct: float = 30.0, keep: bool = False) -> DataFrame:
+    """Gates that fail, whether all passed, and the risk; with ``keep``, the summary's columns as well."""
     failures = F.array_compact(F.array(
         F.when(F.col("confidence") > max_confidence, F.lit("confidence")),
         F.when(F.col("generated_pct") > max_pct, F.lit("share")),
         F.when(F.col("critical_files") > 0, F.lit("critical files"))))
     return summary.select(F.array_join(failures, ",").alias("failures"), (F.size(failures) == 0).alias("passed"),
-                          project_risk(F.col("confidence")).alias("risk"))
+                          project_risk(F.col("confidence")).alias("risk"), *(summary.columns if keep else ()))
 
 
 def remediation(scores: DataFrame, threshold: float = 0.4) -> DataFrame:

@@ -118,8 +118,6 @@ FROM ({stub_select()}) GROUP BY 1, 2, 3""")
     out["structural_rules"] = with_files(structural_select())
     out["dedupe_findings"] = with_files("SELECT * FROM deduped", *gate_ctes())
     out["scan_verdict"] = with_files("SELECT * FROM verdict_rows", *gate_ctes())
-    # The gate's public names for the same tables.
-    out["gate_findings"], out["gate_verdicts"] = out["dedupe_findings"], out["scan_verdict"]
     out["class_by_prefix"] = out.pop("stub_types")
     return out
 

@@ -13,7 +13,7 @@ from codesieve.operators import (antipatterns, architecture, documents, emoji, g
                                  security, stubs, wording)
 from codesieve.operators.lines import COMMENT_PREFIXES, is_comment, lines
 from codesieve.operators.lines import masked_lines
-from codesieve.plans import review_queries, score_queries, service_queries
+from codesieve.plans import file_queries, review_queries, score_queries, service_queries, span_queries
 from codesieve.rulebook import security as security_rules
 from codesieve.rulebook import stubs as stub_rules
 from codesieve.sources.rendered import code_files
@@ -53,11 +53,11 @@ def build_registry() -> dict[str, Builder]:
     registry["formality_turns"] = lambda spark, sf_dir: wording.formality(
         table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn_id"), "text"),
         "turn_id", "text")
-    registry["gate_findings"] = on_files(gate.text_findings)
-    registry["gate_verdicts"] = on_files(gate.text_verdicts)
     registry.update(review_queries.build())
     registry.update(service_queries.build())
     registry.update(score_queries.build())
+    registry.update(span_queries.build())
+    registry.update(file_queries.build())
     return registry
 
 

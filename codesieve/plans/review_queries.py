@@ -12,24 +12,15 @@ from codesieve.sources.diffs import added_lines, file_diffs
 from codesieve.sources.rendered import code_files, diff_texts
 
 EXCLUDE = ("src/core/*",)
-INLINE_BUDGET = 5
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.reviewable(diff_texts(spark, sf_dir), EXCLUDE)
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.review_findings(_files(spark, sf_dir), "warn")
-
-
-def _totals(spark: SparkSession, sf_dir: str, mode: str = "warn") -> DataFrame:
-    return review.review_totals(_verdicts(spark, sf_dir, mode))
-
-
-def _verdicts(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    return review.file_verdicts(files, review.review_findings(files, mode))
+def _rows(spark: SparkSession, sf_dir: str, mode: str = "warn") -> DataFrame:
+    """Reviews with the new versions that are at hand; every third change has none and falls back to its hunks."""
+    return review.reviewed(_files(spark, sf_dir), new_versions(spark, sf_dir).where("diff_id % 3 <> 2"), mode)
 
 
 def new_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +41,16 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "diff_files": lambda s, d: file_diffs(diff_texts(s, d)).select(
             "diff_id", "file_no", "path", "old_path", "status", "is_binary", F.size("added").alias("n_added")),
         "skip_reason": lambda s, d: _files(s, d).select("diff_id", "path", "language", "skip"),
-        "map_fragment_lines": lambda s, d: review.hunk_findings(_files(s, d)).select(*short),
+        "map_fragment_lines": lambda s, d: review.review_findings(review.reviewed(_files(s, d), None, "off")).select(*short),
         "coverage_policy": lambda s, d: review.policy_findings(_files(s, d)).select(*short),
-        "file_verdicts": lambda s, d: _verdicts(s, d, "fail"),
-        "review_totals": _totals,
+        "file_verdicts": lambda s, d: review.file_verdicts(_rows(s, d, "fail")),
+        "engines_used": lambda s, d: review.engines_used(_rows(s, d)),
+        "review_totals": lambda s, d: review.review_totals(_rows(s, d)),
         "attribute_findings": lambda s, d: review.attribution(_files(s, d), new_versions(s, d)),
-        "report_annotations": lambda s, d: review.annotations(_findings(s, d), _totals(s, d)),
-        "sarif_results": lambda s, d: review.sarif_results(_findings(s, d)).drop("result"),
-        "sarif_rules": lambda s, d: review.sarif_rules(_findings(s, d)),
-        "review_payload": lambda s, d: review.payload(_findings(s, d), _totals(s, d), INLINE_BUDGET),
-        "report_text": lambda s, d: review.text_report(_findings(s, d), _verdicts(s, d, "warn"), _totals(s, d)),
+        "report_annotations": lambda s, d: review.annotations(_rows(s, d)),
+        "sarif_results": lambda s, d: review.sarif_results(review.review_findings(_rows(s, d))),
+        "sarif_rules": lambda s, d: review.sarif_rules(review.review_findings(_rows(s, d))),
+        "sarif_document": lambda s, d: review.sarif_documents(_rows(s, d)),
+        "review_payload": lambda s, d: review.payload(_rows(s, d)),
+        "report_text": lambda s, d: review.text_report(_rows(s, d)),
     }

@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codesieve.operators import antipatterns, gate, scoring, security, stubs
+from codesieve.operators import antipatterns, detectors, gate, reports, scoring, security, stubs
 from codesieve.sources.rendered import code_files
 
 #: Detectors whose scores the registered scan combines: all phases.
@@ -21,7 +21,7 @@ def _scores(files: DataFrame) -> DataFrame:
 
 
 def _summary(files: DataFrame) -> DataFrame:
-    return scoring.scan_summary(_scores(files), security.findings(files), THRESHOLD)
+    return scoring.scan_summary(_scores(files), THRESHOLD)
 
 
 def _bins(files: DataFrame) -> DataFrame:
@@ -33,9 +33,8 @@ def _bins(files: DataFrame) -> DataFrame:
 
 
 def _report_scores(files: DataFrame) -> DataFrame:
-    rows = scoring.phase_scores(files, REPORTED)
-    return rows.groupBy("analyzer").agg(F.round(F.avg("score"), 9).alias("average"), F.round(F.min("score"), 9).alias("low"),
-                                        F.round(F.max("score"), 9).alias("high"))
+    rows = reports.analyzer_scores(scoring.phase_scores(files, REPORTED))
+    return rows.select("analyzer", *[F.round(c, 9).alias(c) for c in ("average", "low", "high")], "weight")
 
 
 def _explain(files: DataFrame) -> DataFrame:
@@ -64,6 +63,14 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "confidence_bins": on(_bins), "report_scores": on(_report_scores),
         "overall_confidence": on(lambda f: _scores(f).select("path", F.round("confidence", 6).alias("confidence"), "level")),
         "threshold_filter": on(lambda f: _scores(f).where(F.col("confidence") >= THRESHOLD).select("path", "level")),
+        "quick_scan": on(lambda f: detectors.Detectors().overall(f, detectors.QUICK).select("path", F.round("confidence", 6).alias("confidence"), "level")),
+        "top_types": on(lambda f: reports.top_types(reports.issues(f))),
+        "critical_issues": on(lambda f: reports.worst_first(reports.issues(f), "CRITICAL").unionByName(reports.worst_first(reports.issues(f), "HIGH"))),
+        "detailed_issues": on(reports.detailed_issues),
+        "severity_totals": on(lambda f: reports.severity_totals(reports.issues(f))),
+        "batch_report": on(reports.batch_report),
+        "file_reports": on(lambda f: reports.file_reports(f).withColumn("confidence", F.round("confidence", 6))),
+        "executive_summary": on(lambda f: reports.executive_summary(_scores(f), THRESHOLD)),
         "scan_summary": on(_summary),
         "quality_gates": on(lambda f: scoring.quality_gates(_summary(f))),
         "remediation": on(lambda f: scoring.remediation(_scores(f))),
