@@ -2,7 +2,7 @@
 
 A line's key is the line without blanks at its ends and with A-Z lowered; keys under MIN_CHARS code points are never
 dropped. The state holds three tables: `postings` (key, doc_id), `refs` (key, number of documents, largest doc_id) and
-`filters` (one row per shard of keys: chained cuckoo tables of 16-bit fingerprints, one fingerprint per key in refs).
+`filters` (one row per shard of keys: a cuckoo table of 32-bit fingerprints, one fingerprint per key in refs).
 
 Inserting asks the shard's filter about each key of the batch, counted beforehand, so that a line of very many documents
 is one row. A key that the filter doesn't know is new for certain and is appended without a look at refs; the others are
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from codesieve.llm.common import settle, ship
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, MIN_SHARDS = 20, 3, 400_000, 8
-SLOTS, KICKS, FIRST_BUCKETS = 4, 200, 1 << 12
+SLOTS, KICKS, FIRST_BUCKETS, MOST_BUCKETS = 4, 200, 1 << 12, 1 << 20
 BLANKS = " \t\n\x0b\x0c\r"
 KEY = ["k1", "k2"]
 MASK = (1 << 64) - 1
@@ -43,69 +43,67 @@ def line_key(line: str) -> bytes | None:
 
 
 class CuckooFilter:
-    """A chain of cuckoo tables; a full table is followed by one of twice its size."""
+    """One cuckoo table of 32-bit values, made anew at twice the size when it is full.
+
+    A value tells both of its buckets in a table of any size, so growing moves every value with it, and removing takes out
+    a value that was put in for this key or for one that no table can tell from it. So a key that was added and not removed
+    is always found.
+    """
 
     def __init__(self, data: bytes | None = None):
-        self.tables: list[array] = []
-        at = 0
-        while data and at < len(data):
-            size = int.from_bytes(data[at:at + 8], "little")
-            self.tables.append(array("H", data[at + 8:at + 8 + size]))
-            at += 8 + size
+        self.table = array("I", data or bytes(4 * SLOTS * FIRST_BUCKETS))
 
     def to_bytes(self) -> bytes:
-        return b"".join(len(t.tobytes()).to_bytes(8, "little") + t.tobytes() for t in self.tables)
+        return self.table.tobytes()
+
+    @staticmethod
+    def _value(key: tuple[int, int]) -> int:
+        return key[1] & 0xFFFFFFFF or 1
 
     @staticmethod
-    def _place(k1: int, k2: int, table: array) -> tuple[int, int, int]:
-        mark, mask = (k2 & 0xFFFF) or 1, len(table) // SLOTS - 1
-        first = (k2 >> 16) & mask
-        return mark, first, first ^ (mark * 0x5BD1E995 & mask)
+    def _buckets(value: int, mask: int) -> tuple[int, int]:
+        first = (value >> 12) & mask
+        return first, first ^ ((value * 0x9E3779B1 >> 7 & mask) | 1) & mask
+
+    def _spots(self, value: int) -> list[int]:
+        return [b * SLOTS + i for b in self._buckets(value, len(self.table) // SLOTS - 1) for i in range(SLOTS)]
 
     def __contains__(self, key: tuple[int, int]) -> bool:
-        for table in self.tables:
-            mark, a, b = self._place(*key, table)
-            if mark in table[a * SLOTS:a * SLOTS + SLOTS] or mark in table[b * SLOTS:b * SLOTS + SLOTS]:
-                return True
-        return False
+        value, table = self._value(key), self.table
+        a, b = self._buckets(value, len(table) // SLOTS - 1)
+        return value in table[a * SLOTS:a * SLOTS + SLOTS] or value in table[b * SLOTS:b * SLOTS + SLOTS]
 
     def add(self, key: tuple[int, int]) -> None:
-        if not self.tables:
-            self.tables.append(array("H", bytes(2 * SLOTS * FIRST_BUCKETS)))
-        table = self.tables[-1]
-        mark, a, b = self._place(*key, table)
-        if self._put(table, a, mark) or self._put(table, b, mark):
-            return
-        moves, mask = [], len(table) // SLOTS - 1
-        for n in range(KICKS):
-            spot = b * SLOTS + (mark + n) % SLOTS
-            moves.append((spot, table[spot]))
-            mark, table[spot] = table[spot], mark
-            b ^= mark * 0x5BD1E995 & mask
-            if self._put(table, b, mark):
-                return
-        for spot, old in reversed(moves):
-            table[spot] = old
-        self.tables.append(array("H", bytes(4 * len(table))))
-        self.add(key)
+        self._put(self._value(key))
 
-    @staticmethod
-    def _put(table: array, bucket: int, mark: int) -> bool:
-        for spot in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
-            if not table[spot]:
-                table[spot] = mark
-                return True
-        return False
+    def _put(self, value: int) -> None:
+        moved, table = value, self.table
+        mask = len(table) // SLOTS - 1
+        for n in range(KICKS):
+            for spot in self._spots(moved):
+                if not table[spot]:
+                    table[spot] = moved
+                    return
+            bucket = self._buckets(moved, mask)[n & 1]
+            spot = bucket * SLOTS + (moved + n) % SLOTS
+            moved, table[spot] = table[spot], moved
+        self._grow(moved)
+
+    def _grow(self, homeless: int) -> None:
+        if len(self.table) // SLOTS >= MOST_BUCKETS:
+            raise ValueError("a shard's filter can't grow further; use more shards")
+        values = [v for v in self.table if v]
+        self.table = array("I", bytes(8 * len(self.table)))
+        for value in [*values, homeless]:
+            self._put(value)
 
     def remove(self, key: tuple[int, int]) -> bool:
-        """Take out one fingerprint of a key that was added."""
-        for table in self.tables:
-            mark, a, b = self._place(*key, table)
-            for bucket in (a, b):
-                for spot in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
-                    if table[spot] == mark:
-                        table[spot] = 0
-                        return True
+        """Take out one value of a key that was added."""
+        value = self._value(key)
+        for spot in self._spots(value):
+            if self.table[spot] == value:
+                self.table[spot] = 0
+                return True
         return False
 
 
@@ -157,7 +155,7 @@ def _sharded(keys: DataFrame, filters: DataFrame, shards: int, step) -> DataFram
 
 
 def _ask_and_add(cuckoo: CuckooFilter, keys: list[tuple[int, int]]) -> list[bool]:
-    known = [k in cuckoo for k in keys] if cuckoo.tables else [False] * len(keys)
+    known = [k in cuckoo for k in keys]
     for key, met in zip(keys, known):
         if not met:
             cuckoo.add(key)
@@ -251,9 +249,14 @@ def clean(state: LineState, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFr
         run, "doc_id long, n_lines long, n_dropped long, cleaned string")
 
 
-def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256: all rows inserted at once, then cleaned."""
-    state = insert(empty(docs.sparkSession), docs)
+def decisions(docs: DataFrame, batches: int = 2) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256: the rows inserted in batches, dealt by their doc_id, then cleaned.
+
+    From the second batch on the filters say which keys are new; the others are added up with the exact counts.
+    """
+    state = empty(docs.sparkSession)
+    for k in range(batches):
+        state = insert(state, docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
     return clean(state, docs).select("doc_id", "n_lines", "n_dropped", F.sha2("cleaned", 256).alias("kept_sha256"))
 
 

@@ -162,7 +162,7 @@ def test_shards_grow_with_the_keys(spark, monkeypatch):
     for r in state.refs.collect():
         assert r["refs"] == 2 and (r["k1"] % (1 << 64), r["k2"] % (1 << 64)) in filters[r["k1"] % state.shards]
     left = line_dedup.delete(state, docs.select("doc_id"))
-    assert left.refs.count() == 0 and not any(any(t) for r in left.filters.collect() for t in line_dedup.CuckooFilter(r["data"]).tables)
+    assert left.refs.count() == 0 and not any(any(line_dedup.CuckooFilter(r["data"]).table) for r in left.filters.collect())
 
 
 def test_cuckoo_filter_grows_and_forgets():
@@ -173,7 +173,32 @@ def test_cuckoo_filter_grows_and_forgets():
         cuckoo.add(k)
     cuckoo = line_dedup.CuckooFilter(cuckoo.to_bytes())
     assert all(k in cuckoo for k in keys)
-    assert all(cuckoo.remove(k) for k in keys) and not any(any(t) for t in cuckoo.tables)
+    assert all(cuckoo.remove(k) for k in keys) and not any(cuckoo.table)
+
+
+def test_cuckoo_filter_keeps_what_was_not_removed():
+    rng = random.Random(6)
+    keys = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(300_000)]
+    cuckoo = line_dedup.CuckooFilter()
+    for k in keys:
+        cuckoo.add(k)
+    assert all(cuckoo.remove(k) for k in keys[::2])
+    assert all(k in cuckoo for k in keys[1::2])
+    assert sum(k in cuckoo for k in keys[::2]) < 20 and sum(map(bool, cuckoo.table)) == 150_000
+
+
+def test_recent_table_keeps_what_is_asked_for():
+    table, made = bpe.Recent(size=20), []
+
+    def make(keys):
+        made.extend(keys)
+        return {k: k.upper() for k in keys}
+    for n in range(200):
+        keys = ["common", f"rare {n}", "common", "rare 0"] if n % 50 else [f"many {k}" for k in range(15)]
+        found = table.filled(keys, make)
+        assert all(found[k] == k.upper() for k in keys)
+        assert len(table.young) <= 10 and len(table.old) <= 10
+    assert made.count("common") <= 4 and made.count("rare 7") == 1 and "rare 1" not in table.young and "rare 1" not in table.old
 
 
 def test_language_id_on_held_out_rows(spark):
