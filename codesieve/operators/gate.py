@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.frames import settled
+from codesieve.functions.literals import required
 from codesieve.functions.text import MARK, escaped, folded, found, matches, replaced, rx
 from codesieve.operators import spans, stubs
 from codesieve.operators.detect import TextRule, marked_lines, run_text_rules
@@ -133,18 +134,16 @@ ENGINE_OF = {"prose": "prose", "marker": "prose", "structure": "structure", "typ
 
 
 class GateRule(NamedTuple):
-    """A pattern with the finding it stands for; ``kind`` tells how its matches may be suppressed."""
+    """A pattern with the finding it stands for, in the order of FACTS; ``kind`` tells how its matches may be suppressed."""
 
     pattern: str
     flags: str
     kind: str
-    facts: Column
+    facts: tuple
 
 
-def _gate_facts(failure_class: Column, finding: str, severity: Column, source: str, confidence, suggestion, cwe: Column, engine: str) -> Column:
-    return F.struct(failure_class.alias("class"), F.lit(finding).alias("finding"), (severity != "violation").alias("soft"), F.lit(source).alias("source"),
-                    severity.alias("severity"), F.lit(confidence).cast("double").alias("confidence"), F.lit(suggestion).cast("string").alias("suggestion"),
-                    cwe.cast("string").alias("cwe"), F.lit(ENGINES.index(engine)).alias("engine"))
+def _by_prefix(kind: str, table, default=None):
+    return next((value for prefix, value in table if kind.lower().startswith(prefix)), default)
 
 
 def gate_rules(python_spans: bool = True) -> list[GateRule]:
@@ -153,35 +152,73 @@ def gate_rules(python_spans: bool = True) -> list[GateRule]:
     for fam in stubs.S.FAMILIES:
         for rule in fam:
             kind = stubs.pattern_type(fam, rule)
-            rules.append(GateRule(rule.pattern, fam.flags, kind, _gate_facts(
-                class_of(F.lit(kind)), stubs.description(fam, rule), gate_severity(F.lit(rule.severity), F.lit(rule.confidence)),
-                G.SOURCE_STUBS, round(rule.confidence, 2), fam.facts["suggestion"], cwe_of(F.lit(kind)), "stubs")))
+            strict = rule.severity in ("CRITICAL", "HIGH") or (rule.severity == "MEDIUM" and rule.confidence >= 0.85)
+            rules.append(GateRule(rule.pattern, fam.flags, kind, (
+                G.CLASSES[_by_prefix(kind, G.CLASS_BY_PREFIX, G.DEFAULT_CLASS)], stubs.description(fam, rule), not strict, G.SOURCE_STUBS,
+                "violation" if strict else "warning", round(rule.confidence, 2), fam.facts["suggestion"], _by_prefix(kind, G.CWE_BY_PREFIX), ENGINES.index("stubs"))))
     more = (G.TYPED_EXCEPT,) if python_spans else ()
     for kind, flags, severity, cwe, number, message, pattern in (*G.PROSE_RULES, *G.STRUCTURAL_RULES, *more):
-        rules.append(GateRule(pattern, flags, kind, _gate_facts(
-            F.lit(G.CLASSES[number]), message, F.lit(severity), G.SOURCE_PROSE, None, None, F.lit(cwe), ENGINE_OF[kind])))
+        rules.append(GateRule(pattern, flags, kind, (G.CLASSES[number], message, severity != "violation", G.SOURCE_PROSE, severity, None, None, cwe,
+                                                     ENGINES.index(ENGINE_OF[kind]))))
     return rules
 
 
-def _without_data(marked: Column, kinds: Column) -> Column:
-    """Marks inside Python strings dropped; those in docstrings and comments stay."""
-    return spans.retold(marked, kinds, lambda t, kind: F.when(kind == spans.STRING, F.translate(t, MARK, "")).otherwise(t))
-
-
-def _in_trigger_docstrings(marked: Column, kinds: Column) -> Column:
-    """Lines of real docstrings that hold a trigger word get a tag; what has no tag on its line is no docstring."""
-    def tagged(token: Column, kind: Column) -> Column:
-        real = (kind == spans.DOCSTRING) & found(token, G.DOCSTRING_TRIGGER, "i")
-        return F.when(real, F.concat(F.lit(TAG), F.replace(token, F.lit("\n"), F.lit("\n" + TAG)))).otherwise(token)
-    return spans.retold(marked, kinds, tagged)
-
-
-def _unexplained(marked: Column) -> Column:
-    """Marked lines without a comment on them or on the next line."""
-    rows = F.split(marked, "\n", -1)
-    said = lambda line: F.coalesce(found(line, r"#\s*\S"), F.lit(False))
-    numbered = F.transform(rows, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("marked_line"), F.get(rows, i + 1).alias("next")))
-    return F.filter(numbered, lambda s: F.contains(s["marked_line"], F.lit(MARK)) & ~said(s["marked_line"]) & ~said(s["next"]))
+FACT_TYPES = ("string", "string", "boolean", "string", "string", "double", "string", "string", "int")
+
+
+def _text(value: str) -> str:
+    """A SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _facts_table(rules: list[GateRule]) -> Column:
+    """All rules' facts as one constant array of structs."""
+    def sql(value, kind: str) -> str:
+        plain = "null" if value is None else _text(value) if kind == "string" else str(value).lower()
+        return f"cast({plain} as {kind})"
+    structs = [", ".join(f"'{name}', {sql(value, kind)}" for name, value, kind in zip(FACTS, rule.facts, FACT_TYPES)) for rule in rules]
+    return F.expr("array(" + ", ".join(f"named_struct({x})" for x in structs) + ")")
+
+
+# The rules' expressions are written as SQL: one text is parsed once, where columns would take a call for every node.
+_LINES = f"filter(transform(split({{0}}, '\\n', -1), (l, i) -> named_struct('line_no', i + 1, 'line', l)), s -> contains(s.line, {_text(MARK)}){{1}})"
+_COMMENT = "coalesce(regexp_like({0}, " + _text(rx(r"#\s*\S")) + "), false)"
+#: Marked lines without a comment on them or on the next one.
+_UNEXPLAINED = ("transform(array(split({0}, '\\n', -1)), r -> filter(transform(r, (l, i) -> named_struct('line_no', i + 1, 'line', l, 'next', get(r, i + 1))), "
+                f"s -> contains(s.line, {_text(MARK)}) and not {_COMMENT.format('s.line')} and not {_COMMENT.format('s.next')}))[0]")
+#: Marks inside quoted literals dropped.
+_QUOTED = (f"array_join(zip_with(concat(array(''), regexp_extract_all({{0}}, {_text(rx(DATA_STRING))}, 0)), split({{0}}, {_text(rx(DATA_STRING))}, -1), "
+           f"(q, o) -> concat(translate(q, {_text(MARK)}, ''), o)), '')")
+#: The text with another form of each Python token t of kind k.
+_RETOLD = ("array_join(zip_with(split({0}, {token}, -1), zip_with(regexp_extract_all({0}, {token}, 0), _kinds, (t, k) -> {1}), "
+           "(o, t) -> concat(coalesce(o, ''), coalesce(t, ''))), '')")
+_TOKEN = _text(rx(spans.TOKEN))
+_DATA_DROPPED = f"case when k = {_text(spans.STRING)} then translate(t, {_text(MARK)}, '') else t end"
+_TAGGED = (f"case when k = {_text(spans.DOCSTRING)} and regexp_like(t, {_text(rx(G.DOCSTRING_TRIGGER, 'i'))}) "
+           f"then concat({_text(TAG)}, replace(t, '\\n', {_text(chr(10) + TAG)})) else t end")
+
+
+def _hits(number: int, rule: GateRule, python_spans: bool) -> str:
+    """SQL: the lines on which a rule's matches begin, with the rule's number; null when there are none."""
+    pattern = _text(rx(rule.pattern, rule.flags))
+    fold, needed = required(rule.pattern, rule.flags)
+    tests = [f"contains({'_low' if fold else 'content'}, {_text(n)})" for n in needed] + [f"regexp_like(content, {pattern})"]
+    lines_of = lambda text, more="": _LINES.replace("{0}", text).replace("{1}", more)
+    retold = lambda change: _RETOLD.replace("{0}", "m").replace("{token}", _TOKEN).replace("{1}", change)
+    lines = lines_of("m")
+    if rule.kind in G.SUPPRESSIBLE:
+        lines = lines_of(_QUOTED.replace("{0}", "m"))
+        if python_spans:
+            lines = f"case when _python then {lines_of(retold(_DATA_DROPPED))} else {lines} end"
+    elif rule.kind == G.DOCSTRING_RULE and python_spans:
+        lines = f"case when _python then {lines_of(retold(_TAGGED), f' and contains(s.line, {_text(TAG)})')} else {lines} end"
+    elif rule.kind == G.TYPED_EXCEPT[0]:
+        lines, tests = _UNEXPLAINED.replace("{0}", "m"), ["_python", *tests]
+    if rule.kind == stubs.S.MOCK_NAME.rules[0].name:
+        tests.append("not _test")
+    marked = f"regexp_replace(content, {pattern}, {_text(MARK + '$0')})"
+    # The lambda computes the marked text once.
+    return f"case when {' and '.join(tests)} then transform(array({marked}), m -> transform({lines}, x -> named_struct('line_no', x.line_no, 'rule', {number})))[0] end"
 
 
 def collected(files: DataFrame, *keep: str, rules: list[GateRule] | None = None, python_spans: bool = True) -> DataFrame:
@@ -194,31 +231,18 @@ def collected(files: DataFrame, *keep: str, rules: list[GateRule] | None = None,
     by quotes for every language. Null or empty content has no findings; a repeated row is judged again. ``used``, ``fires``
     and ``fails`` are bit masks of ENGINES: those that look at the file, that find something, that find a violation.
     """
-    content, low, python, kinds = F.col("content"), F.col("_low"), F.col("_python"), F.col("_kinds")
+    content, python = F.col("content"), F.col("_python")
     rows = settled(files.select("path", "language", *keep, escaped(F.coalesce("content", F.lit(""))).alias("content")))
     python_text = F.coalesce(spans.is_python(F.col("language"), content), F.lit(False)) if python_spans else F.lit(False)
     rows = settled(rows.withColumns({"_low": folded(content), "_python": python_text, "_test": stubs.reads_like_a_test(content)}))
     if python_spans:
         rows = settled(rows.withColumn("_kinds", F.when(python, spans.token_kinds(content))))
 
-    def hits(rule: GateRule) -> Column:
-        marked = replaced(content, rule.pattern, MARK + "$0", rule.flags)
-        test = found(content, rule.pattern, rule.flags, low)
-        if rule.kind in G.SUPPRESSIBLE:
-            quoted = _unmark_strings(marked)
-            at = marked_lines(F.when(python, _without_data(marked, kinds)).otherwise(quoted) if python_spans else quoted)
-        elif rule.kind == G.DOCSTRING_RULE and python_spans:
-            real = F.filter(marked_lines(_in_trigger_docstrings(marked, kinds)), lambda s: F.contains(s["marked_line"], F.lit(TAG)))
-            at = F.when(python, real).otherwise(marked_lines(marked))
-        elif rule.kind == G.TYPED_EXCEPT[0]:
-            at, test = _unexplained(marked), test & python
-        else:
-            at = marked_lines(marked)
-        if rule.kind == stubs.S.MOCK_NAME.rules[0].name:
-            test = test & ~F.col("_test")
-        return F.when(test, F.transform(at, lambda s: F.struct(s["line_no"].alias("line_no"), *[rule.facts[f].alias(f) for f in FACTS])))
-
-    every = F.flatten(F.array_compact(F.array(*[hits(rule) for rule in rules or gate_rules(python_spans)])))
+    rules = gate_rules(python_spans) if rules is None else rules
+
+    every = F.expr("flatten(array_compact(array(" + ", ".join(_hits(n, rule, python_spans) for n, rule in enumerate(rules)) + ")))")
+    table = _facts_table(rules)
+    every = F.transform(every, lambda h: F.get(F.transform(F.array(F.get(table, h["rule"])), lambda t: F.struct(h["line_no"].alias("line_no"), *[t[f].alias(f) for f in FACTS])), 0))
     used = F.lit(2 ** (len(ENGINES) - 1) - 1) + F.when(python, F.lit(2 ** (len(ENGINES) - 1))).otherwise(F.lit(0))
     rows = settled(rows.select("path", "language", *keep, used.alias("used"), F.array_sort(every).alias("_every")))
     same = lambda a, b: (a["line_no"] == b["line_no"]) & (a["class"] == b["class"]) & (a["finding"] == b["finding"])

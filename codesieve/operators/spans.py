@@ -8,8 +8,6 @@ three ends with the text); the letters before a quote (``rb``, ``f``) are code.
 
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +35,6 @@ def token_kinds(text: Column) -> Column:
     return F.split(F.regexp_replace(told, "[^\\x02-\\x04]+", ""), "")
 
 
-def retold(text: Column, kinds: Column, change: Callable[[Column, Column], Column]) -> Column:
-    """The text with ``change(token, kind)`` in place of each token; marks in the text don't move its tokens."""
-    outside, tokens = F.split(text, rx(TOKEN), -1), matches(text, TOKEN)
-    changed = F.transform(tokens, lambda t, i: change(t, F.get(kinds, i)))
-    return F.array_join(F.zip_with(outside, changed, lambda o, t: F.concat(o, F.coalesce(t, F.lit("")))), "")
-
-
 def tokens(files: DataFrame, *keep: str) -> DataFrame:
     """``(path, start, stop, first_line, last_line, kind)`` of every string, docstring and comment, offsets from 0.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from codesieve.functions.text import any_glob
 from codesieve.operators import corpus, requests
 from codesieve.plans.oracle import rules as R
+from codesieve.plans.oracle import spans as OS
 from codesieve.plans.oracle.naming import names_in
 from codesieve.plans.oracle.review import DIFF_CTE, _chain
 from codesieve.plans.oracle.sources import FRAMES_CTE, POLICIES_CTE, arr, lstrip, q, strip, with_files, with_lines
@@ -14,9 +15,22 @@ PY = q(P.PY_IMPORT_LINE)
 py_name = lambda line: f"split_part(coalesce(nullif(regexp_extract({line}, {PY}, 1), ''), regexp_extract({line}, {PY}, 2)), '.', 1)"
 js_specs = lambda line: "list_concat(" + ", ".join(f"regexp_extract_all({line}, {q(f)}, 1)" for f in P.JS_IMPORT_FORMS) + ")"
 JS_NAME = """CASE WHEN spec[1] IN ('.', '/', '#') THEN NULL WHEN starts_with(spec, 'node:') THEN spec WHEN starts_with(spec, '@') THEN CASE WHEN contains(spec, '/') THEN split_part(spec, '/', 1) || '/' || split_part(spec, '/', 2) END ELSE split_part(spec, '/', 1) END"""
-PY_ROWS = f"SELECT path, line_no, {py_name('line')} AS name FROM lines WHERE language = 'python' AND regexp_matches(line, {PY})"
+# Logical lines of Python files: comments and strings gone, lines joined at backslashes and inside strings.
+_gap = "[\\s\\x02]"
+DYNAMIC = f"(?:\\bimportlib\\.import_module|\\b__import__){_gap}*\\({_gap}*"
+LOGICAL_CTES = [*OS.SPAN_CTES[:3], f"""cleaned AS (SELECT t.path, replace(string_agg(CASE WHEN ord = 1 THEN piece WHEN starts_with(tok, '#') THEN substr(piece, len(tok) + 1)
+ WHEN regexp_matches(before, {q(DYNAMIC + '$')}) THEN piece ELSE '""' || repeat(chr(2), (len(tok) - len(replace(tok, chr(10), '')))::INTEGER) || substr(piece, len(tok) + 1) END, '' ORDER BY ord), chr(92) || chr(10), ' ' || chr(2)) AS body
+ FROM (SELECT *, lag(substr(piece, len(tok) + 1)) OVER (PARTITION BY path ORDER BY ord) AS before FROM toks) t JOIN pyf ON pyf.path = t.path AND py GROUP BY t.path)""",
+    """logical AS (SELECT path, line, (1 + coalesce(sum(1 + len(line) - len(replace(line, chr(2), ''))) OVER (PARTITION BY path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS line_no FROM (
+ SELECT path, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS ord FROM cleaned))""",
+    f"""py_names AS MATERIALIZED (SELECT path, line_no, split_part(name, '.', 1) AS name FROM (SELECT path, line_no, unnest(list_concat(
+  flatten(list_transform(regexp_extract_all(line, {q(f"(?:^|[;:]){_gap}*import{_gap}+([0-9A-Za-z_.]+(?:{_gap}+as{_gap}+[0-9A-Za-z_]+)?(?:{_gap}*,{_gap}*[0-9A-Za-z_.]+(?:{_gap}+as{_gap}+[0-9A-Za-z_]+)?)*)")}, 1),
+   lambda x: list_transform(string_split(x, ','), lambda y: regexp_extract(y, '[0-9A-Za-z_.]+')))),
+  regexp_extract_all(line, {q(f"(?:^|[;:]){_gap}*from{_gap}+([0-9A-Za-z_][0-9A-Za-z_.]*){_gap}+import")}, 1),
+  regexp_extract_all(line, {q(DYNAMIC + "[" + chr(34) + chr(39) + "]+([0-9A-Za-z_][0-9A-Za-z_.]*)")}, 1))) AS name FROM logical WHERE contains(line, 'import')) WHERE name <> '')"""]
+PY_ROWS = "SELECT path, line_no, name FROM py_names"
 JS_ROWS = f"SELECT path, line_no, name FROM (SELECT path, line_no, {JS_NAME} AS name FROM (SELECT path, line_no, unnest({js_specs('line')}) AS spec FROM lines WHERE language IN ('javascript', 'typescript'))) WHERE name IS NOT NULL"
-FIRST_CTE = f"first_rows AS MATERIALIZED (SELECT path, ecosystem, name, min(line_no)::INTEGER AS line_no FROM (SELECT *, 'python' AS ecosystem FROM ({PY_ROWS}) UNION ALL SELECT *, 'npm' FROM ({JS_ROWS})) GROUP BY 1, 2, 3)"
+FIRST_CTE = ",\n".join(LOGICAL_CTES) + f",\nfirst_rows AS MATERIALIZED (SELECT path, ecosystem, name, min(line_no)::INTEGER AS line_no FROM (SELECT *, 'python' AS ecosystem FROM ({PY_ROWS}) UNION ALL SELECT *, 'npm' FROM ({JS_ROWS})) GROUP BY 1, 2, 3)"
 REGISTRY = [("python", "requests", "exists"), ("python", "numpy", "exists"), ("python", "pyyaml", "exists"), ("python", "mysqlclient", "exists"),
             ("python", "django", "unavailable"), ("npm", "react", "exists"), ("npm", "@scope/pkg", "exists")]
 EXCLUDE = ("totally_made_up_1*",)
@@ -55,6 +69,15 @@ def sections_cte(name: str, level: int) -> str:
 {name} AS MATERIALIZED (SELECT path, sec - 1 AS ord, {strip(f"substr(min(line) FILTER (is_head), {len(prefix) + 1})")} AS heading, coalesce({strip("string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT is_head)")}, '') AS body FROM {name}_h WHERE sec > 0 GROUP BY path, sec)"""
 
 
+SECTION_QUERIES = ["preamble", "hive-mind", "power-of-10", "toc", "full", "nothing", "identity"]
+_first = lambda prefix: f"(SELECT arg_min(heading, ord) FROM s2 WHERE s2.path = a.path AND starts_with(upper(heading), upper({prefix})))"
+_shown = lambda prefix: f"(SELECT '## ' || arg_min(heading, ord) || chr(10) || chr(10) || arg_min(body, ord) FROM s2 WHERE s2.path = a.path AND starts_with(upper(heading), upper({prefix})))"
+_toc = " || chr(10) || ".join(f"'- {k}: ' || coalesce({_first(q(p))}, {q(p)})" for k, p in corpus.SECTIONS.items())
+SECTION_LOOKUP = f"""SELECT path, section, CASE WHEN content IS NULL THEN 'no-document' WHEN section IN ('full', 'toc') THEN 'found' WHEN prefix IS NULL THEN 'unknown' WHEN shown IS NULL THEN 'missing' ELSE 'found' END AS status,
+ CASE WHEN content IS NULL THEN NULL WHEN section = 'full' THEN content WHEN section = 'toc' THEN {_toc} || chr(10) || '- full: the whole document' || coalesce(chr(10) || chr(10) || {_shown("'PREAMBLE'")}, '') ELSE shown END AS text FROM (
+ SELECT a.*, {_shown('prefix')} AS shown FROM (SELECT b.*, f.content, {R.mapped(R.mapped('b.section', {**{k: k for k in corpus.SECTIONS}, **corpus.FORMER}), corpus.SECTIONS)} AS prefix FROM (
+  SELECT path, unnest([{', '.join(f"{arr(SECTION_QUERIES)}[(doc_id // 10 + {k}) % {len(SECTION_QUERIES)} + 1]" for k in (0, 1, 3))}]) AS section FROM files WHERE language = 'markdown'
+  UNION ALL SELECT path || 'x', 'toc' FROM files WHERE language = 'markdown' AND doc_id % 3 = 0) b LEFT JOIN files f ON f.path = b.path AND f.language = 'markdown') a) a"""
 AREA_QUERIES = ["7", "quality", "KA-12", "engineering", "security", "nothing"]
 NUMBERED = f"list_transform({arr(corpus.AREAS)}, lambda a, i: {{'a': lower(a), 'n': i}})"
 AREA = f"""SELECT path, query, number::INTEGER AS number, ambiguous, heading FROM (
@@ -87,7 +110,8 @@ def sql() -> dict[str, str]:
     diff_classified = classified(DIFF_IMPORTS, "diff_id", own)
     chain = _chain(AL_CTE, OWN_CTE, REG_CTE)
     return {
-        "imports_py": with_lines(f"SELECT path, line_no::INTEGER AS line_no, name FROM ({PY_ROWS})"),
+        "imports_py": with_lines(f"SELECT path, line_no::INTEGER AS line_no, name FROM ({PY_ROWS})", *LOGICAL_CTES),
+        "imports_logical": "WITH " + ",\n".join([OS.python_files_cte(), *LOGICAL_CTES]) + "\n" + PY_ROWS,
         "imports_js": with_lines(f"SELECT path, line_no::INTEGER AS line_no, name FROM ({JS_ROWS})"),
         "first_import": with_lines("SELECT * FROM first_rows", FIRST_CTE),
         "pep503": with_lines(f"SELECT path, name, {pep('name')} AS normal FROM first_rows", FIRST_CTE),
@@ -96,6 +120,7 @@ def sql() -> dict[str, str]:
         "diff_imports": chain + diff_classified,
         "dependency_verdict": chain + counts("diff_id", diff_classified),
         "split_headings": with_lines("SELECT path, 2 AS level, ord::INTEGER AS ord, heading, md5(body) AS body FROM s2 UNION ALL SELECT path, 3, ord::INTEGER, heading, md5(body) FROM s3", sections_cte("s2", 2), sections_cte("s3", 3)),
+        "section_lookup": with_lines(SECTION_LOOKUP, sections_cte("s2", 2)),
         "corpus_lookup": with_lines("SELECT path, '## ' || arg_min(heading, ord) || chr(10) || chr(10) || arg_min(body, ord) AS text FROM s2 WHERE starts_with(upper(heading), 'PREAMBLE') GROUP BY path", sections_cte("s2", 2)),
         "corpus_area": with_lines(AREA, sections_cte("s3", 3)),
         "rpc_dispatch": "WITH " + FRAMES_CTE + RPC,

@@ -13,6 +13,7 @@ from codesieve.operators.lines import lines
 from codesieve.operators.paths import js_package, pep503
 from codesieve.rulebook import dependencies as P
 from codesieve.sources.diffs import added_lines, file_diffs
+from codesieve.sources.python_texts import python_texts
 from codesieve.sources.rendered import code_files, diff_texts, policy_texts, rpc_frames
 
 #: A small registry snapshot (offline); a deployment reads its own table.
@@ -52,6 +53,17 @@ def _areas(files: DataFrame) -> DataFrame:
     return corpus.find_area(docs, asked)
 
 
+SECTION_QUERIES = ["preamble", "hive-mind", "power-of-10", "toc", "full", "nothing", "identity"]
+
+
+def _lookups(files: DataFrame) -> DataFrame:
+    """Three names asked of every markdown file, and one of a file that is no document."""
+    docs = files.where("language = 'markdown'")
+    picks = F.array(*[F.element_at(text_array(SECTION_QUERIES), ((F.floor(F.col("doc_id") / 10) + k) % len(SECTION_QUERIES) + 1).cast("int")) for k in (0, 1, 3)])
+    asked = docs.select("path", F.explode(picks).alias("section"))
+    return corpus.look_up(docs, asked.unionByName(docs.where("doc_id % 3 = 0").select(F.concat("path", F.lit("x")).alias("path"), F.lit("toc").alias("section"))))
+
+
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "imports_py": lambda s, d: imports.python_imports(code_files(s, d)),
@@ -63,6 +75,8 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "diff_imports": _diff_packages,
         "dependency_verdict": lambda s, d: imports.verdicts(_diff_packages(s, d), "diff_id"),
         "split_headings": lambda s, d: _headings(code_files(s, d)),
+        "imports_logical": lambda s, d: imports.python_imports(python_texts(s, d)),
+        "section_lookup": lambda s, d: _lookups(code_files(s, d)),
         "corpus_lookup": lambda s, d: corpus.find_section(code_files(s, d).where("language = 'markdown'"), "PREAMBLE"),
         "corpus_area": lambda s, d: _areas(code_files(s, d)),
         "rpc_dispatch": lambda s, d: requests.responses(rpc_frames(s, d)),

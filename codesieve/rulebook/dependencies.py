@@ -38,6 +38,11 @@ yaml PyYAML
 """.strip().splitlines())
 
 PY_IMPORT_LINE = r"^\s*(?:import\s+([\w.]+)|from\s+([\w.]+)\s+import\b)"
+# Forms on a logical line; \x02 is a joined line break.
+PY_IMPORT_LIST = (r"(?:^|[;:])[\s\x02]*import[\s\x02]+([\w.]+(?:[\s\x02]+as[\s\x02]+\w+)?(?:[\s\x02]*,[\s\x02]*[\w.]+(?:[\s\x02]+as[\s\x02]+\w+)?)*)")
+PY_FROM = r"(?:^|[;:])[\s\x02]*from[\s\x02]+(\w[\w.]*)[\s\x02]+import\b"
+PY_DYNAMIC_HEAD = r"(?:\bimportlib\.import_module|\b__import__)[\s\x02]*\([\s\x02]*$"
+PY_DYNAMIC = r"""(?:\bimportlib\.import_module|\b__import__)[\s\x02]*\([\s\x02]*["']+(\w[\w.]*)["']"""
 JS_IMPORT_FORMS = (
     r"""\bimport\s+(?:[\w{}\s,*$]+\s+from\s+)?["']([^"']+)["']""",
     r"""\bexport\s+[\w{}\s,*$]+\s+from\s+["']([^"']+)["']""",

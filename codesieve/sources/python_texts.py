@@ -75,6 +75,23 @@ right_{j} = 'in production, you would'
 def later_{j}(x): return x
 """your code here"""
 ====
+import alpha_{n}.sub as a, beta_{j}, \\
+    gamma_{n}
+====
+from delta_{j}.core import (  # several
+    one,
+    two,
+)
+====
+plugin_{j} = importlib.import_module("epsilon_{n}.tree"); import zeta_{j}
+====
+note_{j} = """
+import not_this_{n}
+"""; legacy_{j} = __import__('eta_{j}')
+====
+if x: import theta_{n}
+from .near import sibling
+====
 const a_{j} = `XXX {n}`; // XXX {j}'''.split("\n====\n")
 OPENING = '"""Module {n}.\n\nTODO: split it.\n"""\n'
 

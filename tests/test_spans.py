@@ -5,9 +5,7 @@ import io
 import random
 import tokenize
 
-import pytest
-
-from codesieve.operators import gate, spans
+from codesieve.operators import gate, imports, spans
 
 
 def plain_tokens(text):
@@ -49,35 +47,29 @@ def test_tokens_equal_those_of_the_standard_library(spark):
         assert sorted(got.get(i, [])) == plain_tokens(text), text
 
 
-def flagged(code, text, language="python"):
-    rows = gate.listed(gate.collected(code(("p", language, text)))).collect()
-    return {r.line_no for r in rows}
-
-
-def test_markers_in_strings_are_data_and_in_comments_findings(code):
-    assert flagged(code, 'message = "your code here"\n# TODO implement retry\nx = 1\n') == {2}
-    assert flagged(code, 'text = """\nleft as an exercise\n# add logic here\n"""\n# left as an exercise\n') == {5}
-    assert flagged(code, 'def f():\n    """Left as an exercise."""\n    return 1\n') == {2}
-    js = 'const a = "left as an exercise";\nconst b = \'left as an exercise\';\n// left as an exercise for the reader\n'
-    assert flagged(code, js, "javascript") == {3}
-    assert flagged(code, 'const s = "escaped \\" left as an exercise inside";\nlet x = 1;\n', "javascript") == set()
+TRIED = [
+    # (language, text, lines with findings): markers in strings are data, in comments and docstrings findings
+    ("python", 'message = "your code here"\n# TODO implement retry\nx = 1\n', {2}),
+    ("python", 'text = """\nleft as an exercise\n# add logic here\n"""\n# left as an exercise\n', {5}),
+    ("python", 'def f():\n    """Left as an exercise."""\n    return 1\n', {2}),
+    ("javascript", 'const a = "left as an exercise";\nconst b = \'left as an exercise\';\n// left as an exercise for the reader\n', {3}),
+    ("javascript", 'const s = "escaped \\" left as an exercise inside";\nlet x = 1;\n', set()),
+    # the docstring rule asks for a real docstring with a trigger
+    ("python", 'def f():\n    """TODO finish."""\n    return 1\n', {2}),
+    ("python", 'def f():\n    return """TODO not implemented"""\n', set()),
+    ("python", 'def f():\n    """Done."""\n    todo = 1\n    placeholderless = 1\n\n\ndef g():\n    """Done too."""\n', set()),
+    # a named exception passed over is reported unless a comment on its line or the next explains it
+    ("python", "try:\n    f()\nexcept ValueError:\n    pass\n", {3}), ("python", "try:\n    f()\nexcept ValueError:  # gone\n    pass\n", set()),
+    ("python", "try:\n    f()\nexcept (A, B) as e:\n    # later\n    pass\n", set()), ("python", "try:\n    f()\nexcept A: pass\n", {3}),
+    ("python", "try:\n    f()\nexcept A:\n    pass  # fine\n", set()), ("python", "try:\n    f()\nexcept A:\n\n    pass\n", {3}),
+    ("python", "try:\n    f()\nexcept A:\n    log()\n", set()),
+]
 
 
-def test_docstring_rule_asks_for_a_real_docstring(code):
-    real = 'def f():\n    """TODO finish."""\n    return 1\n'
-    data = 'def f():\n    return """TODO not implemented"""\n'
-    between = 'def f():\n    """Done."""\n    todo = 1  # placeholderless\n    x = 1\n\n\ndef g():\n    """Done too."""\n'
-    line = lambda text: {r.line_no for r in gate.listed(gate.collected(code(("p", "python", text)), rules=[r for r in gate.gate_rules() if r.kind == gate.G.DOCSTRING_RULE])).collect()}
-    assert line(real) == {2} and line(data) == set() and line(between) == set()
-
-
-@pytest.mark.parametrize("text,lines", [
-    ("try:\n    f()\nexcept ValueError:\n    pass\n", {3}), ("try:\n    f()\nexcept ValueError:  # gone\n    pass\n", set()),
-    ("try:\n    f()\nexcept (A, B) as e:\n    # later\n    pass\n", set()), ("try:\n    f()\nexcept A: pass\n", {3}),
-    ("try:\n    f()\nexcept A:\n    pass  # fine\n", set()), ("try:\n    f()\nexcept A:\n\n    pass\n", {3}), ("try:\n    f()\nexcept A:\n    log()\n", set())])
-def test_named_exceptions_passed_over(code, text, lines):
-    rows = gate.listed(gate.collected(code(("p", "python", text)))).where("severity = 'warning' and class like 'Class 3%'").collect()
-    assert {r.line_no for r in rows} == lines
+def test_what_the_gate_makes_of_strings_docstrings_and_comments(code):
+    files = code(*[(str(i), language, text) for i, (language, text, _) in enumerate(TRIED)])
+    rows = gate.listed(gate.collected(files)).collect()
+    assert [{r.line_no for r in rows if r.path == str(i)} for i in range(len(TRIED))] == [lines for _, _, lines in TRIED]
 
 
 def test_collected_equals_the_shuffled_way(spark, code):
@@ -94,3 +86,36 @@ def test_language_by_look(spark):
     rows = [("a", None, "def f(x):\n    return x\n"), ("b", "", "function f(x) {\n  return x;\n}\n"), ("c", " PY ", "anything"), ("d", "go", "def f():\n"), ("e", None, None)]
     files = spark.createDataFrame(rows, "path string, language string, content string")
     assert {r.path: r.p for r in files.select("path", spans.is_python(files.language, files.content).alias("p")).collect()} == {"a": True, "b": False, "c": True, "d": False, "e": None}
+
+
+def plain_imports(text):
+    """(line, top-level name) of imports by Python's parser."""
+    out = []
+    for node in ast.walk(ast.parse(text)):
+        if isinstance(node, ast.Import):
+            out += [(node.lineno, a.name.split(".")[0]) for a in node.names]
+        elif isinstance(node, ast.ImportFrom) and not node.level:
+            out.append((node.lineno, node.module.split(".")[0]))
+        elif isinstance(node, ast.Call) and node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str):
+            name = node.func.attr if isinstance(node.func, ast.Attribute) else getattr(node.func, "id", "")
+            if name in ("import_module", "__import__") and not node.args[0].value.startswith("."):
+                out.append((node.lineno, node.args[0].value.split(".")[0]))
+    return sorted(out)
+
+
+FORMS = ["import requests", "import os.path, sys as s, \\\n    json", "from flask import Flask", "from . import sibling", "from ..pkg import thing", "import importlib",
+         'plugin = importlib.import_module("dynamic_pkg.x")', "legacy = __import__('legacy_pkg')", "from a.b import (\n    c,  # why\n    d,\n)", "x = 1; import y; import z",
+         '"""\nimport no\n"""', "# import no", "if x: import inner", "def f():\n    from deep import one\n    return 'import no'", "from \\\n    split import it", "t = '''a\n'''; after = 1", ""]
+
+
+def test_imports_of_logical_lines(spark):
+    rng = random.Random(12)
+    texts = [form for form in FORMS] + ["\n".join(rng.choice(FORMS) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    broken = "import requests\ndef broken(:\n    from flask import x\n"
+    files = spark.createDataFrame([(str(i), "python", t) for i, t in enumerate([*texts, broken, None])], "path string, language string, content string")
+    got = {}
+    for r in imports.python_imports(files).collect():
+        got.setdefault(int(r.path), []).append((r.line_no, r.name))
+    for i, text in enumerate(texts):
+        assert sorted(got.get(i, [])) == plain_imports(text), text
+    assert sorted(got[len(texts)]) == [(1, "requests"), (3, "flask")] and len(texts) + 1 not in got
