@@ -2,11 +2,12 @@
 
 A pair of adjacent bytes that occurs inside no vocabulary token can be crossed by no merge, so a text may be cut there:
 fragments are encoded independently and their ids concatenated. White space is the plainest case (its bytes occur in no
-token); within a word, the pairs of the vocabulary decide. Fragments repeat a lot, so each task keeps a bounded table of
-those it has met. Only the last fragment of a word carries the word-end mark; the others use the same merges without it.
+token); within a word, the pairs of the vocabulary decide. Fragments repeat a lot, so each worker keeps a bounded table of
+those it has met lately. Only the last fragment of a word carries the word-end mark; the others use the same merges without it.
 
 A text's special-token strings become their ids, as the tokenizers library does by default. Null text counts as empty,
 and an empty text has no ids. The tokenizer file is read once, on the driver, and broadcast: a file of fixed size.
+Texts of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import re
 import sys
 import types
 from array import array
-from typing import Callable, Iterator
+from itertools import chain, filterfalse
+from typing import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from codesieve.llm.common import apart, ship
 
-#: Entries a worker keeps of each table before it starts afresh.
-TABLE_SIZE = 350_000
+#: Entries a worker keeps of each table, in two generations.
+TABLE_SIZE = 500_000
 BLANKS = str.maketrans("\t\n\r", "   ")
 #: Texts of these characters only are in normal form, but for case.
 PLAIN = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
@@ -51,6 +53,30 @@ def byte_alphabet() -> list[str]:
     return [names.get(b, chr(b)) for b in range(256)]
 
 
+class Recent:
+    """A table of bounded size that forgets what was not asked for lately.
+
+    New entries go to the young generation. When that holds half of `size`, it becomes the old one and what was old is
+    dropped. An entry found in the old generation is young again, so common ones stay.
+    """
+
+    def __init__(self, size: int = TABLE_SIZE):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def filled(self, keys: Iterable, make: Callable[[list], dict]) -> dict:
+        """A dictionary that holds all keys; make(keys) gives the entries of those that are in neither generation."""
+        before, old = self.young, self.old
+        unmet = set(filterfalse(before.__contains__, keys))
+        kept = {k: old[k] for k in unmet if k in old}
+        fresh = make([k for k in unmet if k not in kept])
+        for entries in (kept, fresh):
+            if len(self.young) + len(entries) > self.half:
+                self.young, self.old = {}, self.young
+            if len(entries) <= self.half:
+                self.young.update(entries)
+        return before if self.young is before and len(fresh) <= self.half >= len(kept) else {**before, **kept, **fresh}
+
+
 class Encoder:
     """Encodes by fragments; `source` is the text of a tokenizer file whose words end in a suffix."""
 
@@ -72,7 +98,6 @@ class Encoder:
         self.alphabet = byte_alphabet()
         # Pairs of bytes that no token holds; a line feed, which stands between words here, makes none.
         self.forced = np.array([[a != 10 != b and x + y not in self.inside for b, y in enumerate(self.alphabet)] for a, x in enumerate(self.alphabet)])
-        self.met: dict[str, bytes] = {}
         self.parts: dict[tuple[str, bool], bytes] = {}
         self.last, self.inner = models.BPE(vocab, merges, end_of_word_suffix=suffix), models.BPE(vocab, merges)
 
@@ -121,38 +146,35 @@ class Encoder:
             self.parts[key] = ids
         return ids
 
-    def chunks(self, text: str | None) -> list[str]:
-        """The fragments of a text between blanks; special tokens stand alone."""
+    def pieces(self, text: str | None) -> list[str | tuple[str]]:
+        """The words of a text in its normal form; a special token stands alone, as a tuple."""
         if not text:
             return []
         if "<|" in text:
             parts = self.special.split(text)
-            return [c for n, p in enumerate(parts) for c in ([p] if n % 2 else p.translate(BLANKS).split(" ")) if c]
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def chunk_ids(self, chunks: list[str]) -> Iterator[array]:
-        words = [[] if c in self.specials else self.words(c) for c in chunks]
-        new = [w for w in {w for ws in words for w in ws} if w not in self.met]
-        if len(self.met) + len(new) > TABLE_SIZE:
-            self.met.clear()
-            new = list({w for ws in words for w in ws})
-        self.met.update(zip(new, self.word_ids(new)) if new else ())
-        for chunk, ws in zip(chunks, words):
-            yield array("I", [self.specials[chunk]] if chunk in self.specials else b"".join([self.met[w] for w in ws]))
-
-    def forms(self, texts: list[str | None], table: dict, form: Callable) -> Iterator[list]:
-        """For each text, form(ids) of its fragments in order, through a table that the caller keeps."""
-        lists = [self.chunks(t) for t in texts]
-        out = [list(map(table.get, chunks)) for chunks in lists]
-        new = list({c for chunks, found in zip(lists, out) if None in found for c, v in zip(chunks, found) if v is None})
-        if len(table) + len(new) > TABLE_SIZE:
-            table.clear()
-        table.update(zip(new, map(form, self.chunk_ids(new))))
-        for chunks, found in zip(lists, out):
-            yield [table[c] if v is None else v for c, v in zip(chunks, found)] if None in found else found
+            return [w for n, p in enumerate(parts) for w in ([(p,)] if n % 2 else self.pieces(p) if p != text else self.all_words(p))]
+        return self.all_words(text)
+
+    def all_words(self, text: str) -> list[str]:
+        if PLAIN(text):
+            return self.plain_words(text.lower())
+        return [w for c in text.translate(BLANKS).split(" ") if c for w in self.words(c)]
+
+    def new_ids(self, pieces: list) -> Iterator[array]:
+        words = [p for p in pieces if isinstance(p, str)]
+        ids = dict(zip(words, self.word_ids(words))) if words else {}
+        for piece in pieces:
+            yield array("I", ids[piece] if isinstance(piece, str) else [self.specials[piece[0]]])
+
+    def forms(self, texts: list[str | None], table: Recent, form: Callable) -> Iterator[list]:
+        """For each text, form(ids) of its words in order, through a table that the caller keeps."""
+        lists = [self.pieces(t) for t in texts]
+        known = table.filled(chain.from_iterable(lists), lambda new: dict(zip(new, map(form, self.new_ids(new)))))
+        for pieces in lists:
+            yield list(map(known.__getitem__, pieces))
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids in next(self.forms([text], {}, list)) for i in ids]
+        return [i for ids in next(self.forms([text], Recent(), list)) for i in ids]
 
     def listed(self, ids: array) -> tuple[str, str]:
         """Ids and tokens as text, a blank before each."""
@@ -182,7 +204,7 @@ def worker_encoder(source: str, kind: str) -> tuple[Encoder, dict]:
     key = hashlib.sha256(source.encode()).hexdigest()
     if store.get("key") != key:
         store.update(key=key, encoder=Encoder(source), tables={})
-    return store["encoder"], store["tables"].setdefault(kind, {})
+    return store["encoder"], store["tables"].setdefault(kind, Recent())
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
