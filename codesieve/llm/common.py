@@ -21,7 +21,7 @@ def ship(module: str) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset: a temporary folder in plain local mode (one machine), else the warehouse.
+    Only where it is unset, in plain local mode (one machine): a temporary folder. A cluster has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -30,7 +30,7 @@ def scratch_root(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="codesieve-")
         spark.conf.set("spark.checkpoint.dir", folder)
         return folder
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
