@@ -6,6 +6,8 @@ import math
 import sys
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from heapq import merge
 
 from pyspark import cloudpickle
 
@@ -13,34 +15,49 @@ WINDOW_LINES = 4
 MIN_SIMILARITY = 0.8
 
 
-def similar_sets(sets: list[frozenset], least: float) -> list[list[tuple[int, float]]]:
-    """For each word set, the others with at least this similarity.
+def word_sets(norm: list[str], window: int) -> list[tuple[int, ...]]:
+    """The words of each window of lines as numbers in ascending order, rare words first."""
+    per_line = [set(line.split(" ")) for line in norm]
+    often: Counter = Counter()
+    for i in range(len(norm) - window + 1):
+        often.update(set().union(*per_line[i:i + window]))
+    number = {w: k for k, w in enumerate(sorted(often, key=lambda w: (often[w], w)))}
+    return [tuple(sorted({number[w] for words in per_line[i:i + window] for w in words})) for i in range(len(norm) - window + 1)]
+
+
+def next_similar(blocks: list[tuple[int, ...]], window: int, least: float) -> Iterator[tuple[int, int, float]]:
+    """For each block, the first one at least ``window`` later with this similarity of word sets, where there is one.
 
-    Two such sets share one of the first ``size - ceil(least * size) + 1`` words of any common order; with rare words
-    first, few sets meet.
+    Two such sets share one of the first ``size - ceil(least * size) + 1`` words of a common order. The places of these words
+    are walked in step from the block onwards, each different set is judged once, and the walk ends at the first that fits;
+    no list of pairs is held.
     """
-    often = Counter(w for s in sets for w in s)
-    holders: dict[str, list[int]] = defaultdict(list)
-    near: list[list[tuple[int, float]]] = [[(k, 1.0)] for k in range(len(sets))]
-    for k, words in enumerate(sets):
-        prefix = sorted(words, key=lambda w: (often[w], w))[:len(words) - math.ceil(len(words) * least - 1e-9) + 1]
-        for other in {o for w in prefix for o in holders[w]}:
-            sizes = sorted((len(words), len(sets[other])))
+    sets: dict[tuple[int, ...], int] = {}
+    kinds = [sets.setdefault(b, len(sets)) for b in blocks]
+    prefix = lambda b: b[:len(b) - math.ceil(len(b) * least - 1e-9) + 1]
+    places: dict[int, list[int]] = defaultdict(list)
+    for i, block in enumerate(blocks):
+        for w in prefix(block):
+            places[w].append(i)
+    for i, block in enumerate(blocks):
+        words, judged = frozenset(block), set()
+        for other in merge(*[map(p.__getitem__, range(bisect_left(p, i + window), len(p))) for p in map(places.__getitem__, prefix(block))]):
+            if kinds[other] in judged:
+                continue
+            judged.add(kinds[other])
+            sizes = sorted((len(block), len(blocks[other])))
             if sizes[0] >= sizes[1] * least:
-                shared = len(words & sets[other])
+                shared = len(words.intersection(blocks[other]))
                 similarity = shared / (sum(sizes) - shared)
                 if similarity >= least:
-                    near[k].append((other, similarity))
-                    near[other].append((k, similarity))
-        for w in prefix:
-            holders[w].append(k)
-    return near
+                    yield i, other, similarity
+                    break
 
 
 def repeated_blocks(norm: list[str], window: int = WINDOW_LINES, least: float = MIN_SIMILARITY) -> list[tuple[int, int, float]]:
     """(start, later start, similarity) from 0: exact repeats of a first block, then each block's next similar one.
 
-    Equal word sets are compared once; the last block takes no part in the search for similar ones.
+    The last block takes no part in the search for similar ones.
     """
     first: dict[tuple, int] = {}
     exact = []
@@ -48,17 +65,7 @@ def repeated_blocks(norm: list[str], window: int = WINDOW_LINES, least: float =
         start = first.setdefault(tuple(norm[i:i + window]), i)
         if start < i:
             exact.append((start, i, 1.0))
-    places: dict[frozenset, list[int]] = defaultdict(list)
-    for i in range(len(norm) - window):
-        places[frozenset(w for line in norm[i:i + window] for w in line.split(" "))].append(i)
-    at = list(places.values())
-    fuzzy = []
-    for k, others in enumerate(similar_sets(list(places), least)):
-        for a in at[k]:
-            later = [(at[o][n], s) for o, s in others if (n := bisect_left(at[o], a + window)) < len(at[o])]
-            if later:
-                fuzzy.append((a, *min(later)))
-    return exact + sorted(fuzzy)
+    return exact + list(next_similar(word_sets(norm, window)[:-1], window, least))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -21,33 +21,43 @@ def remove(text: Column) -> Column:
     return replaced(text, EMOJI_REMOVED + "+", "")
 
 
-def context_of(line: Column, before: Column, language: Column) -> Column:
-    """comment, docstring, string or code - in that order."""
-    open_double = occurrences(before, '"""') % 2 == 1
-    open_single = occurrences(before, "'''") % 2 == 1
-    unescaped = replaced(before, r"\\[\s\S]", "\\\\")
-    bare = replaced(unescaped, r"\"[^\"]*\"|'[^']*'", "")
-    return F.when(is_comment("emoji", line, language), F.lit("comment")) \
-        .when((language == "python") & (open_double | open_single), F.lit("docstring")) \
-        .when(found(bare, r"[\"']"), F.lit("string")) \
-        .when(found(before, r"f[\"'][^\"']*$"), F.lit("string")).otherwise(F.lit("code"))
+def _per_emoji(pieces: Column, flag) -> Column:
+    """``flag(piece, index)`` of the pieces of a text, once for each emoji in them, in order."""
+    return F.flatten(F.transform(pieces, lambda p, i: F.array_repeat(flag(p, i), F.regexp_count(p, F.lit(rx(EMOJI))))))
 
 
 def emoji_matches(files: DataFrame) -> DataFrame:
-    """One row per emoji: line, column, code point, context, category."""
-    line = F.col("line")
+    """One row per emoji: line, column, code point, context (comment, docstring, string or code - in that order), category.
+
+    Contexts are read off pieces of the whole line, so the work is linear in it however many emoji it holds.
+    """
+    line, python = F.col("line"), F.col("language") == "python"
     rows = lines(files).where(found(line, EMOJI))
-    rows = settled(rows.select("path", "language", "line_no", "line", F.split(line, rx(EMOJI), -1).alias("gaps"), matches(line, EMOJI).alias("found")))
-    rows = settled(rows.withColumn("spans", F.zip_with("gaps", "found", lambda g, e: F.length(g) + F.coalesce(F.length(e), F.lit(0)))))
-    rows = with_running_sums(rows, "spans", "ends")
-    pairs = F.zip_with("found", "ends", lambda e, end: F.struct(e.alias("match"), (end - F.length(e)).alias("at")))
-    spots = rows.select("path", "language", "line_no", "line", F.inline(pairs)).where("match is not null").select(
-        "path", "language", "line_no", "line", F.left("line", F.col("at")).alias("before"), F.left("match", F.lit(1)).alias("emoji"))
+    # Without escapes a literal is a quote up to its like or the end; an escaped emoji stays, to be counted.
+    bare = replaced(line, rf"\\(?!{EMOJI})[\s\S]", "")
+    literals = matches(bare, r"\"[^\"]*(?:\"|\z)|'[^']*(?:'|\z)|[^\"']+")
+    rows = settled(rows.select(
+        "path", "line_no", "line", is_comment("emoji", line, F.col("language")).alias("comment"), python.alias("python"),
+        F.split(line, rx(EMOJI), -1).alias("gaps"), matches(line, EMOJI).alias("found"),
+        literals.alias("literals"), F.split(line, "[\"']", -1).alias("after_quotes")))
+    gap_sums = {"spans": F.zip_with("gaps", "found", lambda g, e: F.length(g) + F.coalesce(F.length(e), F.lit(0))),
+                "doubles": F.transform("gaps", lambda g: occurrences(g, '"""')),
+                "singles": F.transform("gaps", lambda g: occurrences(g, "'''"))}
+    rows = settled(rows.select(
+        "path", "line_no", "comment", "python", "found", *[c.alias(name) for name, c in gap_sums.items()],
+        _per_emoji(F.col("literals"), lambda p, i: F.left(p, F.lit(1)).isin("'", '"')).alias("inside"),
+        _per_emoji(F.col("after_quotes"), lambda p, i: (i > 0) & F.endswith(F.get("after_quotes", i - 1), F.lit("f"))).alias("formatted")))
+    for name in gap_sums:
+        rows = with_running_sums(rows, name, name + "_so_far")
+    odd = lambda name, i: F.get(name + "_so_far", i) % 2 == 1
+    where = lambda i: F.when(F.col("comment"), F.lit("comment")) \
+        .when(F.col("python") & (odd("doubles", i) | odd("singles", i)), F.lit("docstring")) \
+        .when(F.get("inside", i) | F.get("formatted", i), F.lit("string")).otherwise(F.lit("code"))
+    spots = rows.select("path", "line_no", F.inline(F.transform("found", lambda e, i: F.struct(
+        (F.get("spans_so_far", i) - F.length(e)).alias("col_no"), F.left(e, F.lit(1)).alias("emoji"), where(i).alias("context")))))
     code = F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii("emoji")), F.greatest(F.lit(4), F.length(F.hex(F.ascii("emoji")))), F.lit("0")))
-    return spots.select(
-        "path", "line_no", F.length("before").alias("col_no"), "emoji", code.alias("code_point"),
-        context_of(line, F.col("before"), F.col("language")).alias("context"),
-        lookup(F.col("emoji"), CATEGORY, "other").alias("category"))
+    return spots.select("path", "line_no", "col_no", "emoji", code.alias("code_point"), "context",
+                        lookup(F.col("emoji"), CATEGORY, "other").alias("category"))
 
 
 def categories(files: DataFrame) -> DataFrame:

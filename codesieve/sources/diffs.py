@@ -113,15 +113,17 @@ def file_diffs(diffs: DataFrame) -> DataFrame:
     deleted, fresh = any_header("deleted file mode"), any_header("new file mode")
     status = F.when(deleted, F.lit("deleted")).when(fresh, F.lit("added")) \
         .when(any_header("rename from ", "rename to "), F.lit("renamed")).otherwise(F.lit("modified"))
-    # Overlapping hunks (never written by git) give a line twice: the later one holds.
+    # Overlapping hunks (never written by git) give a line twice: the later one holds, the last of its line in sorted order.
     entries = F.col("entries")
     clash = F.size(F.array_distinct(F.transform(entries, lambda e: e["line_no"]))) < F.size(entries)
-    last = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.size(entries)), lambda later: later["line_no"] == e["line_no"]))
-    added = F.when(clash, F.array_sort(last)).otherwise(entries)
+    placed = F.transform(entries, lambda e, i: F.struct(e["line_no"].alias("line_no"), i.alias("at"), e["text"].alias("text")))
+    rows = settled(rows.select("*", status.alias("status"), any_header("Binary files ", "GIT binary patch").alias("is_binary"), deleted.alias("deleted"),
+                               F.when(clash, F.array_sort(placed)).alias("placed")))
+    last = F.filter("placed", lambda e, i: ~F.coalesce(F.get("placed", i + 1)["line_no"] == e["line_no"], F.lit(False)))
+    added = F.when(F.col("placed").isNull(), entries).otherwise(F.transform(last, lambda e: F.struct(e["line_no"].alias("line_no"), e["text"].alias("text"))))
+    deleted = F.col("deleted")
     return settled(rows.select("diff_id", "file_no", F.coalesce(F.when(deleted, old).otherwise(F.coalesce(new, old)), F.lit("")).alias("path"),
-                       F.coalesce(old, F.lit("")).alias("old_path"), status.alias("status"),
-                       any_header("Binary files ", "GIT binary patch").alias("is_binary"), added.alias("added")))
+                       F.coalesce(old, F.lit("")).alias("old_path"), "status", "is_binary", added.alias("added")))
 
 
 def added_lines(files: DataFrame) -> DataFrame:
