@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from codesieve.functions.frames import settled
 from codesieve.functions.text import glob_regex, found, text_array
 from codesieve.operators import (antipatterns, architecture, documents, emoji, gate, metrics, naming, parsing, paths,
                                  security, stubs, wording)
@@ -108,9 +109,9 @@ def _strings_with_data(files: DataFrame) -> DataFrame:
 
 
 def _eval_snippets(files: DataFrame) -> DataFrame:
-    rows = files.select("path", F.split("content", "\n", -1).alias("l"))
-    spots = rows.select("path", "l", F.posexplode("l").alias("pos", "line")).where(F.contains(F.col("line"), F.lit("eval(")))
-    return spots.select("path", (F.col("pos") + 1).alias("line_no"), paths.snippet(F.col("l"), F.col("pos") + 1, 2).alias("snippet"))
+    rows = settled(files.select("path", F.split("content", "\n", -1).alias("l")))
+    spots = F.filter(F.transform("l", lambda line, i: F.when(F.contains(line, F.lit("eval(")), i + 1)), lambda no: no.isNotNull())
+    return rows.select("path", F.inline(F.transform(spots, lambda no: F.struct(no.alias("line_no"), paths.snippet(F.col("l"), no, 2).alias("snippet")))))
 
 
 PARSING = {
