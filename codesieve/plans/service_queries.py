@@ -15,6 +15,7 @@ from codesieve.rulebook import dependencies as P
 from codesieve.sources.diffs import added_lines, file_diffs
 from codesieve.sources.python_texts import python_texts
 from codesieve.sources.rendered import code_files, diff_texts, policy_texts, rpc_frames
+from codesieve.sources.tables import kept
 
 #: A small registry snapshot (offline); a deployment reads its own table.
 REGISTRY = [("python", "requests", "exists"), ("python", "numpy", "exists"), ("python", "pyyaml", "exists"),
@@ -29,7 +30,8 @@ def registry(spark: SparkSession) -> DataFrame:
 
 
 def _diff_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = file_diffs(diff_texts(spark, sf_dir))
+    # The changes are parsed once; names and modules are both read from the result.
+    changed = kept(file_diffs(diff_texts(spark, sf_dir)).select("diff_id", "path", "file_no", "added"), "changes")
     return imports.classify(imports.added_imports(added_lines(changed)), registry(spark), imports.provided_modules(changed),
                             EXCLUDE, keys=("diff_id",))
 
