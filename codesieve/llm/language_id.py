@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import ship
+from codesieve.llm.common import ship, small_batches
 
 DIMS, SAMPLE, CENTROIDS, SLACK, STEP = 4096, 400, 4, 0.7, 1 << 20
 UNKNOWN = "und"
@@ -132,6 +132,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs as the struct `row`, with lang_pred, score and rejected."""
     spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -13,7 +13,6 @@ stored files, so ties need no rule. A document longer than a lane has a lane of
 
 from __future__ import annotations
 
-from array import array
 from typing import Iterator
 
 import numpy as np
@@ -22,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.bpe import default_tokenizer, groups, read_tokenizer, worker_encoder
-from codesieve.llm.common import apart, settle, ship
+from codesieve.llm.bpe import default_tokenizer, groups, read_tokenizer, sliced, worker_encoder
+from codesieve.llm.common import apart, settle, ship, small_batches
 
 WINDOW, UNIT, END_ID, LANE_TOKENS = 4096, 16, 2, 1 << 23
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -31,18 +30,16 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 def tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, n, ids (little-endian unsigned 32-bit, the end id last) of every row, stored."""
+    small_batches(docs.sparkSession)
     source = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer or default_tokenizer()))
 
-    def packed(ids: array) -> bytes:
-        return array("H", ids).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = worker_encoder(source.value, "u2")
-        end = packed(array("I", [end_id]))
-        for batch in batches:
+        end = np.uint16(end_id).tobytes()
+        for batch in sliced(batches):
             at = 0
             for texts in groups(batch.column("text").to_pylist()):
-                ids = [b"".join(parts) + end for parts in encoder.forms(texts, table, packed)]
+                ids = [b"".join(parts) + end for parts in encoder.forms(texts, table, None, np.uint16)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
                 at += len(texts)
     return settle(apart(docs).mapInArrow(run, "doc_id long, n long, ids binary"), "op4-tokens")
