@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.frames import settled
-from codesieve.functions.text import rx
+from codesieve.functions.text import contains_any, rx
 from codesieve.operators.paths import is_test_path, strip_prefix
 
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 LINE_BREAKS = r"\r\n|[\r\x0B\f\x1C-\x1E\x85  ]"
+#: Each line break other than LF.
+OTHER_BREAKS = ("\r", "\x0b", "\f", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
 
 def _starts(text: Column, prefix: str) -> Column:
@@ -59,9 +61,17 @@ def _note(line: Column) -> Column:
     return _starts(line, "\\")
 
 
-def _hunk_head(piece: Column) -> Column:
-    """struct(body, start, old_n, new_n): the numbers are read once per hunk."""
-    rows = F.split(piece, "\n", -1)
+def _unix(text: Column) -> Column:
+    """The text with LF alone. Few texts hold another line break, and a plain search tells them."""
+    return F.when(contains_any(text, OTHER_BREAKS), F.regexp_replace(text, LINE_BREAKS, "\n")).otherwise(text)
+
+
+def _chomped(text: Column) -> Column:
+    return F.when(F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+
+
+def _hunk_head(rows: Column) -> Column:
+    """struct(body, start, old_n, new_n) of a hunk's lines: the numbers are read once per hunk."""
     number = lambda g: F.regexp_extract(F.element_at(rows, 1), rx(HUNK), g)
     budget = lambda g: F.when(number(g) == "", F.lit(1)).otherwise(number(g).try_cast("int"))
     return F.struct(F.slice(rows, F.lit(2), F.size(rows)).alias("body"), number(3).try_cast("int").alias("start"),
@@ -90,13 +100,16 @@ def _hunk_lines(hunk: Column) -> Column:
 
 def file_diffs(diffs: DataFrame) -> DataFrame:
     """``(diff_id, file_no, path, old_path, status, is_binary, added)`` per changed file."""
-    text = F.regexp_replace(F.regexp_replace(F.col("diff"), LINE_BREAKS, "\n"), r"\n\z", "")
-    sections = F.split(text, rx("^diff --git ", "m"), -1)
-    per_file = diffs.select("diff_id", F.posexplode(F.slice(sections, F.lit(2), F.size(sections))).alias("file_no", "section"))
-    section = F.regexp_replace(F.col("section"), r"\n\z", "")
-    parts = F.split(section, rx("\\n(?=" + HUNK[1:] + ")"), -1)
-    rows = per_file.select("diff_id", "file_no", F.split(F.element_at(parts, 1), "\n", -1).alias("top"),
-                           F.transform(F.slice(parts, F.lit(2), F.size(parts)), _hunk_head).alias("hunks"))
+    # Each array is settled before it is read more than once: inside a lambda an expression is computed at every use.
+    text = settled(diffs.select("diff_id", _unix(F.col("diff")).alias("text")))
+    # A section ends before the line break that its successor's head follows; the last one also sheds its own.
+    text = settled(text.withColumn("text", F.concat(F.lit("\n"), _chomped(F.col("text")))))
+    sections = settled(text.select("diff_id", F.split(_chomped(F.col("text")), "\ndiff --git ", -1).alias("sections")))
+    per_file = sections.select("diff_id", F.posexplode(F.slice("sections", F.lit(2), F.size("sections"))).alias("file_no", "section"))
+    parts = settled(per_file.select("diff_id", "file_no", F.split("section", rx("\\n(?=" + HUNK[1:] + ")"), -1).alias("parts")))
+    rows = settled(parts.select("diff_id", "file_no", F.transform("parts", lambda piece: F.split(piece, "\n", -1)).alias("parts")))
+    rows = rows.select("diff_id", "file_no", F.element_at("parts", 1).alias("top"),
+                       F.transform(F.slice("parts", F.lit(2), F.size("parts")), _hunk_head).alias("hunks"))
     rows = settled(settled(rows).withColumn("hunks", F.transform("hunks", _hunk_end)))
     rows = settled(rows.withColumn("hunks", F.transform("hunks", _hunk_lines))).withColumn("headers", F.concat(F.slice("top", F.lit(2), F.size("top")),
                                                F.flatten(F.transform("hunks", lambda h: h["tail"])))) \
