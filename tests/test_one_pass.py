@@ -10,12 +10,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from codesieve.functions.literals import alternatives
-from codesieve.functions.text import folded, found, hits
-from codesieve.operators import metrics, naming, paths, wording
+from codesieve.functions.literals import alternatives, lowered, signs
+from codesieve.functions.text import folded, found, hits, held_signs, likely, may_match
+from codesieve.operators import metrics, naming, paths, security, stubs, wording
 from codesieve.operators.lines import masked_lines
 from codesieve.plans.queries import build_registry
 from codesieve.rulebook import style as R
+from codesieve.sources import diffs
 
 FILES = "path string, language string, content string"
 
@@ -101,3 +102,48 @@ def test_allowed_numbers_leave_early(spark):
 @pytest.mark.parametrize("query", ["overall_confidence", "detailed_issues", "dependency_verdict", "batch_report", "critical_issues"])
 def test_files_and_changes_are_derived_once(spark, small_tables, query):
     assert not [f for f in build_registry()[query](spark, small_tables).inputFiles() if "documents.parquet" in f]
+
+
+def test_diffs_are_cut_once(spark):
+    head = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +1,2 @@\n a\n+b"
+    texts = [head, head + "\n", head + "\n\n", "noise\n" + head + "\n" + head.replace("x.py", "y.py") + "\n\n", head.replace("\n", "\r\n"),
+             head.replace("+b", "+b c"), "diff --git ", "diff --git \ndiff --git a b\n", "no diff", "", None]
+    rows = diffs.file_diffs(spark.createDataFrame(list(enumerate(texts)), "diff_id long, diff string"))
+    got = {(r["diff_id"], r["file_no"]): (r["path"], [tuple(a) for a in r["added"]]) for r in rows.collect()}
+    one = ("x.py", [(2, "b")])
+    assert got == {(0, 0): one, (1, 0): one, (2, 0): one, (3, 0): one, (3, 1): ("y.py", [(2, "b")]), (4, 0): one, (5, 0): one,
+                   (6, 0): ("", []), (7, 0): ("", []), (7, 1): ("b", [])}
+    # The text is cut into sections and parts once, not at every use of the pieces.
+    assert plan(rows).count("diff --git ") == 1 and plan(rows).count("(?=@@") == 1
+
+
+def test_rules_are_asked_only_where_a_sign_stands(spark):
+    assert signs(r"hashlib\.md5\s*\(") == ("(", ".") and signs("x|(y)") == () and signs(r"['\"]sk-") == ("\"'", "-")
+    texts = ["x = hashlib.md5 (a)", "HASHLIB.MD5(a)", "hashlib.md5", "PRIVATE\u00a0KEY", "secret = 'abcdefgh\u017f'", "..//../x", "<!ENTITY x", "plain prose.", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", folded(F.col("t")))
+    rules = [(r.pattern, f.flags) for f in security.S.FAMILIES for r in f]
+    text, low = F.col("t"), F.col("low")
+    for pattern, flags in rules:
+        both = rows.select(found(text, pattern, flags, low, held_signs(text)).alias("a"), found(text, pattern, flags).alias("b"),
+                           may_match(text, low, [(pattern, flags)]).alias("c")).collect()
+        assert all(r["a"] == r["b"] and (r["c"] or not r["b"]) for r in both), pattern
+    # Each step holds the tests of a few families, so that its method is compiled.
+    steps = [line for line in plan(security.findings(of(spark, "a"))).splitlines() if "Generate inline" in line]
+    assert max(sum(r.replace("\\", "") in s.replace("\\", "") for r, _ in rules) for s in steps) < 30
+
+
+def test_random_calls_count_only_in_a_context(spark):
+    rows = security.findings(of(spark, "token = random.choice(x)\ncolour = random.choice(x)\n"), (security.S.INSECURE_RANDOM,))
+    assert [r["line_no"] for r in rows.collect()] == [1]
+    assert [r["line_no"] for r in security.findings(of(spark, "a = 1\ncolour = random.choice(x)\nkey = rand(1)\n")).collect()] == [3]
+
+
+def test_text_rules_look_in_folded_text(spark):
+    assert lowered(r"(?is)Def\S+[A-Z]X", "") == (r"def\S+[a-z]x", "s")
+    assert lowered("Abc", "") is None and lowered(r"(a)\1", "i") is None and lowered("[A-_]", "i") is None
+    texts = ["RETURN 'Mock_x'", "return  [\u00a0]", "# TODO: F\u0130X", "re\u017ft of the file", "\u212aept", "x = 'Fa\u212ae'", "def Te\u017ft(", "none", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", folded(F.col("t")))
+    for fam in stubs.S.FAMILIES:
+        for r in fam:
+            both = rows.select(likely(F.col("t"), r.pattern, fam.flags, F.col("low")), found(F.col("t"), r.pattern, fam.flags)).collect()
+            assert all(a == b for a, b in both), r.pattern
