@@ -48,6 +48,8 @@ JS_IMPORT_FORMS = (
     r"""\bexport\s+[\w{}\s,*$]+\s+from\s+["']([^"']+)["']""",
     r"""\b(?:require|import)\s*\(\s*["']([^"']+)["']\s*\)""",
 )
+#: Each form above holds one of these.
+JS_IMPORT_WORDS = ("import", "export", "require")
 NPM_NAME = r"^(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*$"
 PY_MODULE = r"^[A-Za-z_][A-Za-z0-9_]*$"
 JS_EXTENSIONS = (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx")
